@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscle.llm import secrets, sharding
+from corpuscle.llm import quality, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_secret_scan": secrets.op2_secret_scan,
         "op5_shard_lookup": sharding.op5_shard_lookup,
+        "op9_quality_grade": quality.op9_quality_grade,
     }
 
 
