@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscle.llm import quality, secrets, sharding
+from corpuscle.llm import bpe, quality, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secret_scan": secrets.op2_secret_scan,
         "op5_shard_lookup": sharding.op5_shard_lookup,
         "op9_quality_grade": quality.op9_quality_grade,
+        "op10_bpe_tree": bpe.op10_bpe_tree,
     }
 
 
