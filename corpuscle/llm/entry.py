@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscle.llm import bpe, quality, secrets, sharding
+from corpuscle.llm import bpe, decontaminate, quality, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_secret_scan": secrets.op2_secret_scan,
+        "op3_decontaminate": decontaminate.op3_decontaminate,
         "op5_shard_lookup": sharding.op5_shard_lookup,
         "op9_quality_grade": quality.op9_quality_grade,
         "op10_bpe_tree": bpe.op10_bpe_tree,
