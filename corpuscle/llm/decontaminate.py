@@ -22,6 +22,7 @@ document row gives its matches again; items of fewer than SHORT words are met on
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -147,7 +148,7 @@ def infix_distance(item: str, text: str) -> int:
 
 
 class Matcher:
-    _kept: dict[int, Matcher] = {}
+    _kept: dict[str, Matcher] = {}
 
     def __init__(self, rows: list[tuple[int, str]], similarity: float):
         block = TextBlock([(t or "").encode("utf-8", "surrogatepass").translate(_FOLD) for _, t in rows], False)
@@ -165,11 +166,12 @@ class Matcher:
             self.classes.append(_Class(short, STEPS // 2, 2, 4, 1))
 
     @classmethod
-    def of(cls, shared) -> Matcher:
-        if shared.id not in cls._kept:
+    def of(cls, token: str, shared) -> Matcher:
+        """The tables of a broadcast block of items, built once for each Python worker."""
+        if token not in cls._kept:
             cls._kept.clear()
-            cls._kept[shared.id] = cls(*shared.value)
-        return cls._kept[shared.id]
+            cls._kept[token] = cls(*shared.value)
+        return cls._kept[token]
 
     def block(self, texts: list[bytes]) -> list[list[tuple[int, int, float, int]]]:
         b = TextBlock([t.translate(_FOLD) for t in texts], False)
@@ -217,11 +219,11 @@ _MATCHES = "array<struct<item_id:long,distance:int,similarity:double,near_word:i
 
 def matcher(spark: SparkSession, rows: list[tuple[int, str]], similarity: float):
     """Column function: text -> matches with one block of items."""
-    shared = spark.sparkContext.broadcast((rows, similarity))
+    shared, token = spark.sparkContext.broadcast((rows, similarity)), uuid.uuid4().hex
 
     @F.pandas_udf(_MATCHES)
     def match(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m = Matcher.of(shared)
+        m = Matcher.of(token, shared)
         for p in parts:
             out, raw, size = [], [], 0
             for t in p:
