@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscle.llm import bpe, decontaminate, quality, secrets, sharding
+from corpuscle.llm import bpe, decontaminate, quality, secrets, sharding, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secret_scan": secrets.op2_secret_scan,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op5_shard_lookup": sharding.op5_shard_lookup,
+        "op6_warc_index": warc.op6_warc_index,
         "op9_quality_grade": quality.op9_quality_grade,
         "op10_bpe_tree": bpe.op10_bpe_tree,
     }
@@ -23,4 +24,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_secret_scan": secrets.ORACLE,
         "op5_shard_lookup": sharding.ORACLE,
+        "op6_warc_index": warc.ORACLE,
     }
