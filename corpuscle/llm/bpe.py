@@ -3,8 +3,8 @@
 A text of at most ``leaf`` characters is encoded in one go. A longer one is halved again and again
 down to leaves, which are rows of their own, so one very long text is encoded by many tasks. Two
 neighbours are joined by encoding a window around their join anew; the window doubles on a
-side until the new encoding repeats that side's own token at the window's edge (same id, same
-span), and only then replaces the tokens inside. A BPE encoding is right if and only if each pair of
+side until the new encoding repeats that side's own token at the window's edge (same id at the
+same place), and only then replaces the tokens inside. A BPE encoding is right if and only if each pair of
 neighbouring tokens is the encoding of its own text; at an edge that both sides agree on, the
 pair is one that the side's own encoding already had, so agreement is exact, not a guess. Joins
 run pairwise, as a tree.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 VOCABULARY = "word_bpe_49k.json"
 #: Characters of a leaf. Longer texts are halved.
-LEAF = 16_384
+LEAF = 32_768
 #: Tokens of a first window on each side of a join.
 WINDOW = 8
 #: Chunks that a task remembers before it starts over.
@@ -73,6 +73,7 @@ class Encoder:
         self.strings = {i: t for t, i in spec["model"]["vocab"].items()} | {i: t for t, i in self.specials.items()}
         self.ends = np.zeros(max(self.strings) + 1, dtype=bool)
         self.ends[[i for i, t in self.strings.items() if t.endswith(_END)]] = True
+        self.width = [len(self.strings.get(i, "").removesuffix(_END)) for i in range(len(self.ends))]  # a character for each byte
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
@@ -125,43 +126,48 @@ class Encoder:
                     said.append(s)
         return b"".join(ids), " ".join(said)
 
-    def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and end offsets (in characters of the normalised text) of a piece, as if it were a whole text."""
-        found = list(_PRETOKEN.finditer(text))
-        if not found:
-            return np.empty(0, dtype=np.uint32), np.empty(0, dtype=np.int64)
-        names = list(dict.fromkeys(m.group() for m in found))
-        known = dict(zip(names, self.pretokens(names), strict=True))
-        ids, ends = [], []
-        for m in found:
-            a = known[m.group()]
-            # a token's byte-level string has a character for each UTF-8 byte; a character ends with its last byte
-            width = np.cumsum([len(self.strings[i]) for i in a.tolist()])
-            width[-1] -= len(_END)
-            last = np.cumsum([len(c.encode()) for c in m.group()])
-            ids.append(a)
-            ends.append(m.start() + np.searchsorted(last, width, side="right"))
-        return np.concatenate(ids), np.concatenate(ends)
-
-    def join(self, left: tuple, right: tuple) -> tuple:
-        """Concatenate two encoded neighbours (text, ids, ends): see the module's text."""
-        lt, li, le = left
-        rt, ri, re_ = right
-        text, cut = lt + rt, len(lt)
+    def ids(self, text: str) -> np.ndarray:
+        """Ids of a normalised text."""
+        return np.frombuffer(b"".join([a for a, _ in self.look_up([text])[0]]), dtype="<u4")
+
+    def back(self, text: bytes, ids: np.ndarray) -> int:
+        """Where the last tokens ``ids`` of an encoded text begin, in bytes."""
+        at = len(text)
+        for i in reversed(ids.tolist()):
+            while text[at - 1] == 32:
+                at -= 1
+            at -= self.width[i]
+        return at
+
+    def forth(self, text: bytes, ids: np.ndarray) -> int:
+        """Where the first tokens ``ids`` of an encoded text end, in bytes."""
+        at = 0
+        for i in ids.tolist():
+            while text[at] == 32:
+                at += 1
+            at += self.width[i]
+        return at
+
+    def join(self, left: tuple[bytes, np.ndarray], right: tuple[bytes, np.ndarray]) -> tuple[bytes, np.ndarray]:
+        """Concatenate two encoded neighbours (UTF-8 text, ids): see the module's text."""
+        (lt, li), (rt, ri) = left, right
         a, b = WINDOW, WINDOW
         while True:
             whole_l, whole_r = a >= len(li), b >= len(ri)
-            start = 0 if whole_l else int(le[len(li) - a - 1])
-            end = len(text) if whole_r else cut + int(re_[b - 1])
-            wi, we = self.spans(text[start:end])
-            ok_l = whole_l or len(wi) > 0 and wi[0] == li[len(li) - a] and we[0] + start == le[len(li) - a] and start < le[len(li) - a]
-            ok_r = whole_r or len(wi) > 0 and wi[-1] == ri[b - 1] and we[-1] + start == end and (we[-2] + start if len(wi) > 1 else start) == (cut + re_[b - 2] if b > 1 else cut)
+            start = 0 if whole_l else self.back(lt, li[len(li) - a :])
+            end = len(rt) if whole_r else self.forth(rt, ri[:b])
+            try:
+                w = self.ids((lt[start:] + rt[:end]).decode("utf-8"))
+            except UnicodeDecodeError:  # an edge inside a character
+                a, b = 2 * a, 2 * b
+                continue
+            ok_l = whole_l or len(w) > 0 and w[0] == li[len(li) - a]
+            ok_r = whole_r or len(w) > 0 and w[-1] == ri[b - 1]
             if ok_l and ok_r:
-                keep_l, keep_r = 0 if whole_l else len(li) - a, len(ri) if whole_r else b
-                return text, np.concatenate([li[:keep_l], wi, ri[keep_r:]]), np.concatenate([le[:keep_l], we + start, re_[keep_r:] + cut])
+                return lt + rt, np.concatenate([li[: 0 if whole_l else len(li) - a], w, ri[len(ri) if whole_r else b :]])
             a, b = a if ok_l else 2 * a, b if ok_r else 2 * b
 
-    def tree(self, pieces: list[tuple]) -> np.ndarray:
+    def tree(self, pieces: list[tuple[bytes, np.ndarray]]) -> np.ndarray:
         while len(pieces) > 1:
             pieces = [self.join(pieces[i], pieces[i + 1]) if i + 1 < len(pieces) else pieces[i] for i in range(0, len(pieces), 2)]
         return pieces[0][1] if pieces else np.empty(0, dtype=np.uint32)
@@ -223,8 +229,8 @@ def _leaves(path: str):
         for pdf in it:
             for at in range(0, len(pdf), 64):
                 part = pdf.iloc[at : at + 64]
-                got = [(np.array([enc.specials[t]], dtype=np.uint32), np.array([len(t)])) if s else enc.spans(t) for t, s in zip(part["text"], part["special"], strict=True)]
-                yield part.assign(ids=[a.astype("<u4").tobytes() for a, _ in got], ends=[e.astype("<i4").tobytes() for _, e in got])
+                got = [np.array([enc.specials[t]], dtype="<u4") if s else enc.ids(t) for t, s in zip(part["text"], part["special"], strict=True)]
+                yield part.assign(ids=[a.tobytes() for a in got])
 
     return run
 
@@ -235,8 +241,7 @@ def _merge(path: str, tokens: bool):
         pdf = pdf.sort_values(["seg", "piece"])
         parts = []
         for _, seg in pdf.groupby("seg", sort=True):
-            pieces = [(t, np.frombuffer(i, dtype="<u4"), np.frombuffer(e, dtype="<i4").astype(np.int64)) for t, i, e in zip(seg["text"], seg["ids"], seg["ends"], strict=True)]
-            parts.append(enc.tree(pieces))
+            parts.append(enc.tree([(t.encode("utf-8"), np.frombuffer(i, dtype="<u4")) for t, i in zip(seg["text"], seg["ids"], strict=True)]))
         ids = np.concatenate(parts).astype("<u4")
         n, a, b = _digests(ids.tobytes(), enc.decode(ids))
         out = {"text_key": [pdf["text_key"].iloc[0]], "n_tokens": [n], "ids_sha256": [a], "decoded_sha256": [b]}
@@ -254,7 +259,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     long = rows.where(F.length("text") > leaf).withColumn("text_key", F.sha2("text", 256))
     pieces = long.select("text_key", "text").mapInPandas(_cut(path, leaf), "text_key string, seg int, piece int, text string, special boolean")
     pieces = pieces.dropDuplicates(["text_key", "seg", "piece"])
-    leaves = pieces.mapInPandas(_leaves(path), "text_key string, seg int, piece int, text string, special boolean, ids binary, ends binary")
+    leaves = pieces.mapInPandas(_leaves(path), "text_key string, seg int, piece int, text string, special boolean, ids binary")
     merged = leaves.groupBy("text_key").applyInPandas(_merge(path, tokens), f"text_key string, {_RESULT}{extra}")
     return short.unionByName(long.select(key, "text_key").join(merged, "text_key", "left").drop("text_key").na.fill({"n_tokens": 0}))
 
