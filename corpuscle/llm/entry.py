@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscle.llm import bpe, decontaminate, quality, secrets, sharding, warc
+from corpuscle.llm import bpe, decontaminate, quality, secrets, sharding, suffix_dedup, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_secret_scan": secrets.op2_secret_scan,
         "op3_decontaminate": decontaminate.op3_decontaminate,
+        "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_shard_lookup": sharding.op5_shard_lookup,
         "op6_warc_index": warc.op6_warc_index,
         "op9_quality_grade": quality.op9_quality_grade,
