@@ -107,3 +107,16 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_bytes: b
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT r, unnest(range(1, (length(h) // 2)::BIGINT + 1)) AS i, h FROM d),
+w AS (SELECT r, i, substr(h, 2 * i - 1, 2) AS byte, CASE WHEN 2 * (i + {WINDOW - 1}) <= length(h) THEN md5(substr(h, 2 * i - 1, {2 * WINDOW})) END AS win FROM p),
+f AS (SELECT r, i, byte, win IS NOT NULL AND count(*) OVER (PARTITION BY win) > 1 AS rep FROM w),
+c AS (SELECT r, i, byte, bool_or(rep) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone FROM f),
+s AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS edge FROM c),
+g AS (SELECT r, count(*) FILTER (gone) AS n_removed, count(*) FILTER (edge) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (NOT gone) AS kept FROM s GROUP BY r)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN g ON d.r = g.r
+"""
