@@ -33,6 +33,8 @@ from corpuscle.llm.common import materialise, shared_dir
 
 MIN_REVISIT = 1000
 RECORDS_PER_FILE = 2_000
+#: Most repeated digests that are broadcast (about 100 bytes each).
+BROADCAST_DIGESTS = 200_000
 EPOCH = 1_704_067_200  # 2024-01-01T00:00:00Z
 CRLF = "\r\n"
 _HTTP = CRLF.join(("HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", "", ""))
@@ -47,13 +49,16 @@ def _header(name: str, value: Column | str) -> Column:
 def with_record_types(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to.
 
-    Only digests are grouped (with map-side combine); payloads meet the few repeated digests in a join
-    that Spark broadcasts if they are small and otherwise splits at hot digests.
+    Only digests are grouped (with map-side combine). The repeated digests are written and counted: up to
+    BROADCAST_DIGESTS of them are broadcast, so no payload is shuffled; more are joined by a shuffle that Spark splits
+    at hot digests.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("payload"))
     rows = rows.withColumn("payload_digest", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     same = rows.where(F.col("payload_bytes") >= MIN_REVISIT).groupBy("payload_digest").agg(F.max("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    rows = rows.join(same, "payload_digest", "left")
+    same = materialise(same)
+    few = same.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS
+    rows = rows.join(F.broadcast(same) if few else same, "payload_digest", "left")
     revisit = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first")) & (F.col("payload_bytes") >= MIN_REVISIT)
     return rows.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("_first"))).drop("_first")
 
