@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscle.llm import bpe, decontaminate, fm_index, quality, secrets, sharding, suffix_dedup, warc
+from corpuscle.llm import bpe, decontaminate, fm_index, minhash, quality, secrets, sharding, suffix_dedup, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_shard_lookup": sharding.op5_shard_lookup,
         "op6_warc_index": warc.op6_warc_index,
+        "op7_minhash_bayes": minhash.op7_minhash_bayes,
         "op8_fm_dedup": fm_index.op8_fm_dedup,
         "op9_quality_grade": quality.op9_quality_grade,
         "op10_bpe_tree": bpe.op10_bpe_tree,
@@ -28,5 +29,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_suffix_dedup": suffix_dedup.ORACLE,
         "op5_shard_lookup": sharding.ORACLE,
         "op6_warc_index": warc.ORACLE,
+        "op7_minhash_bayes": minhash.ORACLE,
         "op8_fm_dedup": fm_index.ORACLE,
     }
