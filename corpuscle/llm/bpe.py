@@ -41,7 +41,7 @@ MEMO = 300_000
 
 #: The characters with the White_Space property of Unicode.
 _SPACE = "".join(map(chr, (*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-_SPACES = regex.compile("[%s]+" % _SPACE)
+_SPACES = regex.compile("[%s]" % _SPACE.replace(" ", ""))
 _PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^%s\p{L}\p{N}]+" % _SPACE)
 _END = "</w>"
 
@@ -53,7 +53,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 def normalise(text: str) -> str:
-    """NFC, each run of white space one space, lower case letter by letter (no final sigma)."""
+    """NFC, white space as spaces, lower case letter by letter (no final sigma)."""
     text = _SPACES.sub(" ", unicodedata.normalize("NFC", text))
     return text.lower() if "Σ" not in text else text.replace("Σ", "σ").lower()
 
@@ -64,7 +64,7 @@ class Encoder:
     _kept: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -77,7 +77,11 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
-        self.memo: dict[str, tuple[bytes, str]] = {}
+        # pre-tokens come in one by one, so the model needs neither normaliser nor pattern in front
+        self.model.normalizer = None
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ids_of: dict[str, bytes] = {}
+        self.said_of: dict[str, str] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -85,50 +89,65 @@ class Encoder:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
-    def pretokens(self, tokens: list[str]) -> list[np.ndarray]:
-        """Ids of each pre-token: encoded side by side, cut after each word-end token."""
-        ids = np.array(self.model.encode(" ".join(tokens), add_special_tokens=False).ids, dtype=np.uint32)
-        parts = np.split(ids, np.flatnonzero(self.ends[ids])[:-1] + 1) if len(ids) else []
-        assert len(parts) == len(tokens)
-        return parts
-
-    def learn(self, chunks: list[str]) -> None:
-        cut = [_PRETOKEN.findall(c) for c in chunks]
-        flat = list(dict.fromkeys(t for c in cut for t in c))
-        ids = dict(zip(flat, self.pretokens(flat), strict=True)) if flat else {}
-        for chunk, tokens in zip(chunks, cut, strict=True):
-            a = np.concatenate([ids[t] for t in tokens]) if tokens else np.empty(0, dtype=np.uint32)
-            self.memo[chunk] = (a.tobytes(), " ".join([self.strings[i] for i in a.tolist()]))
-
-    def look_up(self, texts: list[str]) -> list[list[tuple[bytes, str]]]:
-        """(ids, decoded) of each white-space-free chunk of normalised texts."""
-        out = []
-        for t in texts:
-            chunks = [c for c in t.split(" ") if c]
-            if new := [c for c in dict.fromkeys(chunks) if c not in self.memo]:
-                if len(self.memo) + len(new) > MEMO:
-                    self.memo.clear()
-                    new = list(dict.fromkeys(chunks))
-                self.learn(new)
-            out.append([x for x in map(self.memo.__getitem__, chunks) if x[0]])
+    def pretokens(self, tokens: list[str]) -> dict[str, tuple[bytes, str]]:
+        """(ids, decoded) of each pre-token: encoded side by side, cut after each word-end token."""
+        ids = np.array(self.model.encode(" ".join(tokens), add_special_tokens=False).ids, dtype="<u4")
+        ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        assert len(ends) == len(tokens)
+        raw, said, at, out = ids.tobytes(), [self.strings[i] for i in ids.tolist()], 0, {}
+        for token, end in zip(tokens, ends, strict=True):
+            out[token] = (raw[4 * at : 4 * end], " ".join(said[at:end]))
+            at = end
         return out
 
-    def whole(self, text: str | None) -> tuple[bytes, str]:
-        """Ids (little-endian unsigned 32-bit) and decoded text of a whole text that isn't normalised."""
-        ids, said = [], []
-        for part in self.split.split(text or "") if "<|" in (text or "") else [text or ""]:
-            if part in self.specials:
-                ids.append(np.array([self.specials[part]], dtype="<u4").tobytes())
-                said.append(part)
-            else:
-                for a, s in self.look_up([normalise(part)])[0]:
-                    ids.append(a)
-                    said.append(s)
-        return b"".join(ids), " ".join(said)
+    def learn(self, chunks: set[str]) -> None:
+        """Remember white-space-free chunks; the memo starts over rather than grow beyond MEMO."""
+        new = chunks.difference(self.ids_of)
+        if not new:
+            return
+        if len(self.ids_of) + len(new) > MEMO:
+            self.ids_of.clear()
+            self.said_of.clear()
+            new = chunks
+        cut = [(c, _PRETOKEN.findall(c)) for c in new if c]
+        flat = list({t for _, tokens in cut for t in tokens})
+        known = self.pretokens(flat) if flat else {}
+        for chunk, tokens in cut:
+            parts = [known[t] for t in tokens]
+            self.ids_of[chunk] = b"".join([p[0] for p in parts])
+            self.said_of[chunk] = " ".join([p[1] for p in parts])
+
+    def whole(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
+        """Ids (little-endian unsigned 32-bit) and decoded text of whole texts that aren't normalised."""
+        cut, every = [], set()
+        for t in texts:
+            parts = []
+            for part in self.split.split(t) if t and "<|" in t else [t or ""]:
+                chunks = [part] if part in self.specials else normalise(part).split(" ")
+                parts.append((part in self.specials, chunks))
+                if not parts[-1][0]:
+                    every.update(chunks)
+            cut.append(parts)
+        every.discard("")
+        self.learn(every)
+        out = []
+        for parts in cut:
+            ids, said = [], []
+            for special, chunks in parts:
+                if special:
+                    ids.append(np.array([self.specials[chunks[0]]], dtype="<u4").tobytes())
+                    said.append(chunks[0])
+                elif chunks := [c for c in chunks if c]:
+                    ids.append(b"".join(map(self.ids_of.__getitem__, chunks)))
+                    said.append(" ".join(map(self.said_of.__getitem__, chunks)))
+            out.append((b"".join(ids), " ".join(said)))
+        return out
 
     def ids(self, text: str) -> np.ndarray:
         """Ids of a normalised text."""
-        return np.frombuffer(b"".join([a for a, _ in self.look_up([text])[0]]), dtype="<u4")
+        chunks = [c for c in text.split(" ") if c]
+        self.learn(set(chunks))
+        return np.frombuffer(b"".join(map(self.ids_of.__getitem__, chunks)), dtype="<u4")
 
     def back(self, text: bytes, ids: np.ndarray) -> int:
         """Where the last tokens ``ids`` of an encoded text begin, in bytes."""
@@ -197,9 +216,9 @@ def _short(path: str, tokens: bool):
         enc = Encoder.of(path)
         for pdf in it:
             key = pdf.columns[0]
-            for at in range(0, len(pdf), 512):
-                part = pdf.iloc[at : at + 512]
-                got = [enc.whole(t) for t in part["text"]]
+            for at in range(0, len(pdf), 128):
+                part = pdf.iloc[at : at + 128]
+                got = enc.whole(part["text"].tolist())
                 rows = [_digests(a, s) for a, s in got]
                 out = {key: part[key], "n_tokens": [r[0] for r in rows], "ids_sha256": [r[1] for r in rows], "decoded_sha256": [r[2] for r in rows]}
                 yield pd.DataFrame(out | ({"ids": [np.frombuffer(a, dtype="<u4").astype(np.int32) for a, _ in got]} if tokens else {}))
