@@ -160,7 +160,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: bo
     """doc_id, n_words, n_removed, kept_sha256 of each row; with ``with_text`` also the kept words."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = rows.select(repeats.row_key().alias("rk"), F.coalesce("doc_id", F.lit(-1)).alias("doc"), "text", "doc_id")
-    runs = repeats.solve(repeats.occurrences(keyed.drop("doc_id"), repeats.Words(window, gram)), repeats.Words(window, gram), solver, earlier=True)
+    runs = repeats.solve(keyed.drop("doc_id"), repeats.Words(window, gram), solver, earlier=True)
     got = keyed.join(runs.groupBy("rk").agg(F.flatten(F.collect_list("runs")).alias("runs")), "rk", "left")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "")
     return got.select("doc_id", "text", "runs").mapInPandas(_finish(window, with_text), schema)

@@ -5,10 +5,11 @@ its *anchor*, the gram of least hash inside it (leftmost on ties), which depends
 so equal windows meet. Consecutive windows with one anchor form a *segment*. Then:
 
 1. anchors are counted (keys only, with map-side combine);
-2. a bitmap of fixed size over the repeated anchors is broadcast; the few segments that pass are joined
-   exactly with the repeated anchors, and cut from their texts;
+2. a bitmap of fixed size over the repeated anchors is broadcast; the segments that pass are joined exactly with
+   the repeated anchors, as keys, hashes and places, without their content;
 3. equal segments of one anchor are grouped (count and first occurrence, with map-side combine), so copies
-   cost one segment however many they are;
+   cost one segment however many they are; only first occurrences are then cut from their texts, in a
+   further pass that a second bitmap of fixed size steers, so no text is shuffled;
 4. the distinct segments are dealt by anchor; each task solves runs of anchors of about SHARD_BYTES with
    the index of the operator (a bucket-refined suffix array, an FM-index);
 5. an anchor with more than HOT distinct segments (the edge of a passage with many contexts) isn't left to one task:
@@ -50,7 +51,7 @@ class Bytes:
         h = prefix_hash(data)
         _, inv = powers(len(data))
         m = len(data) - self.gram + 1
-        return _segments(mix((h[self.gram :] - h[:m]) * inv[:m]), off, self.window, self.gram)
+        return _segments(mix((h[self.gram :] - h[:m]) * inv[:m]), off, self.window, self.gram, h)
 
     def units(self, content: bytes) -> np.ndarray:
         return np.frombuffer(content, dtype=np.uint8)
@@ -76,7 +77,8 @@ class Words:
         b = TextBlock(texts, False)
         if len(b.h) < self.window:
             return _none()
-        return _segments(ngrams(b.h, self.gram), b.off, self.window, self.gram)
+        h = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(b.h * powers(len(b.h))[0][: len(b.h)], dtype=np.uint64)])
+        return _segments(ngrams(b.h, self.gram), b.off, self.window, self.gram, h)
 
     def units(self, content: bytes) -> np.ndarray:
         return TextBlock([content], False).h
@@ -90,11 +92,14 @@ class Words:
 
 
 def _none() -> tuple[np.ndarray, ...]:
-    return tuple(np.empty(0, dtype=np.int64) for _ in range(4))
+    return tuple(np.empty(0, dtype=np.int64) for _ in range(5))
 
 
-def _segments(g: np.ndarray, off: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(anchor key, text number, first window, number of windows) of the segments of texts laid end to end."""
+def _segments(g: np.ndarray, off: np.ndarray, window: int, gram: int, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(anchor key, text number, first window, number of windows, content hash) of the segments of texts laid end to end.
+
+    g: hash of each gram; h: running polynomial hash of the units.
+    """
     width = window - gram + 1
     low = np.uint64((1 << 26) - 1)
     v = (g & ~low) | np.arange(len(g), dtype=np.uint64)
@@ -115,7 +120,9 @@ def _segments(g: np.ndarray, off: np.ndarray, window: int, gram: int) -> tuple[n
     new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(starts)))
-    return g[anchor[first]].view(np.int64), text[first], starts[first] - off[text[first]], count
+    a, b = starts[first], starts[first] + count + window - 1
+    content = mix(mix((h[b] - h[a]) * powers(len(h))[1][a]) ^ (b - a).astype(np.uint64))
+    return g[anchor[first]].view(np.int64), text[first], a - off[text[first]], count, content.view(np.int64)
 
 
 def _text_blocks(texts: pd.Series) -> Iterator[tuple[int, list[bytes]]]:
@@ -143,15 +150,40 @@ def _keys(unit):
     return run
 
 
+def _hit(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    at = key & ((1 << BITMAP_BITS) - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+_PLACES = "a_key long, seg_key long, rk long, doc long, start int, n int"
+
+
 def _positions(unit, bitmap):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, mask = bitmap.value, (1 << BITMAP_BITS) - 1
         for pdf in it:
+            rk, doc = pdf["rk"].to_numpy(), pdf["doc"].to_numpy()
             for first, raw in _text_blocks(pdf["text"]):
-                key, text, start, count = unit.segments(raw)
-                at = key & mask
-                hit = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-                yield pd.DataFrame({"a_key": key[hit], "rk": pdf["rk"].to_numpy()[first + text[hit]], "start": start[hit].astype(np.int32), "n": count[hit].astype(np.int32)})
+                key, text, start, count, seg = unit.segments(raw)
+                hit = _hit(bitmap.value, key)
+                at = first + text[hit]
+                yield pd.DataFrame({"a_key": key[hit], "seg_key": seg[hit], "rk": rk[at], "doc": doc[at], "start": start[hit].astype(np.int32), "n": count[hit].astype(np.int32)})
+
+    return run
+
+
+def _contents(unit, bitmap):
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            rks = pdf["rk"].to_numpy()
+            for first, raw in _text_blocks(pdf["text"]):
+                key, text, start, count, seg = unit.segments(raw)
+                rk = rks[first + text]
+                hit = np.flatnonzero(_hit(bitmap.value, rk ^ start))
+                for at in range(0, len(hit), 4096):
+                    h = hit[at : at + 4096]
+                    cutters = {i: unit.cutter(raw[i]) for i in np.unique(text[h]).tolist()}
+                    content = [cutters[i](a, b) for i, a, b in zip(text[h].tolist(), start[h].tolist(), (start[h] + count[h] + unit.window - 1).tolist(), strict=True)]
+                    yield pd.DataFrame({"a_key": key[h], "seg_key": seg[h], "rk": rk[h], "start": start[h].astype(np.int32), "content": content})
 
     return run
 
@@ -166,35 +198,21 @@ def _bitmap(repeated: DataFrame):
     return repeated.sparkSession.sparkContext.broadcast(words.view(np.uint8))
 
 
-def _cut(unit):
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            out, size = [], 0
-            for rk, doc, text, cuts in zip(pdf["rk"], pdf["doc"], pdf["text"], pdf["cuts"], strict=True):
-                cut = unit.cutter(text.encode("utf-8", "surrogatepass"))
-                for c in cuts:
-                    content = cut(c["start"], c["start"] + c["n"] + unit.window - 1)
-                    out.append((c["a_key"], rk, doc, c["start"], c["n"], content))
-                    size += len(content)
-                if size > BLOCK_BYTES:
-                    yield pd.DataFrame(out, columns=["a_key", "rk", "doc", "start", "n", "content"])
-                    out, size = [], 0
-            yield pd.DataFrame(out, columns=["a_key", "rk", "doc", "start", "n", "content"])
-
-    return run
-
-
 def occurrences(docs: DataFrame, unit) -> DataFrame:
-    """Segments whose anchor occurs more than once: a_key, seg_key, rk, doc, start, n, content. Written out.
-
-    docs: rk, doc, text.
-    """
+    """Places of the segments whose anchor occurs more than once. Written out. docs: rk, doc, text."""
     repeated = docs.select("text").mapInPandas(_keys(unit), "a_key long").groupBy("a_key").count().where("count > 1").select("a_key")
     repeated = materialise(repeated)
-    found = docs.select("rk", "text").mapInPandas(_positions(unit, _bitmap(repeated)), "a_key long, rk long, start int, n int").join(repeated, "a_key")
-    cuts = found.dropDuplicates(["rk", "start"]).groupBy("rk").agg(F.collect_list(F.struct("a_key", "start", "n")).alias("cuts"))
-    pieces = docs.join(cuts, "rk").mapInPandas(_cut(unit), "a_key long, rk long, doc long, start int, n int, content binary")
-    return materialise(pieces.withColumn("seg_key", F.xxhash64("content")))
+    return materialise(docs.select("rk", "doc", "text").mapInPandas(_positions(unit, _bitmap(repeated)), _PLACES).join(repeated, "a_key"))
+
+
+def distinct_segments(found: DataFrame, docs: DataFrame, unit) -> DataFrame:
+    """One row for each anchor and content: count c, first occurrence (doc, start), n, content. Written out."""
+    segs = found.groupBy("a_key", "seg_key").agg(F.count("*").alias("c"), F.min(F.struct("doc", "start", "rk")).alias("first"), F.first("n").alias("n"))
+    segs = materialise(segs.select("a_key", "seg_key", "c", "first.doc", "first.start", "first.rk", "n"))
+    picks = _bitmap(segs.select(F.col("rk").bitwiseXOR(F.col("start").cast("long")).alias("a_key")))
+    contents = docs.select("rk", "text").mapInPandas(_contents(unit, picks), "a_key long, seg_key long, rk long, start int, content binary")
+    got = segs.join(contents, ["a_key", "seg_key", "rk", "start"]).dropDuplicates(["a_key", "seg_key"])
+    return materialise(got.select("a_key", "seg_key", "c", "doc", "start", "n", "content"))
 
 
 def _runs(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -272,13 +290,13 @@ def _window_rows(unit):
     return run
 
 
-def solve(found: DataFrame, unit, solver, earlier: bool) -> DataFrame:
+def solve(docs: DataFrame, unit, solver, earlier: bool) -> DataFrame:
     """rk, removed windows (lo, hi: window starts, hi exclusive) of every occurrence.
 
     earlier: a window goes if it also starts earlier; else if it also starts anywhere else.
     """
-    segs = found.groupBy("a_key", "seg_key").agg(F.count("*").alias("c"), F.min(F.struct("doc", "start")).alias("first"), F.first("n").alias("n"), F.first("content").alias("content"))
-    segs = materialise(segs.select("a_key", "seg_key", "c", "first.doc", "first.start", "n", "content"))
+    found = occurrences(docs, unit)
+    segs = distinct_segments(found, docs, unit)
     hot = segs.groupBy("a_key").count().where(F.col("count") > HOT).select("a_key")
     cold = segs.join(hot, "a_key", "left_anti").repartition("a_key").sortWithinPartitions("a_key").mapInPandas(_solve(unit, solver), _SOLVED)
     rows = segs.join(hot, "a_key", "left_semi").mapInPandas(_window_rows(unit), "w1 long, w2 long, a_key long, seg_key long, i int, c long, doc long, at long")
@@ -288,10 +306,10 @@ def solve(found: DataFrame, unit, solver, earlier: bool) -> DataFrame:
     solved = cold.unionByName(one)
     if earlier:
         firsts = segs.select("a_key", "seg_key", F.col("doc").alias("f_doc"), F.col("start").alias("f_start"))
-        occ = found.drop("content").join(firsts, ["a_key", "seg_key"]).join(solved, ["a_key", "seg_key"], "left")
+        occ = found.join(firsts, ["a_key", "seg_key"]).join(solved, ["a_key", "seg_key"], "left")
         whole = ~((F.col("doc") == F.col("f_doc")) & (F.col("start") == F.col("f_start")))
     else:
-        occ = found.drop("content").join(solved, ["a_key", "seg_key"])
+        occ = found.join(solved, ["a_key", "seg_key"])
         whole = F.lit(False)
     hits = F.when(whole, F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi")))).otherwise(F.col("hits"))
     occ = occ.select("rk", F.transform(hits, lambda h: F.struct((h["lo"] + F.col("start")).alias("lo"), (h["hi"] + F.col("start")).alias("hi"))).alias("runs"))
@@ -300,7 +318,7 @@ def solve(found: DataFrame, unit, solver, earlier: bool) -> DataFrame:
 
 def removed_by_row(docs: DataFrame, unit, solver, earlier: bool) -> DataFrame:
     """docs (rk, doc, text) with ``runs``: all removed window runs of the row, or null."""
-    runs = solve(occurrences(docs, unit), unit, solver, earlier).groupBy("rk").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    runs = solve(docs, unit, solver, earlier).groupBy("rk").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     return docs.join(runs, "rk", "left")
 
 
