@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscle.llm import bpe, decontaminate, fm_index, minhash, quality, secrets, sharding, suffix_dedup, warc
+from corpuscle.llm import ann, bpe, decontaminate, fm_index, minhash, quality, secrets, sharding, suffix_dedup, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_additive_ann": ann.op1_additive_ann,
         "op2_secret_scan": secrets.op2_secret_scan,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
