@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpuscle.plans import text
+from corpuscle.plans import text, web
 
-FAMILIES = [text]
+FAMILIES = [text, web]
 QUERIES = {k: v for f in FAMILIES for k, v in f.QUERIES.items()}
 ORACLES = {k: v for f in FAMILIES for k, v in f.ORACLES.items()}
 
