@@ -17,8 +17,6 @@ table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -34,12 +32,12 @@ def sort_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
     """Suffix array to at least ``depth`` symbols, by prefix doubling."""
     n = len(text)
     rank = np.unique(text, return_inverse=True)[1].astype(np.int64) + 1
-    order, done = np.argsort(rank, kind="stable"), 1
+    order, done = np.argsort(rank), 1
     while done < depth:
         later = np.zeros(n, dtype=np.int64)
         later[: max(0, n - done)] = rank[done:]
         key = rank * (n + 2) + later
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key = key[order]
         new = np.empty(n, dtype=np.int64)
         new[order] = np.concatenate([[1], 1 + np.cumsum(key[1:] != key[:-1])])
@@ -143,15 +141,11 @@ def solver(unit: repeats.Words, shard: pd.DataFrame) -> list[np.ndarray]:
 
 
 def _finish(window: int, with_text: bool):
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            out = []
-            for key, text, runs in zip(pdf["doc_id"], pdf["text"], pdf["runs"], strict=True):
-                b = TextBlock([text.encode("utf-8", "surrogatepass")], False)
-                gone = repeats.covered(runs, window, len(b.h))
-                kept = b" ".join([b.raw[i:j] for i, j in zip(b.s[~gone].tolist(), b.e[~gone].tolist(), strict=True)])
-                out.append((key, len(b.h), int(gone.sum()), hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8")] if with_text else [])))
-            yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept"] if with_text else [])]).astype({"doc_id": "Int64"})
+    def run(raw: bytes, runs) -> tuple:
+        b = TextBlock([raw], False)
+        gone = repeats.covered(runs, window, len(b.h))
+        kept = b" ".join([b.raw[i:j] for i, j in zip(b.s[~gone].tolist(), b.e[~gone].tolist(), strict=True)])
+        return len(b.h), int(gone.sum()), hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "replace")] if with_text else [])
 
     return run
 
@@ -159,11 +153,9 @@ def _finish(window: int, with_text: bool):
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each row; with ``with_text`` also the kept words."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    keyed = rows.select(repeats.row_key().alias("rk"), F.coalesce("doc_id", F.lit(-1)).alias("doc"), "text", "doc_id")
-    runs = repeats.solve(keyed.drop("doc_id"), repeats.Words(window, gram), solver, earlier=True)
-    got = keyed.join(runs.groupBy("rk").agg(F.flatten(F.collect_list("runs")).alias("runs")), "rk", "left")
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "")
-    return got.select("doc_id", "text", "runs").mapInPandas(_finish(window, with_text), schema)
+    keyed = rows.select(repeats.row_key().alias("rk"), F.coalesce("doc_id", F.lit(-1)).alias("doc"), "doc_id", "text")
+    schema = "n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "")
+    return repeats.removed_by_row(keyed, repeats.Words(window, gram), solver, True, _finish(window, with_text), schema)
 
 
 def op8_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

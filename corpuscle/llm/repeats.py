@@ -42,6 +42,8 @@ class Bytes:
 
     window: int
     gram: int
+    #: Segments are few for each byte of text: their places are written in one pass.
+    prefilter = False
 
     def segments(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         data = np.frombuffer(b"".join(texts), dtype=np.uint8)
@@ -72,6 +74,8 @@ class Words:
 
     window: int
     gram: int
+    #: Segments are many: a first pass finds the repeated anchors, so that only their places are written.
+    prefilter = True
 
     def segments(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         b = TextBlock(texts, False)
@@ -164,7 +168,7 @@ def _positions(unit, bitmap):
             rk, doc = pdf["rk"].to_numpy(), pdf["doc"].to_numpy()
             for first, raw in _text_blocks(pdf["text"]):
                 key, text, start, count, seg = unit.segments(raw)
-                hit = _hit(bitmap.value, key)
+                hit = _hit(bitmap.value, key) if bitmap is not None else np.ones(len(key), dtype=bool)
                 at = first + text[hit]
                 yield pd.DataFrame({"a_key": key[hit], "seg_key": seg[hit], "rk": rk[at], "doc": doc[at], "start": start[hit].astype(np.int32), "n": count[hit].astype(np.int32)})
 
@@ -199,16 +203,21 @@ def _bitmap(repeated: DataFrame):
 
 
 def occurrences(docs: DataFrame, unit) -> DataFrame:
-    """Places of the segments whose anchor occurs more than once. Written out. docs: rk, doc, text."""
+    """Places of segments, at least of those whose anchor occurs more than once. Written out. docs: rk, doc, text."""
+    source = docs.select("rk", "doc", "text")
+    if not unit.prefilter:
+        return materialise(source.mapInPandas(_positions(unit, None), _PLACES))
     repeated = docs.select("text").mapInPandas(_keys(unit), "a_key long").groupBy("a_key").count().where("count > 1").select("a_key")
     repeated = materialise(repeated)
-    return materialise(docs.select("rk", "doc", "text").mapInPandas(_positions(unit, _bitmap(repeated)), _PLACES).join(repeated, "a_key"))
+    return materialise(source.mapInPandas(_positions(unit, _bitmap(repeated)), _PLACES).join(repeated, "a_key"))
 
 
 def distinct_segments(found: DataFrame, docs: DataFrame, unit) -> DataFrame:
-    """One row for each anchor and content: count c, first occurrence (doc, start), n, content. Written out."""
+    """One row for each content of an anchor that occurs more than once: count c, first occurrence (doc, start), n, content. Written out."""
     segs = found.groupBy("a_key", "seg_key").agg(F.count("*").alias("c"), F.min(F.struct("doc", "start", "rk")).alias("first"), F.first("n").alias("n"))
     segs = materialise(segs.select("a_key", "seg_key", "c", "first.doc", "first.start", "first.rk", "n"))
+    many = segs.groupBy("a_key").agg(F.sum("c").alias("total")).where("total > 1").select("a_key")
+    segs = materialise(segs.join(many, "a_key"))
     picks = _bitmap(segs.select(F.col("rk").bitwiseXOR(F.col("start").cast("long")).alias("a_key")))
     contents = docs.select("rk", "text").mapInPandas(_contents(unit, picks), "a_key long, seg_key long, rk long, start int, content binary")
     got = segs.join(contents, ["a_key", "seg_key", "rk", "start"]).dropDuplicates(["a_key", "seg_key"])
@@ -316,10 +325,36 @@ def solve(docs: DataFrame, unit, solver, earlier: bool) -> DataFrame:
     return occ.where(F.size("runs") > 0)
 
 
-def removed_by_row(docs: DataFrame, unit, solver, earlier: bool) -> DataFrame:
-    """docs (rk, doc, text) with ``runs``: all removed window runs of the row, or null."""
-    runs = solve(docs, unit, solver, earlier).groupBy("rk").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-    return docs.join(runs, "rk", "left")
+def removed_by_row(docs: DataFrame, unit, solver, earlier: bool, finish, schema: str) -> DataFrame:
+    """doc_id and the columns of ``schema`` for each row of docs (rk, doc, doc_id, text); finish(text bytes, runs) gives their values.
+
+    Rows without a removed window are finished in the first pass; only texts with one (by a bitmap of fixed size) are shuffled.
+    """
+    runs = solve(docs.select("rk", "doc", "text"), unit, solver, earlier).groupBy("rk").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    runs = materialise(runs)
+    touched = _bitmap(runs.select(F.col("rk").alias("a_key")))
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def first(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            hit = _hit(touched.value, pdf["rk"].to_numpy())
+            done = [(None,) * len(names) if h else finish(t.encode("utf-8", "surrogatepass"), None) for h, t in zip(hit, pdf["text"], strict=True)]
+            out = pd.DataFrame(done, columns=names).convert_dtypes() if len(done) else pd.DataFrame(columns=names)
+            out.insert(0, "text", pdf["text"].where(hit, None).to_numpy())
+            out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy())
+            out.insert(0, "rk", pdf["rk"].to_numpy())
+            yield out
+
+    def second(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            rest = pdf["text"].notna().to_numpy()
+            done = [finish(t.encode("utf-8", "surrogatepass"), r) if h else v for h, t, r, v in zip(rest, pdf["text"], pdf["runs"], pdf[names].itertuples(index=False, name=None), strict=True)]
+            out = pd.DataFrame(done, columns=names)
+            out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy())
+            yield out
+
+    early = docs.select("rk", "doc_id", "text").mapInPandas(first, f"rk long, doc_id long, text string, {schema}")
+    return early.join(runs, "rk", "left").drop("rk").mapInPandas(second, f"doc_id long, {schema}")
 
 
 def covered(runs, window: int, size: int) -> np.ndarray:

@@ -16,8 +16,6 @@ an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +34,7 @@ def bucket_refine(data: np.ndarray, depth: int) -> np.ndarray:
     word = np.zeros(n, dtype=np.uint64)
     for i in range(q):
         word = (word << np.uint64(8)) | padded[i : i + n]
-    order = np.argsort(word, kind="stable")
+    order = np.argsort(word)
     pointer = np.empty(n + 1, dtype=np.int64)
     pointer[n] = -1
     _point(pointer, order, word[order], np.arange(n))
@@ -50,7 +48,7 @@ def bucket_refine(data: np.ndarray, depth: int) -> np.ndarray:
             break
         later = pointer[np.minimum(active + offset, n)] + 1
         key = own[active] * (n + 1) + later
-        rank = np.argsort(key, kind="stable")
+        rank = np.argsort(key)
         active, key = active[rank], key[rank]
         base = own[active]
         # slots of a bucket end at its pointer: the active suffixes, in order, fill them from the bucket's first slot
@@ -80,17 +78,12 @@ def solver(unit: repeats.Bytes, shard: pd.DataFrame) -> list[np.ndarray]:
     return np.split(total[pointer[at]] > 1, np.cumsum(n)[:-1])
 
 
-def _finish(window: int, with_text: bool):
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            out = []
-            for key, text, runs in zip(pdf["doc_id"], pdf["text"], pdf["runs"], strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                gone = repeats.covered(runs, window, len(raw))
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                kept = np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes()
-                out.append((key, len(raw), int(gone.sum()), len(edges) // 2, hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])]).astype({"doc_id": "Int64"})
+def _finish(window: int, with_bytes: bool):
+    def run(raw: bytes, runs) -> tuple:
+        gone = repeats.covered(runs, window, len(raw))
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+        kept = np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes()
+        return len(raw), int(gone.sum()), len(edges) // 2, hashlib.sha256(kept).hexdigest(), *([kept] if with_bytes else [])
 
     return run
 
@@ -98,11 +91,9 @@ def _finish(window: int, with_text: bool):
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row; with ``with_bytes`` also the kept bytes."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    keyed = rows.select(repeats.row_key().alias("rk"), F.col("doc_id").alias("doc"), "text")
-    # one copy of equal rows would hide that the other is elsewhere: occurrences are per row
-    got = repeats.removed_by_row(keyed, repeats.Bytes(window, gram), solver, earlier=False)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_bytes else "")
-    return got.select(F.col("doc").alias("doc_id"), "text", "runs").mapInPandas(_finish(window, with_bytes), schema)
+    keyed = rows.select(repeats.row_key().alias("rk"), F.coalesce("doc_id", F.lit(-1)).alias("doc"), "doc_id", "text")
+    schema = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_bytes else "")
+    return repeats.removed_by_row(keyed, repeats.Bytes(window, gram), solver, False, _finish(window, with_bytes), schema)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
