@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpuscle.plans import retrieval, text, web
+from corpuscle.plans import formats, maintenance, retrieval, text, web
 
-FAMILIES = [text, web, retrieval]
+FAMILIES = [text, web, retrieval, maintenance, formats]
 QUERIES = {k: v for f in FAMILIES for k, v in f.QUERIES.items()}
 ORACLES = {k: v for f in FAMILIES for k, v in f.ORACLES.items()}
 
