@@ -20,13 +20,13 @@ def stream_sessions(messages: DataFrame, late: str = "10 minutes", gap: str = "3
 
 
 class BackoffProcessor(StatefulProcessor):
-    """Strikes of a host: an integer of state that lives for a day without attempts."""
+    """Strikes of a host: an integer of state, dropped when a success resets it, so only throttled hosts hold any."""
 
     def __init__(self, base: float = 5.0, most: float = 300.0):
         self.base, self.most = base, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("strikes", "strikes int", ttlDurationMs=86_400_000)
+        self.state = handle.getValueState("strikes", "strikes int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         old = self.state.get()
@@ -36,7 +36,10 @@ class BackoffProcessor(StatefulProcessor):
             asked = None if pd.isna(r.retry_after) else float(r.retry_after)
             wait = 0.0 if not r.throttled else asked if asked is not None else min(self.most, self.base * 2.0 ** min(strikes - 1, 30))
             out.append((key[0], int(r.attempt_id), strikes, wait))
-        self.state.update((strikes,))
+        if strikes:
+            self.state.update((strikes,))
+        else:
+            self.state.clear()
         yield pd.DataFrame(out, columns=["host", "attempt_id", "strikes", "wait_s"])
 
     def close(self) -> None:
