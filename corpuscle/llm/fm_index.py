@@ -89,7 +89,8 @@ class FMIndex:
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of symbol + pattern from those of the patterns: one backward step."""
         base = self.first[symbol] - self.origin[symbol]
-        return base + self.bwt.place(symbol, lo), base + self.bwt.place(symbol, hi)
+        both = self.bwt.place(np.concatenate([symbol, symbol]), np.concatenate([lo, hi]))
+        return base + both[: len(lo)], base + both[len(lo) :]
 
     def matching(self, text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For the pattern text[s : s + length] of each start: symbols matched from its end while the match occurs

@@ -178,16 +178,16 @@ def _positions(unit, bitmap):
 def _contents(unit, bitmap):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            rks = pdf["rk"].to_numpy()
+            rks, docs = pdf["rk"].to_numpy(), pdf["doc"].to_numpy()
             for first, raw in _text_blocks(pdf["text"]):
                 key, text, start, count, seg = unit.segments(raw)
-                rk = rks[first + text]
+                rk, doc = rks[first + text], docs[first + text]
                 hit = np.flatnonzero(_hit(bitmap.value, rk ^ start))
                 for at in range(0, len(hit), 4096):
                     h = hit[at : at + 4096]
                     cutters = {i: unit.cutter(raw[i]) for i in np.unique(text[h]).tolist()}
                     content = [cutters[i](a, b) for i, a, b in zip(text[h].tolist(), start[h].tolist(), (start[h] + count[h] + unit.window - 1).tolist(), strict=True)]
-                    yield pd.DataFrame({"a_key": key[h], "seg_key": seg[h], "rk": rk[h], "start": start[h].astype(np.int32), "content": content})
+                    yield pd.DataFrame({"a_key": key[h], "seg_key": seg[h], "rk": rk[h], "doc": doc[h], "start": start[h].astype(np.int32), "n": count[h].astype(np.int32), "content": content})
 
     return run
 
@@ -208,8 +208,23 @@ def occurrences(docs: DataFrame, unit) -> DataFrame:
     if not unit.prefilter:
         return materialise(source.mapInPandas(_positions(unit, None), _PLACES))
     repeated = docs.select("text").mapInPandas(_keys(unit), "a_key long").groupBy("a_key").count().where("count > 1").select("a_key")
-    repeated = materialise(repeated)
-    return materialise(source.mapInPandas(_positions(unit, _bitmap(repeated)), _PLACES).join(repeated, "a_key"))
+    return materialise(source.mapInPandas(_positions(unit, _bitmap(repeated)), _PLACES))
+
+
+def contested_segments(found: DataFrame, docs: DataFrame, unit) -> tuple[DataFrame, DataFrame]:
+    """(all distinct segments without content, contents of those whose anchor has more than one).
+
+    An anchor with one content needs no index: equal windows share their anchor and their place in the segment, so its
+    windows occur in that content only. Contents aren't joined back, they carry the place they were cut from;
+    the few that the bitmap lets through by chance are later places of a known content, or lone ones, and change nothing.
+    """
+    segs = found.groupBy("a_key", "seg_key").agg(F.count("*").alias("c"), F.min(F.struct("doc", "start", "rk")).alias("first"))
+    segs = materialise(segs.select("a_key", "seg_key", "c", "first.doc", "first.start", "first.rk"))
+    anchors = materialise(segs.groupBy("a_key").agg(F.count("*").alias("d")).where("d > 1"))
+    contested = segs.join(anchors.select("a_key"), "a_key", "left_semi")
+    picks = _bitmap(contested.select(F.col("rk").bitwiseXOR(F.col("start").cast("long")).alias("a_key")))
+    contents = docs.select("rk", "doc", "text").mapInPandas(_contents(unit, picks), "a_key long, seg_key long, rk long, doc long, start int, n int, content binary")
+    return segs.join(anchors, "a_key", "left").select("a_key", "seg_key", "c", "doc", "start", (F.coalesce("d", F.lit(1)) > HOT).alias("hot")), contents.withColumn("c", F.lit(1).cast("long"))
 
 
 def distinct_segments(found: DataFrame, docs: DataFrame, unit) -> DataFrame:
@@ -219,8 +234,8 @@ def distinct_segments(found: DataFrame, docs: DataFrame, unit) -> DataFrame:
     many = segs.groupBy("a_key").agg(F.sum("c").alias("total")).where("total > 1").select("a_key")
     segs = materialise(segs.join(many, "a_key"))
     picks = _bitmap(segs.select(F.col("rk").bitwiseXOR(F.col("start").cast("long")).alias("a_key")))
-    contents = docs.select("rk", "text").mapInPandas(_contents(unit, picks), "a_key long, seg_key long, rk long, start int, content binary")
-    got = segs.join(contents, ["a_key", "seg_key", "rk", "start"]).dropDuplicates(["a_key", "seg_key"])
+    contents = docs.select("rk", "doc", "text").mapInPandas(_contents(unit, picks), "a_key long, seg_key long, rk long, doc long, start int, n int, content binary")
+    got = segs.join(contents.drop("doc", "n"), ["a_key", "seg_key", "rk", "start"]).dropDuplicates(["a_key", "seg_key"])
     return materialise(got.select("a_key", "seg_key", "c", "doc", "start", "n", "content"))
 
 
@@ -268,6 +283,7 @@ _SOLVED = "a_key long, seg_key long, hits array<struct<lo:int,hi:int>>"
 def _solve(unit, solver):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for shard in _runs(it):
+            shard = shard.sort_values(["a_key", "seg_key", "doc", "start"]).drop_duplicates(["a_key", "seg_key"])
             flags = solver(unit, shard)
             out = pd.DataFrame({"a_key": shard["a_key"], "seg_key": shard["seg_key"], "hits": [intervals(f) for f in flags]})
             yield out
@@ -305,26 +321,45 @@ def solve(docs: DataFrame, unit, solver, earlier: bool) -> DataFrame:
     earlier: a window goes if it also starts earlier; else if it also starts anywhere else.
     """
     found = occurrences(docs, unit)
+    if earlier:
+        return _solve_earlier(found, docs, unit, solver)
     segs = distinct_segments(found, docs, unit)
     hot = segs.groupBy("a_key").count().where(F.col("count") > HOT).select("a_key")
     cold = segs.join(hot, "a_key", "left_anti").repartition("a_key").sortWithinPartitions("a_key").mapInPandas(_solve(unit, solver), _SOLVED)
     rows = segs.join(hot, "a_key", "left_semi").mapInPandas(_window_rows(unit), "w1 long, w2 long, a_key long, seg_key long, i int, c long, doc long, at long")
-    agg = rows.groupBy("w1", "w2").agg(F.sum("c").alias("total"), F.min(F.struct("doc", "at")).alias("least"))
-    flag = F.struct("doc", "at") != F.col("least") if earlier else F.col("total") > 1
-    one = rows.join(agg, ["w1", "w2"]).where(flag).groupBy("a_key", "seg_key").agg(F.transform(F.collect_list("i"), lambda i: F.struct(i.alias("lo"), (i + 1).alias("hi"))).alias("hits"))
-    solved = cold.unionByName(one)
-    if earlier:
-        firsts = segs.select("a_key", "seg_key", F.col("doc").alias("f_doc"), F.col("start").alias("f_start"))
-        occ = found.join(firsts, ["a_key", "seg_key"]).join(solved, ["a_key", "seg_key"], "left")
-        whole = ~((F.col("doc") == F.col("f_doc")) & (F.col("start") == F.col("f_start")))
-    else:
-        occ = found.join(solved, ["a_key", "seg_key"])
-        whole = F.lit(False)
-    hits = F.when(whole, F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi")))).otherwise(F.col("hits"))
+    agg = rows.groupBy("w1", "w2").agg(F.sum("c").alias("total")).where("total > 1")
+    one = rows.join(agg, ["w1", "w2"]).groupBy("a_key", "seg_key").agg(_single("i").alias("hits"))
+    occ = found.join(cold.unionByName(one), ["a_key", "seg_key"])
+    return _runs_of(occ, F.col("hits"))
+
+
+def _single(column: str) -> Column:
+    return F.transform(F.collect_list(column), lambda i: F.struct(i.alias("lo"), (i + 1).alias("hi")))
+
+
+def _runs_of(occ: DataFrame, hits: Column) -> DataFrame:
     occ = occ.select("rk", F.transform(hits, lambda h: F.struct((h["lo"] + F.col("start")).alias("lo"), (h["hi"] + F.col("start")).alias("hi"))).alias("runs"))
     return occ.where(F.size("runs") > 0)
 
 
+def _solve_earlier(found: DataFrame, docs: DataFrame, unit, solver) -> DataFrame:
+    segs, contents = contested_segments(found, docs, unit)
+    hot = materialise(segs.where("hot").select("a_key", "seg_key", "doc", "start"))
+    cold = contents
+    if not hot.isEmpty():
+        cold = contents.join(hot.select("a_key").distinct(), "a_key", "left_anti")
+    solved = cold.repartition("a_key").sortWithinPartitions("a_key").mapInPandas(_solve(unit, solver), _SOLVED)
+    if not hot.isEmpty():
+        first = contents.join(hot, ["a_key", "seg_key", "doc", "start"], "left_semi").dropDuplicates(["a_key", "seg_key"])
+        rows = first.mapInPandas(_window_rows(unit), "w1 long, w2 long, a_key long, seg_key long, i int, c long, doc long, at long")
+        agg = rows.groupBy("w1", "w2").agg(F.min(F.struct("doc", "at")).alias("least"), F.count("*").alias("n")).where("n > 1")
+        solved = solved.unionByName(rows.join(agg, ["w1", "w2"]).where(F.struct("doc", "at") != F.col("least")).groupBy("a_key", "seg_key").agg(_single("i").alias("hits")))
+    first = segs.withColumnsRenamed({"doc": "f_doc", "start": "f_start"}).drop("hot").join(solved.where(F.size("hits") > 0), ["a_key", "seg_key"], "left").where("c > 1 or hits is not null")
+    occ = found.join(first, ["a_key", "seg_key"])
+    whole = (F.col("doc") != F.col("f_doc")) | (F.col("start") != F.col("f_start"))
+    return _runs_of(occ, F.when(whole, F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi")))).otherwise(F.col("hits")))
+
+
 def removed_by_row(docs: DataFrame, unit, solver, earlier: bool, finish, schema: str) -> DataFrame:
     """doc_id and the columns of ``schema`` for each row of docs (rk, doc, doc_id, text); finish(text bytes, runs) gives their values.
 
