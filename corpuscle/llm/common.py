@@ -1,57 +1,34 @@
-"""Shared helpers: the cluster's shared folder, materialised tables, vectorised word hashing."""
+"""Shared helpers: tables written in the cluster's shared folder, vectorised word hashing."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+
+from corpuscle.operators.storage import cut_lineage as materialise
+from corpuscle.operators.storage import shared_folder as shared_dir
+
+__all__ = ["TextBlock", "blocks", "materialise", "mix", "ngrams", "powers", "prefix_hash", "shared_dir", "words"]
 
 #: Bytes hashed at a time inside a task; bounds the numpy temporaries of one step.
 BLOCK_BYTES = 1 << 21
 
 _P = 0x9E3779B97F4A7C55  # odd multiplier of the polynomial hash
 _PINV = pow(_P, -1, 1 << 64)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder inside the folder that driver and executors share.
-
-    The session's spark.checkpoint.dir is used; only where it is unset (tests, local mode) a
-    folder of this machine is set as the checkpoint folder of the session.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = jdir.get() if jdir.isDefined() else None
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/corpuscle-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write the rows as Parquet in the shared folder and read them back; cuts lineage, survives lost executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+_POWERS: dict = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """p**0..p**n and the inverse powers, modulo 2**64; grown by doubling and kept."""
-    size = max(1 << 16, 1 << int(n + 1).bit_length())
-    if size not in _POWERS:
-        both = []
-        for base in (_P, _PINV):
+    if _POWERS.get("size", 0) <= n:
+        size = max(1 << 16, 1 << int(n + 1).bit_length())
+        for name, base in (("up", _P), ("down", _PINV)):
             a = np.full(size, base, dtype=np.uint64)
             a[0] = 1
-            both.append(np.multiply.accumulate(a))
-        _POWERS.clear()
-        _POWERS[size] = (both[0], both[1])
-    return _POWERS[size]
+            _POWERS[name] = np.multiply.accumulate(a)
+        _POWERS["size"] = size
+    return _POWERS["up"], _POWERS["down"]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
