@@ -66,13 +66,18 @@ def _sessions(s, d):
 
 
 def _backoff(s, d):
-    s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = s.conf.get(provider)
+    s.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     a = mt._attempts(s, d)
     path = st.shared_folder(s)
     a.write.parquet(path)
     out, check = st.shared_folder(s), st.shared_folder(s)
     found = jobs.stream_backoff(s.readStream.schema(a.schema).parquet(path))
-    found.writeStream.format("parquet").option("checkpointLocation", check).trigger(availableNow=True).start(out).awaitTermination()
+    try:
+        found.writeStream.format("parquet").option("checkpointLocation", check).trigger(availableNow=True).start(out).awaitTermination()
+    finally:
+        s.conf.set(provider, before)
     return s.read.parquet(out)
 
 
