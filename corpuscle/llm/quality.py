@@ -173,9 +173,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray
         return None
     cols = np.frombuffer(b"".join(got["cols"]), dtype=np.int32)
     vals = np.frombuffer(b"".join(got["vals"]), dtype=np.float16).astype(np.float32)
-    size = np.array([len(c) // 4 for c in got["cols"]])
+    size, grades = np.array([len(c) // 4 for c in got["cols"]]), got["grade"].to_numpy().astype(np.int64)
+    del got
     off = np.concatenate([[0], np.cumsum(size)])
-    row, grades = np.repeat(np.arange(len(size)), size), got["grade"].to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(len(size)), size)
     theta = np.zeros((1 << BITS) + _DENSE + 2)
     theta[-2] = -1.0
     return _lbfgs(lambda t: _loss(t, off, cols, vals, row, grades), theta)
