@@ -111,11 +111,10 @@ class FMIndex:
 
 def solver(unit: repeats.Words, shard: pd.DataFrame) -> list[np.ndarray]:
     """For each segment's first occurrence, which windows also start earlier."""
-    parts, sizes = [], []
-    for c in shard["content"]:
-        parts += [unit.units(c), np.zeros(1, dtype=np.uint64)]
-        sizes.append(len(parts[-2]) + 1)
-    raw = np.concatenate(parts)
+    words = TextBlock(shard["content"].tolist(), False)
+    sizes = np.diff(words.off) + 1
+    raw = np.zeros(int(sizes.sum()), dtype=np.uint64)  # a zero after each segment
+    raw[np.arange(len(words.h)) + np.repeat(np.arange(len(sizes)), sizes - 1)] = words.h
     names, text = np.unique(raw, return_inverse=True)
     text = text.astype(np.int64)
     begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])

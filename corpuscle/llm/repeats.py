@@ -12,7 +12,7 @@ so equal windows meet. Consecutive windows with one anchor form a *segment*. The
    further pass that a second bitmap of fixed size steers, so no text is shuffled;
 4. the distinct segments are dealt by anchor; each task solves runs of anchors of about SHARD_BYTES with
    the index of the operator (a bucket-refined suffix array, an FM-index);
-5. an anchor with more than HOT distinct segments (the edge of a passage with many contexts) isn't left to one task:
+5. an anchor with more than HOT_BYTES of distinct segments (the edge of a passage with many contexts) isn't left to one task:
    its windows become rows, grouped by a 128-bit hash, which is exact and has no hot group;
 6. results go back to all occurrences of their segment, by a join that Spark can split at hot keys.
 """
@@ -32,8 +32,9 @@ from corpuscle.llm.common import BLOCK_BYTES, TextBlock, materialise, mix, ngram
 #: Bits of the broadcast bitmap over repeated anchors: 8 MB, whatever the input.
 BITMAP_BITS = 26
 SHARD_BYTES = 1 << 20
-#: Distinct segments of an anchor above which its windows are grouped as rows.
-HOT = 4096
+#: Most bytes of content that one anchor brings to a task; above it, its windows are grouped as rows. Counted as distinct
+#: segments of a usual length (see ``hot`` of the units).
+HOT_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -45,6 +46,11 @@ class Bytes:
     #: Segments are few for each byte of text: their places are written in one pass.
     prefilter = False
 
+    @property
+    def hot(self) -> int:
+        """Most distinct segments of an anchor that one task solves, each of about two and a half windows."""
+        return max(1, HOT_BYTES * 2 // (self.window * 5))
+
     def segments(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         data = np.frombuffer(b"".join(texts), dtype=np.uint8)
         off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
@@ -55,11 +61,9 @@ class Bytes:
         m = len(data) - self.gram + 1
         return _segments(mix((h[self.gram :] - h[:m]) * inv[:m]), off, self.window, self.gram, h)
 
-    def units(self, content: bytes) -> np.ndarray:
-        return np.frombuffer(content, dtype=np.uint8)
-
-    def cutter(self, raw: bytes) -> Callable[[int, int], bytes]:
-        return lambda a, b: raw[a:b]
+    def cutter(self, texts: list[bytes]) -> Callable[[int, int, int], bytes]:
+        """Content of the units from a to b of a text."""
+        return lambda i, a, b: texts[i][a:b]
 
     def window_hashes(self, content: bytes, salt: int) -> np.ndarray:
         data = np.frombuffer(content, dtype=np.uint8) ^ np.uint8(salt)
@@ -70,13 +74,18 @@ class Bytes:
 
 @dataclass(frozen=True)
 class Words:
-    """Windows of ``window`` words, anchored by grams of ``gram`` words. A segment's content is its words joined by one space."""
+    """Windows of ``window`` words, anchored by grams of ``gram`` words. A segment's content is its words with the white space between them."""
 
     window: int
     gram: int
     #: Segments are many: a first pass finds the repeated anchors, so that only their places are written.
     prefilter = True
 
+    @property
+    def hot(self) -> int:
+        """Most distinct segments of an anchor that one task solves, each of about one and a half windows of six-byte words."""
+        return max(1, HOT_BYTES // (self.window * 8))
+
     def segments(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         b = TextBlock(texts, False)
         if len(b.h) < self.window:
@@ -84,15 +93,14 @@ class Words:
         h = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(b.h * powers(len(b.h))[0][: len(b.h)], dtype=np.uint64)])
         return _segments(ngrams(b.h, self.gram), b.off, self.window, self.gram, h)
 
-    def units(self, content: bytes) -> np.ndarray:
-        return TextBlock([content], False).h
-
-    def cutter(self, raw: bytes) -> Callable[[int, int], bytes]:
-        b = TextBlock([raw], False)
-        return lambda i, j: b" ".join([raw[x:y] for x, y in zip(b.s[i:j].tolist(), b.e[i:j].tolist(), strict=True)])
+    def cutter(self, texts: list[bytes]) -> Callable[[int, int, int], bytes]:
+        """Content of the words from a to b of a text, with the white space between them."""
+        block = TextBlock(texts, False)
+        raw, off, s, e = block.raw, block.off.tolist(), block.s, block.e
+        return lambda i, a, b: raw[s[off[i] + a] : e[off[i] + b - 1]]
 
     def window_hashes(self, content: bytes, salt: int) -> np.ndarray:
-        return ngrams(mix(self.units(content) ^ np.uint64(salt)), self.window)
+        return ngrams(mix(TextBlock([content], False).h ^ np.uint64(salt)), self.window)
 
 
 def _none() -> tuple[np.ndarray, ...]:
@@ -183,10 +191,10 @@ def _contents(unit, bitmap):
                 key, text, start, count, seg = unit.segments(raw)
                 rk, doc = rks[first + text], docs[first + text]
                 hit = np.flatnonzero(_hit(bitmap.value, rk ^ start))
+                cut = unit.cutter(raw) if len(hit) else None
                 for at in range(0, len(hit), 4096):
                     h = hit[at : at + 4096]
-                    cutters = {i: unit.cutter(raw[i]) for i in np.unique(text[h]).tolist()}
-                    content = [cutters[i](a, b) for i, a, b in zip(text[h].tolist(), start[h].tolist(), (start[h] + count[h] + unit.window - 1).tolist(), strict=True)]
+                    content = [cut(i, a, b) for i, a, b in zip(text[h].tolist(), start[h].tolist(), (start[h] + count[h] + unit.window - 1).tolist(), strict=True)]
                     yield pd.DataFrame({"a_key": key[h], "seg_key": seg[h], "rk": rk[h], "doc": doc[h], "start": start[h].astype(np.int32), "n": count[h].astype(np.int32), "content": content})
 
     return run
@@ -224,7 +232,7 @@ def contested_segments(found: DataFrame, docs: DataFrame, unit) -> tuple[DataFra
     contested = segs.join(anchors.select("a_key"), "a_key", "left_semi")
     picks = _bitmap(contested.select(F.col("rk").bitwiseXOR(F.col("start").cast("long")).alias("a_key")))
     contents = docs.select("rk", "doc", "text").mapInPandas(_contents(unit, picks), "a_key long, seg_key long, rk long, doc long, start int, n int, content binary")
-    return segs.join(anchors, "a_key", "left").select("a_key", "seg_key", "c", "doc", "start", (F.coalesce("d", F.lit(1)) > HOT).alias("hot")), contents.withColumn("c", F.lit(1).cast("long"))
+    return segs.join(anchors, "a_key", "left").select("a_key", "seg_key", "c", "doc", "start", (F.coalesce("d", F.lit(1)) > unit.hot).alias("hot")), contents.withColumn("c", F.lit(1).cast("long"))
 
 
 def distinct_segments(found: DataFrame, docs: DataFrame, unit) -> DataFrame:
@@ -324,7 +332,7 @@ def solve(docs: DataFrame, unit, solver, earlier: bool) -> DataFrame:
     if earlier:
         return _solve_earlier(found, docs, unit, solver)
     segs = distinct_segments(found, docs, unit)
-    hot = segs.groupBy("a_key").count().where(F.col("count") > HOT).select("a_key")
+    hot = segs.groupBy("a_key").count().where(F.col("count") > unit.hot).select("a_key")
     cold = segs.join(hot, "a_key", "left_anti").repartition("a_key").sortWithinPartitions("a_key").mapInPandas(_solve(unit, solver), _SOLVED)
     rows = segs.join(hot, "a_key", "left_semi").mapInPandas(_window_rows(unit), "w1 long, w2 long, a_key long, seg_key long, i int, c long, doc long, at long")
     agg = rows.groupBy("w1", "w2").agg(F.sum("c").alias("total")).where("total > 1")

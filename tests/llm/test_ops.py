@@ -43,9 +43,9 @@ def test_query_equals_its_sql(spark, name):
     same(spark, entry.queries()[name], entry.oracle_sql()[name])
 
 
-@pytest.mark.parametrize("hot", [4096, 2])
+@pytest.mark.parametrize("hot", [4 << 20, 100])
 def test_suffix_dedup_equals_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "HOT_BYTES", hot)
     rows, n = odd(), 20
     raws = [(t or "").encode() for _, t in rows]
     counts = {}
@@ -73,9 +73,9 @@ def test_bucket_refinement_orders_exactly():
             assert (p[i] == p[j]) == (raw[i : i + depth] == raw[j : j + depth])
 
 
-@pytest.mark.parametrize("hot", [4096, 2])
+@pytest.mark.parametrize("hot", [4 << 20, 100])
 def test_fm_dedup_equals_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "HOT_BYTES", hot)
     rows, n, first = odd(3), 8, {}
     docs = sorted((-1 if d is None else d, i, WORD.findall(t or "")) for i, (d, t) in enumerate(rows))
     for d, _, w in docs:
