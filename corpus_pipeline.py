@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from corpuscle.llm import bpe, decontaminate, minhash, quality, secrets
 from corpuscle.llm.common import materialise
 
+#: Least similarity, in percent, of near copies; op 7 alone has its own contract of 85.
+NEAR_PERCENT = 80
+
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -22,7 +25,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = minhash.near_dedup(docs).where(~F.col("kept")).select("doc_id").distinct()
+    gone = minhash.near_dedup(docs, NEAR_PERCENT).where(~F.col("kept")).select("doc_id").distinct()
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 

@@ -1,13 +1,13 @@
 """MinHash near-dedup with sequential Bayesian verification (op 7).
 
-1. One pass over the texts: set size, set fingerprint and MinHash signature (BANDS x ROWS functions) of the distinct
+1. One pass over the texts: set size, set fingerprint and MinHash signature (bands x ROWS functions) of the distinct
    five-word shingles. Equal sets form a class (grouped by fingerprint with map-side combine); only classes go on.
-2. Bands: classes that agree in all rows of a band share a bucket. At the link threshold a pair shares none of
-   the bands with probability (1 - 0.85**ROWS)**BANDS, about 3e-7.
+2. Bands: classes that agree in all rows of a band share a bucket. At a link threshold t a pair shares none of
+   the bands with probability (1 - t**ROWS)**bands; there are as many bands as bring that to BAND_MISS.
 3. Star: each bucket's members are paired with its leader only, the member with the most bucket mates overall
    (the original among edited copies), never with each other.
 4. Sequential Bayesian test: a pair's signatures are compared batch by batch; after n functions with m matches the
-   posterior P(J >= 0.85) under a uniform prior is P(Bin(n + 1, 0.85) <= m), and the pair is pruned as soon as that is
+   posterior P(J >= t) under a uniform prior is P(Bin(n + 1, t) <= m), and the pair is pruned as soon as that is
    below MISS. Survivors are confirmed on their full sets.
 5. The rest: buckets that still hold two components are searched through, in blocks of BLOCK members with numpy; a
    pair is tested in the first bucket the two share, if they are in different components. So every link between
@@ -22,7 +22,8 @@ with nothing, its component_id is null and it is kept; other columns are ignored
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -33,10 +34,11 @@ from corpuscle.llm.common import blocks, materialise, mix, ngrams
 from corpuscle.llm.repeats import BITMAP_BITS, _bitmap
 
 WORDS = 5
-BANDS, ROWS = 26, 5
-K = BANDS * ROWS
-#: A link: 100 * intersection >= PERCENT * union.
+ROWS = 5
+#: A link of op 7: 100 * intersection >= PERCENT * union.
 PERCENT = 85
+#: Probability that a pair at the threshold shares no band.
+BAND_MISS = 3e-7
 #: Chosen miss probability of one Bayesian test.
 MISS = 1e-6
 #: Hash functions compared at a time.
@@ -44,9 +46,13 @@ BATCH = 26
 #: Members of a bucket compared at a time, and bucket size from which full sets travel with the members.
 BLOCK, LARGE = 1024, 64
 
-_RNG = np.random.default_rng(7)
-_A = _RNG.integers(1, 1 << 63, size=K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(1, 1 << 63, size=K, dtype=np.uint64)
+@cache
+def functions(percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Multipliers and addends of the hash functions: ROWS for each band that the threshold needs (26 bands at 85, 38 at 80)."""
+    k = ROWS * math.ceil(math.log(BAND_MISS) / math.log(1 - (min(percent, 99) / 100) ** ROWS))
+    rng = np.random.default_rng(7)
+    a = rng.integers(1, 1 << 63, size=k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return a, rng.integers(1, 1 << 63, size=k, dtype=np.uint64)
 
 
 def least_matches(n: int, percent: int = PERCENT, miss: float = MISS) -> int:
@@ -75,33 +81,39 @@ def shingles(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndar
         yield first, out, off
 
 
-def _sketch(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in it:
-        ids = pdf["doc_id"]
-        for first, h, off in shingles(pdf["text"].tolist()):
-            size = len(off) - 1
-            n, f1, f2 = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.uint64), np.zeros(size, dtype=np.uint64)
-            for i in range(size):
-                u = np.unique(h[off[i] : off[i + 1]])
-                n[i], f1[i], f2[i] = len(u), u.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(u)) if len(u) else 0
-            some = np.flatnonzero(n > 0)
-            sig = np.zeros((size, K), dtype=np.uint32)
-            for k in range(K if len(some) else 0):
-                sig[some, k] = np.minimum.reduceat(h * _A[k] + _B[k], off[:-1][some]) >> np.uint64(32)
-            raw = [s.tobytes() for s in sig]
-            yield pd.DataFrame({"doc_id": ids.iloc[first : first + size].astype("Int64"), "n": n, "f1": f1.view(np.int64), "f2": f2.view(np.int64), "sig": [r if k else None for r, k in zip(raw, n, strict=True)]})
+def _sketch(percent: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mul, add = functions(percent)
+        for pdf in it:
+            ids = pdf["doc_id"]
+            for first, h, off in shingles(pdf["text"].tolist()):
+                size = len(off) - 1
+                n, f1, f2 = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.uint64), np.zeros(size, dtype=np.uint64)
+                for i in range(size):
+                    u = np.unique(h[off[i] : off[i + 1]])
+                    n[i], f1[i], f2[i] = len(u), u.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(u)) if len(u) else 0
+                some = np.flatnonzero(n > 0)
+                sig = np.zeros((size, len(mul)), dtype=np.uint32)
+                for k in range(len(mul) if len(some) else 0):
+                    sig[some, k] = np.minimum.reduceat(h * mul[k] + add[k], off[:-1][some]) >> np.uint64(32)
+                raw = [s.tobytes() for s in sig]
+                yield pd.DataFrame({"doc_id": ids.iloc[first : first + size].astype("Int64"), "n": n, "f1": f1.view(np.int64), "f2": f2.view(np.int64), "sig": [r if k else None for r, k in zip(raw, n, strict=True)]})
+
+    return run
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
-    """64-bit key of each band, shape (rows, BANDS)."""
-    out = np.zeros((len(sig), BANDS), dtype=np.uint64)
+    """64-bit key of each band, shape (rows, bands)."""
+    bands = sig.shape[1] // ROWS
+    out = np.zeros((len(sig), bands), dtype=np.uint64)
     for r in range(ROWS):
         out = out * np.uint64(0x9E3779B97F4A7C55) + sig[:, r::ROWS]
-    return mix(out + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    return mix(out + np.arange(bands, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
 def _signatures(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype=np.uint32).reshape(-1, K)
+    raw = b"".join(column)
+    return np.frombuffer(raw, dtype=np.uint32).reshape(len(column), len(raw) // 4 // max(1, len(column)))
 
 
 def _bands(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -109,44 +121,54 @@ def _bands(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for at in range(0, len(pdf), 2000):
             part = pdf.iloc[at : at + 2000]
             keys = band_keys(_signatures(part["sig"]))
-            yield pd.DataFrame({"key": keys.ravel().view(np.int64), "band": np.tile(np.arange(BANDS, dtype=np.int32), len(part)), "node": np.repeat(part["node"].to_numpy(), BANDS)})
+            yield pd.DataFrame({"key": keys.ravel().view(np.int64), "band": np.tile(np.arange(keys.shape[1], dtype=np.int32), len(part)), "node": np.repeat(part["node"].to_numpy(), keys.shape[1])})
 
 
-_LEAST = {n: least_matches(n) for n in range(BATCH, K + 1, BATCH)}
+@cache
+def _least(k: int, percent: int) -> dict[int, int]:
+    """Fewest matches at the end of each batch of k functions."""
+    return {n: least_matches(n, percent) for n in [*range(BATCH, k, BATCH), k]}
 
 
-def survivors(sa: np.ndarray, ia: np.ndarray, sb: np.ndarray, ib: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+def survivors(sa: np.ndarray, ia: np.ndarray, sb: np.ndarray, ib: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Which pairs (ia of sa, ib of sb) survive the sequential test; na, nb: set sizes, an exact bound on J."""
     x, y = na[ia], nb[ib]
-    alive = np.flatnonzero(100 * np.minimum(x, y) >= PERCENT * np.maximum(x, y))
+    alive = np.flatnonzero(100 * np.minimum(x, y) >= percent * np.maximum(x, y))
     matches = np.zeros(len(ia), dtype=np.int64)
-    for n in range(BATCH, K + 1, BATCH):
+    done = 0
+    for n, least in _least(sa.shape[1], percent).items():
         for at in range(0, len(alive), 100_000):
             p = alive[at : at + 100_000]
-            matches[p] += (sa[ia[p], n - BATCH : n] == sb[ib[p], n - BATCH : n]).sum(axis=1)
-        alive = alive[matches[alive] >= _LEAST[n]]
+            matches[p] += (sa[ia[p], done:n] == sb[ib[p], done:n]).sum(axis=1)
+        alive, done = alive[matches[alive] >= least], n
     return alive
 
 
-def _test(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in it:
-        for at in range(0, len(pdf), 4000):
-            p = pdf.iloc[at : at + 4000]
-            i = np.arange(len(p))
-            ok = survivors(_signatures(p["sig_a"]), i, _signatures(p["sig_b"]), i, p["n_a"].to_numpy(), p["n_b"].to_numpy())
-            yield p.iloc[ok][["a", "b"]]
+def _test(percent: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for at in range(0, len(pdf), 4000):
+                p = pdf.iloc[at : at + 4000]
+                i = np.arange(len(p))
+                ok = survivors(_signatures(p["sig_a"]), i, _signatures(p["sig_b"]), i, p["n_a"].to_numpy(), p["n_b"].to_numpy(), percent)
+                yield p.iloc[ok][["a", "b"]]
+
+    return run
 
 
-def linked(x: np.ndarray, y: np.ndarray) -> bool:
+def linked(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
     """Exact test on two sorted arrays of distinct shingle hashes."""
     both = np.intersect1d(x, y, assume_unique=True).size
-    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _confirm(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in it:
-        ok = [linked(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)) for x, y in zip(pdf["set_a"], pdf["set_b"], strict=True)]
-        yield pdf.loc[ok, ["a", "b"]]
+def _confirm(percent: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            ok = [linked(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), percent) for x, y in zip(pdf["set_a"], pdf["set_b"], strict=True)]
+            yield pdf.loc[ok, ["a", "b"]]
+
+    return run
 
 
 def _sets(bitmap):
@@ -168,15 +190,15 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return materialise(picked.join(nodes.distinct(), "node", "left_semi").distinct())
 
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose full sets are linked."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = full_sets(docs, nodes)
     a, b = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInPandas(_confirm, "a long, b long")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInPandas(_confirm(percent), "a long, b long")
 
 
-def _search(pdf: pd.DataFrame) -> pd.DataFrame:
+def _search(pdf: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
     """One block pair of one bucket: links (or, without sets, survivors) between different components."""
     bi, bj = int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0])
     pdf = pdf.drop_duplicates(["node", "sig"])
@@ -200,7 +222,7 @@ def _search(pdf: pd.DataFrame) -> pd.DataFrame:
         pairs_a.append(np.full(len(j), i))
         pairs_b.append(j)
     ia, ib = np.concatenate(pairs_a), np.concatenate(pairs_b)
-    ok = survivors(sa, ia, sb, ib, na, nb)
+    ok = survivors(sa, ia, sb, ib, na, nb, percent)
     ia, ib = ia[ok], ib[ok]
     sure = bool(pdf["shingles"].notna().all())
     if sure and len(ia):
@@ -215,7 +237,7 @@ def _search(pdf: pd.DataFrame) -> pd.DataFrame:
         keep = []
         for k, (i, j) in enumerate(zip(ia.tolist(), ib.tolist(), strict=True)):
             x, y = find(int(ca[i])), find(int(cb[j]))
-            if x != y and linked(xa[i], xb[j]):
+            if x != y and linked(xa[i], xb[j], percent):
                 root[x] = y
                 keep.append(k)
         ia, ib = ia[keep], ib[keep]
@@ -240,7 +262,7 @@ def components(edges: DataFrame) -> DataFrame:
     return e.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("node"), "comp")
 
 
-def near_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def near_links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between classes: enough of them to connect every component. classes: node, n, sig; written out."""
     rows = classes.select("node", "sig").mapInPandas(_bands, "key long, band int, node long").dropDuplicates(["key", "node"])
     buckets = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
@@ -249,8 +271,8 @@ def near_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     leader = members.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"))).alias("l")).select("key", (-F.col("l.minus")).alias("leader"))
     pairs = members.join(leader, "key").where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-    tested = materialise(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_test, "a long, b long").distinct())
-    star = materialise(confirm(tested, docs))
+    tested = materialise(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_test(percent), "a long, b long").distinct())
+    star = materialise(confirm(tested, docs, percent))
     # buckets that still hold two components
     comp = components(star)
     placed = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -264,18 +286,18 @@ def near_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     small = rest.where(F.col("m") <= LARGE).withColumn("shingles", F.lit(None).cast("binary"))
     large = rest.where(F.col("m") > LARGE).join(sets, "node")
     full = small.unionByName(large).join(classes.select("node", "n", "sig"), "node")
-    found = materialise(full.groupBy("key", "bi", "bj").applyInPandas(_search, "a long, b long, sure boolean"))
-    return star.unionByName(found.where("sure").select("a", "b")).unionByName(confirm(found.where("not sure").select("a", "b").distinct(), docs))
+    found = materialise(full.groupBy("key", "bi", "bj").applyInPandas(lambda pdf: _search(pdf, percent), "a long, b long, sure boolean"))
+    return star.unionByName(found.where("sure").select("a", "b")).unionByName(confirm(found.where("not sure").select("a", "b").distinct(), docs, percent))
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
+def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text); a link has 100 * intersection >= percent * union."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = materialise(docs.mapInPandas(_sketch, "doc_id long, n long, f1 long, f2 long, sig binary"))
+    rows = materialise(docs.mapInPandas(_sketch(percent), "doc_id long, n long, f1 long, f2 long, sig binary"))
     some = rows.where("doc_id is not null and n > 0")
     node = some.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node"))
     classes = some.join(node.select(F.col("node").alias("doc_id"), "f1", "f2", "n"), ["doc_id", "f1", "f2", "n"], "left_semi").select(F.col("doc_id").alias("node"), "n", "sig").dropDuplicates(["node", "sig"])
-    links = near_links(docs, materialise(classes))
+    links = near_links(docs, materialise(classes), percent)
     # rows of a class are linked through their node; rows of one doc_id are one vertex
     own = some.join(node, ["f1", "f2", "n"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     comp = components(links.unionByName(own))
