@@ -5,12 +5,15 @@ its approximation is their sum. Codebooks are fitted on a bounded sample: residu
 encoding and a joint least-squares update of all code words alternate. Encoding is a beam search: after each codebook
 the BEAM best partial sums are kept. With the codes is stored the norm of the sum, so a query scores a
 vector by looking up one inner product for each codebook and dividing by that norm. The RERANK best of each
-block of vectors are scored exactly, in double precision on the original vectors.
+block of vectors, and all that tie with the last of them, are scored exactly, in double precision on the original vectors.
+
+Equal vectors are folded into one row with its k + 1 smallest vec_ids before anything is fitted or indexed, so copies
+cost one row, don't crowd out others and tie as they should; k + 1, as a query leaves out its own id.
 
 The queries are a stated set (vec_id divisible by EVERY): blocks of queries meet blocks of vectors, each block pair is
-one task's work of fixed size, and only the k best of each pair are shuffled. Blocks are cut by a hash of vec_id
-with a size that follows the input, so no block is hot. At most RERANK of a block are reranked, which is a beam of the
-method; recall is measured against brute force in the tests.
+one task's work of fixed size, and only the k best of each pair are shuffled. Blocks are cut by a hash of the vector
+with a size that follows the input, so no block is hot. What scores below the RERANK best of a block isn't reranked, which is
+a beam of the method; recall is measured against brute force in the tests.
 
 Defined results: vectors that are null, zero, or hold a null or non-finite component, and those whose dimension isn't the
 table's most common (least on ties), take no part, and neither does a null vec_id; equal vec_ids are told apart only by their
@@ -53,7 +56,6 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, steps: int = 8) ->
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
     """Codes (rows, codebooks) by beam search, and the norm of each approximation."""
     codes = np.zeros((len(x), len(books)), dtype=np.uint8)
-    norms = np.zeros(len(x), dtype=np.float32)
     for at in range(0, len(x), 512):
         part = x[at : at + 512]
         n = len(part)
@@ -72,8 +74,10 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
             cost = flat[rows, best]
         first = cost.argmin(1)
         codes[at : at + n] = kept[np.arange(n), first]
-        norms[at : at + n] = np.linalg.norm(part - residual[np.arange(n), first], axis=1)
-    return codes, np.maximum(norms, 1e-6)
+    # the norm of the code words' sum, once for each distinct code, so that equal codes score alike to the last bit
+    distinct, of = np.unique(codes, axis=0, return_inverse=True)
+    norms = np.linalg.norm(sum(book[distinct[:, j]] for j, book in enumerate(books)), axis=1)
+    return codes, np.maximum(norms, 1e-6).astype(np.float32)[of.ravel()]
 
 
 def fit(x: np.ndarray, codebooks: int = CODEBOOKS, words: int = WORDS, rounds: int = ROUNDS) -> np.ndarray:
@@ -119,18 +123,25 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
-def index(vectors: DataFrame, blocks: int, books: np.ndarray) -> DataFrame:
-    """block, vec_ids, codes, norms, vectors: a row for each block of the encoded table."""
-    shared = vectors.sparkSession.sparkContext.broadcast(books)
+def fold(vectors: DataFrame, k: int) -> DataFrame:
+    """v, vec_ids: a row for each distinct vector, with its k + 1 smallest distinct vec_ids (cut before the shuffle as well)."""
+    order = Window.partitionBy("v").orderBy("vec_id")
+    first = vectors.distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
+    return first.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("vec_ids"))
+
+
+def index(folded: DataFrame, blocks: int, books: np.ndarray) -> DataFrame:
+    """block, vec_ids, counts, codes, norms, vectors: a row for each block of the encoded table."""
+    shared = folded.sparkSession.sparkContext.broadcast(books)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id")
         x = _matrix(pdf["v"])
         codes, norms = encode(_unit(x).astype(np.float32), shared.value)
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "vec_ids": [pdf["vec_id"].to_numpy(dtype="<i8").tobytes()], "codes": [codes.tobytes()], "norms": [norms.tobytes()], "vectors": [x.tobytes()]})
+        ids, counts = np.concatenate(pdf["vec_ids"].tolist()).astype("<i8"), pdf["vec_ids"].map(len).to_numpy(dtype="<i8")
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "vec_ids": [ids.tobytes()], "counts": [counts.tobytes()], "codes": [codes.tobytes()], "norms": [norms.tobytes()], "vectors": [x.tobytes()]})
 
-    placed = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int"))
-    return placed.groupBy("block").applyInPandas(build, "block int, vec_ids binary, codes binary, norms binary, vectors binary")
+    placed = folded.withColumn("block", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int"))
+    return placed.groupBy("block").applyInPandas(build, "block int, vec_ids binary, counts binary, codes binary, norms binary, vectors binary")
 
 
 def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -143,7 +154,8 @@ def _search(books_shared, k: int, rerank: int):
         m, _, d = books.shape
         for pdf in it:
             for row in pdf.itertuples(index=False):
-                ids, q_ids = np.frombuffer(row.vec_ids, dtype="<i8"), np.frombuffer(row.q_ids, dtype="<i8")
+                ids, counts, q_ids = (np.frombuffer(c, dtype="<i8") for c in (row.vec_ids, row.counts, row.q_ids))
+                starts = np.cumsum(counts) - counts
                 codes, norms = np.frombuffer(row.codes, dtype=np.uint8).reshape(-1, m), np.frombuffer(row.norms, dtype=np.float32)
                 x, q = np.frombuffer(row.vectors).reshape(-1, d), np.frombuffer(row.q_vectors).reshape(-1, d)
                 x_unit, q_unit = _unit(x), _unit(q)
@@ -153,13 +165,19 @@ def _search(books_shared, k: int, rerank: int):
                     score = tables[i, 0, codes[:, 0]]
                     for j in range(1, m):
                         score = score + tables[i, j, codes[:, j]]
-                    score = np.where(ids == q_ids[i], -np.inf, score / norms)
-                    width = min(rerank, len(ids))
-                    near = np.argpartition(-score, width - 1)[:width]
-                    near = near[ids[near] != q_ids[i]]
+                    score = np.where((counts == 1) & (ids[starts] == q_ids[i]), -np.inf, score / norms)
+                    width = min(rerank, len(score))
+                    near = np.flatnonzero(score >= np.partition(score, len(score) - width)[len(score) - width])
                     exact = np.clip((q_unit[i] * x_unit[near]).sum(axis=1), -1.0, 1.0)
-                    best = np.lexsort((ids[near], -exact))[:k]
-                    out.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": ids[near[best]], "score": exact[best]}))
+                    # the ids of each row; an id with two vectors of one score counts once
+                    n = counts[near]
+                    mine, exact = ids[np.repeat(starts[near] - np.cumsum(n) + n, n) + np.arange(n.sum())], np.repeat(exact, n)
+                    order = np.lexsort((mine, -exact))
+                    order = order[mine[order] != q_ids[i]]
+                    new = np.ones(len(order), dtype=bool)
+                    new[1:] = (mine[order[1:]] != mine[order[:-1]]) | (exact[order[1:]] != exact[order[:-1]])
+                    best = order[new][:k]
+                    out.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": mine[best], "score": exact[best]}))
                 if out:
                     yield pd.concat(out, ignore_index=True)
 
@@ -170,13 +188,14 @@ def nearest(vectors: DataFrame, k: int = NEAREST, every: int = EVERY, rerank: in
     """query_id, rank, vec_id, score: the k nearest found of each query (a row with vec_id divisible by ``every``)."""
     spark = vectors.sparkSession
     v = materialise(usable(vectors))
-    sample = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
+    folded = materialise(fold(v, k))
+    sample = folded.select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).toPandas()
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
     if not len(sample):
         return spark.createDataFrame([], schema)
     books = fit(_unit(_matrix(sample["v"])).astype(np.float32))
-    blocks = max(1, -(-v.count() // BLOCK))
-    idx = materialise(index(v, blocks, books))
+    blocks = max(1, -(-folded.count() // BLOCK))
+    idx = materialise(index(folded, blocks, books))
     queries = v.where(F.pmod("vec_id", F.lit(every)) == 0)
     q_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     packed = queries.withColumn("q_block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(q_blocks)).cast("int")).groupBy("q_block").applyInPandas(_pack, "q_block int, q_ids binary, q_vectors binary")

@@ -2,9 +2,10 @@
 
 import itertools
 
+import numpy as np
 import pytest
 
-from corpuscle.llm import minhash
+from corpuscle.llm import ann, minhash
 from tests.llm.test_ops import collected, near_rows, table
 
 
@@ -43,3 +44,36 @@ def test_pipeline_near_dedup_links_from_80_percent(spark):
     docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r["doc_id"] for r in pipeline.near_dedup_stage(spark, docs, "").collect()} == want
     assert {r[0] for r in collected(minhash.near_dedup(table(spark, rows))) if r[3]} == brute_components(rows, 85)
+
+
+def test_neighbours_beside_a_group_of_copies(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 16))
+    x[rng.permutation(3000)[:1000]] = x[0] = x[1]
+    x[50:1000:50] = x[0] + rng.normal(size=(19, 16)) * 0.05
+    ids = rng.permutation(3000)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)] + [(3001, x[5].tolist()), (3001, (x[5] * 2).tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, rerank=64).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    u = np.concatenate([x, x[[5, 5]]])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    ids = np.append(ids, [3001, 3001])
+    near = [q for q in np.flatnonzero(ids % 50 == 0) if u[q] @ u[0] > 0.9]
+    assert len(near) > 10
+    hit = 0
+    for q in near:
+        s = np.where(ids == ids[q], -np.inf, np.round(u @ u[q], 12))
+        want = list(dict.fromkeys(ids[np.lexsort((ids, -s))[:12]].tolist()))[:5]
+        assert sorted(got[ids[q]]) == [1, 2, 3, 4, 5] and len(set(got[ids[q]].values())) == 5
+        hit += len(set(want) & set(got[ids[q]].values()))
+    assert hit >= 0.95 * 5 * len(near)
+
+
+def test_equal_codes_have_equal_norms():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(40, 8)).astype(np.float32)
+    near = np.repeat(x, 20, axis=0) + rng.normal(size=(800, 8)).astype(np.float32) * np.float32(1e-5)
+    codes, norms = ann.encode(near, ann.fit(x, 2, 16, 1))
+    for c in np.unique(codes, axis=0):
+        assert len(set(norms[(codes == c).all(axis=1)].tolist())) == 1
