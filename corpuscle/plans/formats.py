@@ -59,8 +59,8 @@ def _sessions(s, d):
     e = table(s, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     end = e.groupBy("user_id").agg(F.lit("2030-01-01").cast("timestamp").alias("ts"))
     first = st.shared_folder(s)
-    e.coalesce(1).write.parquet(first)
-    end.coalesce(1).write.mode("append").parquet(first)
+    e.write.parquet(first)
+    end.write.mode("append").parquet(first)
     stream = s.readStream.schema(e.schema).parquet(first)
     return _drain(s, jobs.stream_sessions(stream), "append").where("start < '2030-01-01'")
 

@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 
 from corpuscle.llm import ann, minhash
+from corpuscle.plans import formats
 from tests.llm.test_ops import collected, near_rows, table
+from tests.oracle import FOLDER
 
 
 def brute_components(rows, percent):
@@ -77,3 +79,18 @@ def test_equal_codes_have_equal_norms():
     codes, norms = ann.encode(near, ann.fit(x, 2, 16, 1))
     for c in np.unique(codes, axis=0):
         assert len(set(norms[(codes == c).all(axis=1)].tolist())) == 1
+
+
+def test_session_stream_is_written_in_its_own_partitions(spark, tmp_path, monkeypatch):
+    events = spark.read.parquet(f"{FOLDER}/events.parquet")
+    events.repartition(6).write.parquet(f"{tmp_path}/events.parquet")
+    made, folder = [], formats.st.shared_folder
+    monkeypatch.setattr(formats.st, "shared_folder", lambda s: made.append(folder(s)) or made[-1])
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 27))
+    try:
+        got = formats._sessions(spark, str(tmp_path))
+        whole = sorted(map(tuple, formats._sessions(spark, FOLDER).collect()))
+        assert sorted(map(tuple, got.collect())) == whole
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(spark.read.parquet(made[0]).inputFiles()) > 2
