@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from corpuscle.operators.storage import cut_lineage as materialise
 from corpuscle.operators.storage import shared_folder as shared_dir
 
-__all__ = ["TextBlock", "blocks", "materialise", "mix", "ngrams", "powers", "prefix_hash", "shared_dir", "words"]
+__all__ = ["KeyFilter", "TextBlock", "blocks", "key_filter", "materialise", "mix", "ngrams", "powers", "prefix_hash", "shared_dir", "words"]
 
 #: Bytes hashed at a time inside a task; bounds the numpy temporaries of one step.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 _P = 0x9E3779B97F4A7C55  # odd multiplier of the polynomial hash
 _PINV = pow(_P, -1, 1 << 64)
@@ -127,3 +130,45 @@ def ngrams(h: np.ndarray, n: int) -> np.ndarray:
         out *= np.uint64(_P)
         out += h[k : k + m]
     return mix(out)
+
+
+class KeyFilter:
+    """A broadcast bitmap over keys: ``hit`` tells which keys may be in the set; a miss is certain."""
+
+    #: Bits of a filter: about 16 for each key, 8 KB at least and 64 MB at most.
+    LEAST_BITS, MOST_BITS = 16, 29
+    #: Bits that one group sets.
+    PART_BITS = 16
+
+    def __init__(self, bits: int, shared):
+        self.bits, self.shared = bits, shared
+
+    def hit(self, key: np.ndarray) -> np.ndarray:
+        at = key & ((1 << self.bits) - 1)
+        return (self.shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+    def release(self) -> None:
+        """Free the executors' copies; they are sent again should a lost task need them."""
+        self.shared.unpersist()
+
+
+def key_filter(keys: DataFrame) -> KeyFilter:
+    """Filter over the one long column of ``keys``, a written table (it is read twice: counted and set).
+
+    The bits are set on the executors, part by part, so the driver gets a few binary rows of 64 MB in all at most.
+    Beyond 2**29 / 16 keys the filter lets more through; all its users check exactly behind it.
+    """
+    spark, column = keys.sparkSession, keys.columns[0]
+    bits = min(KeyFilter.MOST_BITS, max(KeyFilter.LEAST_BITS, int(16 * keys.count()).bit_length()))
+    part = KeyFilter.PART_BITS
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros(1 << part, dtype=bool)
+        own[pdf["at"].to_numpy() & ((1 << part) - 1)] = True
+        return pd.DataFrame({"p": pdf["p"].iloc[:1], "raw": [np.packbits(own, bitorder="little").tobytes()]})
+
+    at = keys.select(F.col(column).bitwiseAND((1 << bits) - 1).alias("at")).distinct().withColumn("p", F.shiftright("at", part))
+    whole = np.zeros(1 << (bits - 3), dtype=np.uint8)
+    for p, raw in at.groupBy("p").applyInPandas(fill, "p long, raw binary").toLocalIterator():
+        whole[p << (part - 3) : (p + 1) << (part - 3)] = np.frombuffer(raw, dtype=np.uint8)
+    return KeyFilter(bits, spark.sparkContext.broadcast(whole))

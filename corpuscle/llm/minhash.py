@@ -30,8 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import blocks, materialise, mix, ngrams
-from corpuscle.llm.repeats import BITMAP_BITS, _bitmap
+from corpuscle.llm.common import KeyFilter, blocks, key_filter, materialise, mix, ngrams
 
 WORDS = 5
 ROWS = 5
@@ -171,12 +170,10 @@ def _confirm(percent: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Dat
     return run
 
 
-def _sets(bitmap):
+def _sets(wanted: KeyFilter):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, mask = bitmap.value, (1 << BITMAP_BITS) - 1
         for pdf in it:
-            at = pdf["doc_id"].to_numpy(dtype=np.int64) & mask
-            part = pdf[(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+            part = pdf[wanted.hit(pdf["doc_id"].to_numpy(dtype=np.int64))]
             for first, h, off in shingles(part["text"].tolist()):
                 ids = part["doc_id"].iloc[first : first + len(off) - 1]
                 yield pd.DataFrame({"node": ids, "shingles": [np.unique(h[off[i] : off[i + 1]]).tobytes() for i in range(len(ids))]})
@@ -185,9 +182,13 @@ def _sets(bitmap):
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, shingles: full sets of the given nodes, written out; texts are not shuffled (a bitmap of fixed size picks them)."""
-    picked = docs.where("doc_id is not null").mapInPandas(_sets(_bitmap(nodes.select(F.col("node").alias("a_key")))), "node long, shingles binary")
-    return materialise(picked.join(nodes.distinct(), "node", "left_semi").distinct())
+    """node, shingles: full sets of the given distinct nodes, written out; texts are not shuffled (a bitmap picks them)."""
+    nodes = materialise(nodes)
+    wanted = key_filter(nodes)
+    picked = docs.where("doc_id is not null").mapInPandas(_sets(wanted), "node long, shingles binary")
+    sets = materialise(picked.join(nodes, "node", "left_semi").distinct())
+    wanted.release()
+    return sets
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:

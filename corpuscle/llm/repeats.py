@@ -4,37 +4,75 @@ Both ask which windows of fixed length (400 bytes, 20 words) occur more than onc
 its *anchor*, the gram of least hash inside it (leftmost on ties), which depends on the window's content only,
 so equal windows meet. Consecutive windows with one anchor form a *segment*. Then:
 
-1. anchors are counted (keys only, with map-side combine);
-2. a bitmap of fixed size over the repeated anchors is broadcast; the segments that pass are joined exactly with
-   the repeated anchors, as keys, hashes and places, without their content;
-3. equal segments of one anchor are grouped (count and first occurrence, with map-side combine), so copies
-   cost one segment however many they are; only first occurrences are then cut from their texts, in a
-   further pass that a second bitmap of fixed size steers, so no text is shuffled;
+1. places of segments are written as keys, hashes and positions, without their content;
+2. equal segments of one anchor are grouped (count and first place, with map-side combine), so copies
+   cost one segment however many they are;
+3. the first place of each distinct segment of an anchor that occurs more than once is cut from its text, in a
+   further pass that bitmaps over the picked places steer, so no text is shuffled;
 4. the distinct segments are dealt by anchor; each task solves runs of anchors of about SHARD_BYTES with
    the index of the operator (a bucket-refined suffix array, an FM-index);
-5. an anchor with more than HOT_BYTES of distinct segments (the edge of a passage with many contexts) isn't left to one task:
-   its windows become rows, grouped by a 128-bit hash, which is exact and has no hot group;
-6. results go back to all occurrences of their segment, by a join that Spark can split at hot keys.
+5. an anchor with more than HOT_BYTES of distinct segments (the edge of a passage with many contexts) isn't left to one
+   task. A window of it can only repeat if the 128-bit hash of the window does, so windows are counted by hash, as keys;
+   of each repeated hash the first and the last window are cut out as segments of one window, dealt by
+   the hash, and solved by the same index in shards of the same size. What it confirms goes back to all windows of that hash;
+6. results go back to all places of their segment, by a join that Spark can split at hot keys.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import ClassVar
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import BLOCK_BYTES, TextBlock, materialise, mix, ngrams, powers, prefix_hash
+from corpuscle.llm.common import BLOCK_BYTES, KeyFilter, TextBlock, key_filter, materialise, mix, ngrams, powers, prefix_hash
 
-#: Bits of the broadcast bitmap over repeated anchors: 8 MB, whatever the input.
-BITMAP_BITS = 26
 SHARD_BYTES = 1 << 20
-#: Most bytes of content that one anchor brings to a task; above it, its windows are grouped as rows. Counted as distinct
-#: segments of a usual length (see ``hot`` of the units).
-HOT_BYTES = 8 << 20
+#: Most bytes of content that one anchor brings to a task, counted as distinct segments of a usual length (see ``hot`` of the
+#: units); above it, its repeated windows are dealt one by one.
+HOT_BYTES = 4 << 20
+
+
+class _ByteTexts:
+    """A block of texts as bytes, laid end to end."""
+
+    def __init__(self, unit: Bytes, texts: list[bytes]):
+        self.unit, self.texts = unit, texts
+        self.off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+
+    def segments(self) -> tuple[np.ndarray, ...]:
+        data, gram = np.frombuffer(b"".join(self.texts), dtype=np.uint8), self.unit.gram
+
+        def grams(a: int, b: int) -> np.ndarray:
+            h = prefix_hash(data[a:b])
+            m = b - a - gram + 1
+            return mix((h[gram:] - h[:m]) * powers(b - a)[1][:m])
+
+        return _segments(self.unit, len(data), grams, self.off)
+
+    def cut(self, i: int, a: int, b: int) -> bytes:
+        """Content of the units from a to b of a text."""
+        return self.texts[i][a:b]
+
+
+class _WordTexts:
+    """A block of texts as words."""
+
+    def __init__(self, unit: Words, texts: list[bytes]):
+        self.unit, self.block = unit, TextBlock(texts, False)
+        self.off = self.block.off
+
+    def segments(self) -> tuple[np.ndarray, ...]:
+        return _segments(self.unit, len(self.block.h), lambda a, b: ngrams(self.block.h[a:b], self.unit.gram), self.off)
+
+    def cut(self, i: int, a: int, b: int) -> bytes:
+        """Content of the words from a to b of a text, with the white space between them."""
+        b_ = self.block
+        return b_.raw[b_.s[self.off[i] + a] : b_.e[self.off[i] + b - 1]]
 
 
 @dataclass(frozen=True)
@@ -43,28 +81,17 @@ class Bytes:
 
     window: int
     gram: int
+    #: Units that are segmented at a time, however long a text is.
+    stretch: int = 1 << 20
     #: Segments are few for each byte of text: their places are written in one pass.
-    prefilter = False
+    prefilter: ClassVar[bool] = False
+    open: ClassVar = _ByteTexts
 
     @property
     def hot(self) -> int:
         """Most distinct segments of an anchor that one task solves, each of about two and a half windows."""
         return max(1, HOT_BYTES * 2 // (self.window * 5))
 
-    def segments(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        if len(data) < self.window:
-            return _none()
-        h = prefix_hash(data)
-        _, inv = powers(len(data))
-        m = len(data) - self.gram + 1
-        return _segments(mix((h[self.gram :] - h[:m]) * inv[:m]), off, self.window, self.gram, h)
-
-    def cutter(self, texts: list[bytes]) -> Callable[[int, int, int], bytes]:
-        """Content of the units from a to b of a text."""
-        return lambda i, a, b: texts[i][a:b]
-
     def window_hashes(self, content: bytes, salt: int) -> np.ndarray:
         data = np.frombuffer(content, dtype=np.uint8) ^ np.uint8(salt)
         h = prefix_hash(data)
@@ -78,63 +105,60 @@ class Words:
 
     window: int
     gram: int
+    #: Units that are segmented at a time, however long a text is.
+    stretch: int = 1 << 20
     #: Segments are many: a first pass finds the repeated anchors, so that only their places are written.
-    prefilter = True
+    prefilter: ClassVar[bool] = True
+    open: ClassVar = _WordTexts
 
     @property
     def hot(self) -> int:
         """Most distinct segments of an anchor that one task solves, each of about one and a half windows of six-byte words."""
         return max(1, HOT_BYTES // (self.window * 8))
 
-    def segments(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        b = TextBlock(texts, False)
-        if len(b.h) < self.window:
-            return _none()
-        h = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(b.h * powers(len(b.h))[0][: len(b.h)], dtype=np.uint64)])
-        return _segments(ngrams(b.h, self.gram), b.off, self.window, self.gram, h)
-
-    def cutter(self, texts: list[bytes]) -> Callable[[int, int, int], bytes]:
-        """Content of the words from a to b of a text, with the white space between them."""
-        block = TextBlock(texts, False)
-        raw, off, s, e = block.raw, block.off.tolist(), block.s, block.e
-        return lambda i, a, b: raw[s[off[i] + a] : e[off[i] + b - 1]]
-
     def window_hashes(self, content: bytes, salt: int) -> np.ndarray:
         return ngrams(mix(TextBlock([content], False).h ^ np.uint64(salt)), self.window)
 
 
-def _none() -> tuple[np.ndarray, ...]:
-    return tuple(np.empty(0, dtype=np.int64) for _ in range(5))
+def _segments(unit, n: int, grams: Callable[[int, int], np.ndarray], off: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(anchor key, text number, first window, number of windows, content hash) of the segments of texts of n units, laid end to end.
 
+    grams(a, b): hash of each gram of the units from a to b. Windows are taken ``stretch`` at a time; where a stretch ends, so does a
+    segment. The content hash is a polynomial over the mixed gram hashes and not over the units, so texts of a regular
+    structure don't collide by it.
+    """
+    out = [tuple(np.empty(0, dtype=np.int64) for _ in range(5))]
+    for at in range(0, n - unit.window + 1, unit.stretch):
+        end = min(n, at + unit.stretch + unit.window - 1)
+        out.append(_stretch(grams(at, end), at, off, unit.window, unit.gram))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
-def _segments(g: np.ndarray, off: np.ndarray, window: int, gram: int, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(anchor key, text number, first window, number of windows, content hash) of the segments of texts laid end to end.
 
-    g: hash of each gram; h: running polynomial hash of the units.
-    """
+def _stretch(g: np.ndarray, at: int, off: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
     width = window - gram + 1
-    low = np.uint64((1 << 26) - 1)
+    bits = int(len(g)).bit_length()
+    low = np.uint64((1 << bits) - 1)
     v = (g & ~low) | np.arange(len(g), dtype=np.uint64)
     size, done = len(v) - width + 1, 1
-    if size <= 0:
-        return _none()
     while done < width:
         step = min(done, width - done)
         v = np.minimum(v[: len(v) - step], v[step:])
         done += step
-    starts = np.arange(size)
-    text = np.searchsorted(off, starts, "right") - 1
+    starts = np.arange(at, at + size)
+    text = np.repeat(np.arange(len(off) - 1), np.diff(np.clip(off, at, at + size)))
     ok = starts + window <= off[text + 1]
     starts, text, anchor = starts[ok], text[ok], (v[ok] & low).astype(np.int64)
     if not len(starts):
-        return _none()
+        return tuple(np.empty(0, dtype=np.int64) for _ in range(5))
     new = np.ones(len(starts), dtype=bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(starts)))
-    a, b = starts[first], starts[first] + count + window - 1
-    content = mix(mix((h[b] - h[a]) * powers(len(h))[1][a]) ^ (b - a).astype(np.uint64))
-    return g[anchor[first]].view(np.int64), text[first], a - off[text[first]], count, content.view(np.int64)
+    up, down = powers(len(g))
+    h = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(g * up[: len(g)], dtype=np.uint64)])
+    a, b = starts[first] - at, starts[first] - at + count + window - gram
+    content = mix(mix((h[b] - h[a]) * down[a]) ^ (b - a).astype(np.uint64))
+    return g[anchor[first]].view(np.int64), text[first], starts[first] - off[text[first]], count, content.view(np.int64)
 
 
 def _text_blocks(texts: pd.Series) -> Iterator[tuple[int, list[bytes]]]:
@@ -150,6 +174,7 @@ def _text_blocks(texts: pd.Series) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def row_key() -> Column:
+    """With doc_id, the key of a row: rows are told apart by (doc_id, hash), so only texts of one doc_id could be mistaken."""
     return F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("text"))
 
 
@@ -157,57 +182,54 @@ def _keys(unit):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             for _, raw in _text_blocks(pdf["text"]):
-                yield pd.DataFrame({"a_key": unit.segments(raw)[0]})
+                yield pd.DataFrame({"a_key": unit.open(unit, raw).segments()[0]})
 
     return run
 
 
-def _hit(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    at = key & ((1 << BITMAP_BITS) - 1)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-
-
 _PLACES = "a_key long, seg_key long, rk long, doc long, start int, n int"
 
 
-def _positions(unit, bitmap):
+def _positions(unit, anchors: KeyFilter | None):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             rk, doc = pdf["rk"].to_numpy(), pdf["doc"].to_numpy()
             for first, raw in _text_blocks(pdf["text"]):
-                key, text, start, count, seg = unit.segments(raw)
-                hit = _hit(bitmap.value, key) if bitmap is not None else np.ones(len(key), dtype=bool)
+                key, text, start, count, seg = unit.open(unit, raw).segments()
+                hit = anchors.hit(key) if anchors is not None else np.ones(len(key), dtype=bool)
                 at = first + text[hit]
                 yield pd.DataFrame({"a_key": key[hit], "seg_key": seg[hit], "rk": rk[at], "doc": doc[at], "start": start[hit].astype(np.int32), "n": count[hit].astype(np.int32)})
 
     return run
 
 
-def _contents(unit, bitmap):
+def _contents(unit, texts: KeyFilter, places: KeyFilter):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
+            pdf = pdf[texts.hit(pdf["rk"].to_numpy())]
             rks, docs = pdf["rk"].to_numpy(), pdf["doc"].to_numpy()
             for first, raw in _text_blocks(pdf["text"]):
-                key, text, start, count, seg = unit.segments(raw)
+                block = unit.open(unit, raw)
+                key, text, start, count, seg = block.segments()
                 rk, doc = rks[first + text], docs[first + text]
-                hit = np.flatnonzero(_hit(bitmap.value, rk ^ start))
-                cut = unit.cutter(raw) if len(hit) else None
-                for at in range(0, len(hit), 4096):
-                    h = hit[at : at + 4096]
-                    content = [cut(i, a, b) for i, a, b in zip(text[h].tolist(), start[h].tolist(), (start[h] + count[h] + unit.window - 1).tolist(), strict=True)]
-                    yield pd.DataFrame({"a_key": key[h], "seg_key": seg[h], "rk": rk[h], "doc": doc[h], "start": start[h].astype(np.int32), "n": count[h].astype(np.int32), "content": content})
+                hit = np.flatnonzero(places.hit(rk ^ start))
+                for at in range(0, len(hit), 2048):
+                    h = hit[at : at + 2048]
+                    content = [block.cut(i, a, b) for i, a, b in zip(text[h].tolist(), start[h].tolist(), (start[h] + count[h] + unit.window - 1).tolist(), strict=True)]
+                    yield pd.DataFrame({"a_key": key[h], "seg_key": seg[h], "doc": doc[h], "start": start[h].astype(np.int32), "n": count[h].astype(np.int32), "content": content})
 
     return run
 
 
-def _bitmap(repeated: DataFrame):
-    """Bit (key mod 2**BITMAP_BITS) set for each key: at most 2**BITMAP_BITS / 8 bytes, gathered as 64-bit words."""
-    at = F.col("a_key").bitwiseAND((1 << BITMAP_BITS) - 1)
-    word = repeated.select(F.shiftright(at, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int")).alias("b"))
-    got = word.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    words = np.zeros(1 << (BITMAP_BITS - 6), dtype=np.int64)
-    words[got["w"].to_numpy(dtype=np.int64)] = got["b"].to_numpy(dtype=np.int64)
-    return repeated.sparkSession.sparkContext.broadcast(words.view(np.uint8))
+def contents(docs: DataFrame, unit, picks: DataFrame) -> DataFrame:
+    """a_key, seg_key, doc, start, n, content of the places in ``picks`` (rk, start; a written table).
+
+    The few other places that the bitmaps let through by chance are later places of a known content, or lone
+    ones, and change nothing.
+    """
+    place = F.col("rk").bitwiseXOR(F.col("start").cast("long"))
+    texts, places = key_filter(picks.select("rk")), key_filter(picks.select(place.alias("p")))
+    return docs.select("rk", "doc", "text").mapInPandas(_contents(unit, texts, places), "a_key long, seg_key long, doc long, start int, n int, content binary")
 
 
 def occurrences(docs: DataFrame, unit) -> DataFrame:
@@ -215,36 +237,19 @@ def occurrences(docs: DataFrame, unit) -> DataFrame:
     source = docs.select("rk", "doc", "text")
     if not unit.prefilter:
         return materialise(source.mapInPandas(_positions(unit, None), _PLACES))
-    repeated = docs.select("text").mapInPandas(_keys(unit), "a_key long").groupBy("a_key").count().where("count > 1").select("a_key")
-    return materialise(source.mapInPandas(_positions(unit, _bitmap(repeated)), _PLACES))
-
+    anchors = docs.select("text").mapInPandas(_keys(unit), "a_key long").groupBy("a_key").count().where("count > 1").select("a_key")
+    repeated = key_filter(materialise(anchors))
+    found = materialise(source.mapInPandas(_positions(unit, repeated), _PLACES))
+    repeated.release()
+    return found
 
-def contested_segments(found: DataFrame, docs: DataFrame, unit) -> tuple[DataFrame, DataFrame]:
-    """(all distinct segments without content, contents of those whose anchor has more than one).
 
-    An anchor with one content needs no index: equal windows share their anchor and their place in the segment, so its
-    windows occur in that content only. Contents aren't joined back, they carry the place they were cut from;
-    the few that the bitmap lets through by chance are later places of a known content, or lone ones, and change nothing.
-    """
+def distinct_segments(found: DataFrame) -> DataFrame:
+    """One row for each content of an anchor that occurs more than once: its count c and its first place (doc, start, rk). Written out."""
     segs = found.groupBy("a_key", "seg_key").agg(F.count("*").alias("c"), F.min(F.struct("doc", "start", "rk")).alias("first"))
     segs = materialise(segs.select("a_key", "seg_key", "c", "first.doc", "first.start", "first.rk"))
-    anchors = materialise(segs.groupBy("a_key").agg(F.count("*").alias("d")).where("d > 1"))
-    contested = segs.join(anchors.select("a_key"), "a_key", "left_semi")
-    picks = _bitmap(contested.select(F.col("rk").bitwiseXOR(F.col("start").cast("long")).alias("a_key")))
-    contents = docs.select("rk", "doc", "text").mapInPandas(_contents(unit, picks), "a_key long, seg_key long, rk long, doc long, start int, n int, content binary")
-    return segs.join(anchors, "a_key", "left").select("a_key", "seg_key", "c", "doc", "start", (F.coalesce("d", F.lit(1)) > unit.hot).alias("hot")), contents.withColumn("c", F.lit(1).cast("long"))
-
-
-def distinct_segments(found: DataFrame, docs: DataFrame, unit) -> DataFrame:
-    """One row for each content of an anchor that occurs more than once: count c, first occurrence (doc, start), n, content. Written out."""
-    segs = found.groupBy("a_key", "seg_key").agg(F.count("*").alias("c"), F.min(F.struct("doc", "start", "rk")).alias("first"), F.first("n").alias("n"))
-    segs = materialise(segs.select("a_key", "seg_key", "c", "first.doc", "first.start", "first.rk", "n"))
-    many = segs.groupBy("a_key").agg(F.sum("c").alias("total")).where("total > 1").select("a_key")
-    segs = materialise(segs.join(many, "a_key"))
-    picks = _bitmap(segs.select(F.col("rk").bitwiseXOR(F.col("start").cast("long")).alias("a_key")))
-    contents = docs.select("rk", "doc", "text").mapInPandas(_contents(unit, picks), "a_key long, seg_key long, rk long, doc long, start int, n int, content binary")
-    got = segs.join(contents.drop("doc", "n"), ["a_key", "seg_key", "rk", "start"]).dropDuplicates(["a_key", "seg_key"])
-    return materialise(got.select("a_key", "seg_key", "c", "doc", "start", "n", "content"))
+    many = segs.groupBy("a_key").agg(F.sum("c").alias("total"), F.count("*").alias("d")).where("total > 1").select("a_key", "d")
+    return materialise(segs.join(many, "a_key"))
 
 
 def _runs(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -293,12 +298,18 @@ def _solve(unit, solver):
         for shard in _runs(it):
             shard = shard.sort_values(["a_key", "seg_key", "doc", "start"]).drop_duplicates(["a_key", "seg_key"])
             flags = solver(unit, shard)
-            out = pd.DataFrame({"a_key": shard["a_key"], "seg_key": shard["seg_key"], "hits": [intervals(f) for f in flags]})
-            yield out
+            some = np.array([f.any() for f in flags], dtype=bool)
+            hits = pd.Series([intervals(f) for f in flags if f.any()], dtype=object)
+            yield pd.DataFrame({"a_key": shard["a_key"].to_numpy()[some], "seg_key": shard["seg_key"].to_numpy()[some], "hits": hits})
 
     return run
 
 
+def indexed(segments: DataFrame, unit, solver) -> DataFrame:
+    """a_key, seg_key and the flagged windows of the segments that have any, by the operator's index over shards of whole anchors."""
+    return segments.repartition("a_key").sortWithinPartitions("a_key").mapInPandas(_solve(unit, solver), _SOLVED)
+
+
 def _window_rows(unit):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -314,7 +325,6 @@ def _window_rows(unit):
                         "a_key": np.repeat(part["a_key"].to_numpy(), n),
                         "seg_key": np.repeat(part["seg_key"].to_numpy(), n),
                         "i": np.concatenate([np.arange(k) for k in n]).astype(np.int32),
-                        "c": np.repeat(part["c"].to_numpy(), n),
                         "doc": np.repeat(part["doc"].to_numpy(), n),
                         "at": np.concatenate([np.arange(k) + s for k, s in zip(n, part["start"], strict=True)]),
                     }
@@ -323,68 +333,78 @@ def _window_rows(unit):
     return run
 
 
-def solve(docs: DataFrame, unit, solver, earlier: bool) -> DataFrame:
-    """rk, removed windows (lo, hi: window starts, hi exclusive) of every occurrence.
+def _single_windows(unit):
+    """Segments of one window each, cut from the content of the segment they lie in."""
 
-    earlier: a window goes if it also starts earlier; else if it also starts anywhere else.
-    """
-    found = occurrences(docs, unit)
-    if earlier:
-        return _solve_earlier(found, docs, unit, solver)
-    segs = distinct_segments(found, docs, unit)
-    hot = segs.groupBy("a_key").count().where(F.col("count") > unit.hot).select("a_key")
-    cold = segs.join(hot, "a_key", "left_anti").repartition("a_key").sortWithinPartitions("a_key").mapInPandas(_solve(unit, solver), _SOLVED)
-    rows = segs.join(hot, "a_key", "left_semi").mapInPandas(_window_rows(unit), "w1 long, w2 long, a_key long, seg_key long, i int, c long, doc long, at long")
-    agg = rows.groupBy("w1", "w2").agg(F.sum("c").alias("total")).where("total > 1")
-    one = rows.join(agg, ["w1", "w2"]).groupBy("a_key", "seg_key").agg(_single("i").alias("hits"))
-    occ = found.join(cold.unionByName(one), ["a_key", "seg_key"])
-    return _runs_of(occ, F.col("hits"))
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            cut = [unit.open(unit, [c]).cut(0, i, i + unit.window) for c, i in zip(pdf["content"], pdf["i"].tolist(), strict=True)]
+            yield pd.DataFrame({"a_key": pdf["w1"], "seg_key": pdf["piece"], "doc": pdf["doc"], "start": pdf["at"].astype(np.int32), "n": np.ones(len(pdf), dtype=np.int32), "content": cut})
 
+    return run
 
-def _single(column: str) -> Column:
-    return F.transform(F.collect_list(column), lambda i: F.struct(i.alias("lo"), (i + 1).alias("hi")))
 
+def _hot_windows(docs: DataFrame, unit, solver, hot: DataFrame, earlier: bool) -> DataFrame:
+    """As ``indexed``, for anchors with more content than one task takes. hot: a_key, seg_key, rk, start; written out."""
+    own = materialise(contents(docs, unit, hot).join(hot.select("a_key", "seg_key", "start"), ["a_key", "seg_key", "start"], "left_semi").dropDuplicates(["a_key", "seg_key"]))
+    rows = materialise(own.mapInPandas(_window_rows(unit), "w1 long, w2 long, a_key long, seg_key long, i int, doc long, at long"))
+    place = F.struct("doc", "at", "a_key", "seg_key", "i")
+    shared = materialise(rows.groupBy("w1", "w2").agg(F.count("*").alias("m"), F.min(place).alias("first"), F.max(place).alias("last")).where("m > 1"))
+    both = F.explode(F.array(F.struct(F.col("first").alias("p"), F.col("w2").alias("piece")), F.struct(F.col("last").alias("p"), F.bitwise_not("w2").alias("piece"))))
+    picked = shared.select("w1", both.alias("e")).select("w1", "e.piece", "e.p.*")
+    pieces = picked.join(own.select("a_key", "seg_key", "content"), ["a_key", "seg_key"]).select("w1", "piece", "doc", "at", "i", "content")
+    solved = indexed(pieces.mapInPandas(_single_windows(unit), "a_key long, seg_key long, doc long, start int, n int, content binary"), unit, solver)
+    sure = shared.join(solved.select(F.col("a_key").alias("w1"), F.bitwise_not("seg_key").alias("w2")), ["w1", "w2"], "left_semi").select("w1", "w2", "first")
+    flagged = rows.join(sure, ["w1", "w2"])
+    if earlier:
+        flagged = flagged.where(F.struct("doc", "at") != F.struct("first.doc", "first.at"))
+    hits = F.transform(F.collect_list("i"), lambda i: F.struct(i.alias("lo"), (i + 1).alias("hi")))
+    return flagged.groupBy("a_key", "seg_key").agg(hits.alias("hits"))
 
-def _runs_of(occ: DataFrame, hits: Column) -> DataFrame:
-    occ = occ.select("rk", F.transform(hits, lambda h: F.struct((h["lo"] + F.col("start")).alias("lo"), (h["hi"] + F.col("start")).alias("hi"))).alias("runs"))
-    return occ.where(F.size("runs") > 0)
 
+def solve(docs: DataFrame, unit, solver, earlier: bool) -> DataFrame:
+    """rk, doc, removed windows (lo, hi: window starts, hi exclusive) of every occurrence.
 
-def _solve_earlier(found: DataFrame, docs: DataFrame, unit, solver) -> DataFrame:
-    segs, contents = contested_segments(found, docs, unit)
-    hot = materialise(segs.where("hot").select("a_key", "seg_key", "doc", "start"))
-    cold = contents
-    if not hot.isEmpty():
-        cold = contents.join(hot.select("a_key").distinct(), "a_key", "left_anti")
-    solved = cold.repartition("a_key").sortWithinPartitions("a_key").mapInPandas(_solve(unit, solver), _SOLVED)
-    if not hot.isEmpty():
-        first = contents.join(hot, ["a_key", "seg_key", "doc", "start"], "left_semi").dropDuplicates(["a_key", "seg_key"])
-        rows = first.mapInPandas(_window_rows(unit), "w1 long, w2 long, a_key long, seg_key long, i int, c long, doc long, at long")
-        agg = rows.groupBy("w1", "w2").agg(F.min(F.struct("doc", "at")).alias("least"), F.count("*").alias("n")).where("n > 1")
-        solved = solved.unionByName(rows.join(agg, ["w1", "w2"]).where(F.struct("doc", "at") != F.col("least")).groupBy("a_key", "seg_key").agg(_single("i").alias("hits")))
-    first = segs.withColumnsRenamed({"doc": "f_doc", "start": "f_start"}).drop("hot").join(solved.where(F.size("hits") > 0), ["a_key", "seg_key"], "left").where("c > 1 or hits is not null")
+    earlier: a window goes if it also starts earlier; else if it also starts anywhere else.
+    """
+    found = occurrences(docs, unit)
+    segs = distinct_segments(found)
+    hot = materialise(segs.where(F.col("d") > unit.hot).select("a_key", "seg_key", "rk", "start"))
+    if hot.isEmpty():
+        solved = indexed(contents(docs, unit, segs), unit, solver)
+    else:
+        cold = materialise(segs.where(F.col("d") <= unit.hot).select("rk", "start"))
+        rest = contents(docs, unit, cold).join(hot.select("a_key").distinct(), "a_key", "left_anti")
+        solved = indexed(rest, unit, solver).unionByName(_hot_windows(docs, unit, solver, hot, earlier))
+    first = segs.select("a_key", "seg_key", "c", F.col("doc").alias("f_doc"), F.col("start").alias("f_start"))
+    first = first.join(solved, ["a_key", "seg_key"], "left").where("c > 1 or hits is not null")
     occ = found.join(first, ["a_key", "seg_key"])
-    whole = (F.col("doc") != F.col("f_doc")) | (F.col("start") != F.col("f_start"))
-    return _runs_of(occ, F.when(whole, F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi")))).otherwise(F.col("hits")))
+    # a copy of a segment goes as a whole; the segment itself by what the index says of its content
+    whole = (F.col("doc") != F.col("f_doc")) | (F.col("start") != F.col("f_start")) if earlier else F.col("c") > 1
+    hits = F.when(whole, F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi")))).otherwise(F.col("hits"))
+    occ = occ.select("rk", "doc", F.transform(hits, lambda h: F.struct((h["lo"] + F.col("start")).alias("lo"), (h["hi"] + F.col("start")).alias("hi"))).alias("runs"))
+    return occ.where(F.size("runs") > 0)
 
 
 def removed_by_row(docs: DataFrame, unit, solver, earlier: bool, finish, schema: str) -> DataFrame:
     """doc_id and the columns of ``schema`` for each row of docs (rk, doc, doc_id, text); finish(text bytes, runs) gives their values.
 
-    Rows without a removed window are finished in the first pass; only texts with one (by a bitmap of fixed size) are shuffled.
+    Rows without a removed window are finished in the first pass; only texts with one (by a bitmap) are shuffled.
+    Runs are gathered as a set, so a row that is repeated many times brings its runs once.
     """
-    runs = solve(docs.select("rk", "doc", "text"), unit, solver, earlier).groupBy("rk").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    runs = solve(docs.select("rk", "doc", "text"), unit, solver, earlier).groupBy("rk", "doc").agg(F.flatten(F.collect_set("runs")).alias("runs"))
     runs = materialise(runs)
-    touched = _bitmap(runs.select(F.col("rk").alias("a_key")))
+    touched = key_filter(runs.select("rk"))
     names = [c.split()[0] for c in schema.split(", ")]
 
     def first(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            hit = _hit(touched.value, pdf["rk"].to_numpy())
+            hit = touched.hit(pdf["rk"].to_numpy())
             done = [(None,) * len(names) if h else finish(t.encode("utf-8", "surrogatepass"), None) for h, t in zip(hit, pdf["text"], strict=True)]
             out = pd.DataFrame(done, columns=names).convert_dtypes() if len(done) else pd.DataFrame(columns=names)
             out.insert(0, "text", pdf["text"].where(hit, None).to_numpy())
             out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy())
+            out.insert(0, "doc", pdf["doc"].to_numpy())
             out.insert(0, "rk", pdf["rk"].to_numpy())
             yield out
 
@@ -396,8 +416,8 @@ def removed_by_row(docs: DataFrame, unit, solver, earlier: bool, finish, schema:
             out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy())
             yield out
 
-    early = docs.select("rk", "doc_id", "text").mapInPandas(first, f"rk long, doc_id long, text string, {schema}")
-    return early.join(runs, "rk", "left").drop("rk").mapInPandas(second, f"doc_id long, {schema}")
+    early = docs.select("rk", "doc", "doc_id", "text").mapInPandas(first, f"rk long, doc long, doc_id long, text string, {schema}")
+    return early.join(runs, ["rk", "doc"], "left").drop("rk", "doc").mapInPandas(second, f"doc_id long, {schema}")
 
 
 def covered(runs, window: int, size: int) -> np.ndarray:

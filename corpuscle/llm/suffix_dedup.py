@@ -4,8 +4,9 @@ Inside a shard all suffixes are first put into buckets by their first 8 bytes, a
 its bucket's end. Buckets of more than one suffix are then refined: sorted by the bucket pointers of the suffixes
 a fixed offset later, which splits them to twice the depth; the new pointers are used by the next, deeper
 refinement at once, so depth goes 8, 16, 32 ... and last to the window's length, by the pointers
-of offset (length - depth). Buckets then hold exactly the equal windows, compared byte by byte
-and not by hash. A window goes if its bucket stands for more than one occurrence in the input.
+of offset (length - depth). Buckets then hold exactly the equal windows of the shard's segments, compared byte by byte.
+A window goes if its bucket holds more than one window, or if its segment (told by two 64-bit hashes, see
+``repeats``) occurs more than once.
 
 Defined results: null text is empty text; a text shorter than the window keeps all bytes; equal rows are each
 other's copies, so they lose every window; removed runs are maximal; matches never cross documents; the kept bytes
@@ -67,14 +68,14 @@ def _point(pointer: np.ndarray, order: np.ndarray, key: np.ndarray, slot: np.nda
 
 
 def solver(unit: repeats.Bytes, shard: pd.DataFrame) -> list[np.ndarray]:
-    """For each segment, which windows stand for more than one occurrence."""
+    """For each distinct segment, which windows occur in another one as well."""
     contents = shard["content"].tolist()
     data = np.frombuffer(b"".join(contents), dtype=np.uint8)
     begin = np.concatenate([[0], np.cumsum([len(c) for c in contents])])
     pointer = bucket_refine(data, unit.window)
     n = shard["n"].to_numpy(dtype=np.int64)
     at = np.repeat(begin[:-1] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-    total = np.bincount(pointer[at], weights=np.repeat(shard["c"].to_numpy(), n), minlength=len(data))
+    total = np.bincount(pointer[at], minlength=len(data))
     return np.split(total[pointer[at]] > 1, np.cumsum(n)[:-1])
 
 

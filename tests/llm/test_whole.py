@@ -5,7 +5,8 @@ import itertools
 import numpy as np
 import pytest
 
-from corpuscle.llm import ann, minhash
+from corpuscle.llm import ann, minhash, repeats
+from corpuscle.llm.common import key_filter, materialise
 from corpuscle.plans import formats
 from tests.llm.test_ops import collected, near_rows, table
 from tests.oracle import FOLDER
@@ -94,3 +95,25 @@ def test_session_stream_is_written_in_its_own_partitions(spark, tmp_path, monkey
     finally:
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert len(spark.read.parquet(made[0]).inputFiles()) > 2
+
+
+@pytest.mark.parametrize("unit", [repeats.Bytes(20, 6), repeats.Words(8, 3)])
+def test_a_long_text_is_segmented_stretch_by_stretch(unit):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["a", "be", "see"], n)).encode() for n in (3, 900, 0, 40)]
+
+    def anchors(u):
+        key, text, start, count, _ = u.open(u, texts).segments()
+        return {(int(t), s + i): int(k) for k, t, s, c in zip(key, text, start.tolist(), count.tolist(), strict=True) for i in range(c)}
+
+    whole = anchors(unit)
+    assert len(whole) > 600 and anchors(type(unit)(unit.window, unit.gram, 50)) == whole
+
+
+def test_key_filter_has_all_keys_and_few_others(spark):
+    keys = materialise(spark.range(0, 30_000_000, 1_000).selectExpr("xxhash64(id) AS k"))
+    own = keys.toPandas()["k"].to_numpy()
+    found = key_filter(keys)
+    other = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 100_000)
+    assert found.hit(own).all() and found.hit(other).mean() < 0.1 and found.bits == 19
+    assert not key_filter(keys.limit(0)).hit(other).any()
