@@ -123,14 +123,20 @@ class Words:
 def _segments(unit, n: int, grams: Callable[[int, int], np.ndarray], off: np.ndarray) -> tuple[np.ndarray, ...]:
     """(anchor key, text number, first window, number of windows, content hash) of the segments of texts of n units, laid end to end.
 
-    grams(a, b): hash of each gram of the units from a to b. Windows are taken ``stretch`` at a time; where a stretch ends, so does a
-    segment. The content hash is a polynomial over the mixed gram hashes and not over the units, so texts of a regular
+    grams(a, b): hash of each gram of the units from a to b. Windows are taken about ``stretch`` at a time. A text longer than that
+    is cut at multiples of ``stretch`` from its own start, and its segments too, so they don't depend on its neighbours. The content hash is a polynomial over the mixed gram hashes and not over the units, so texts of a regular
     structure don't collide by it.
     """
     out = [tuple(np.empty(0, dtype=np.int64) for _ in range(5))]
-    for at in range(0, n - unit.window + 1, unit.stretch):
-        end = min(n, at + unit.stretch + unit.window - 1)
-        out.append(_stretch(grams(at, end), at, off, unit.window, unit.gram))
+    cuts = [0]
+    for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+        if b - cuts[-1] > unit.stretch and a > cuts[-1]:
+            cuts.append(a)
+        cuts += range(a + unit.stretch, b, unit.stretch)
+    for at, next_ in zip(cuts, [*cuts[1:], n], strict=True):
+        end = min(n, next_ + unit.window - 1)
+        if end - at >= unit.window:
+            out.append(_stretch(grams(at, end), at, off, unit.window, unit.gram))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
