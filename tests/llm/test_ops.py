@@ -245,23 +245,64 @@ def test_bpe_of_long_texts_is_whole(spark):
     assert got == sorted(want)
 
 
-def test_decontamination_recall_and_clean_texts(spark):
+def folded(t):
+    return decontaminate.fold([(t or "").encode()])[0][1:].tobytes().decode().strip()
+
+
+def edited(rng, t, rate, kind):
+    if kind == "words":
+        w, left = t.split(" "), len(t) * rate
+        while left > 3:
+            i = rng.randrange(len(w))
+            left -= len(w[i])
+            w[i] = "".join(rng.choice("qzxk") for _ in w[i])
+        return " ".join(w)
+    c = list(t)
+    for _ in range(int(len(t) * rate)):
+        i = rng.randrange(len(c))
+        c[i : i + 1] = rng.choice(([], ["q"], [c[i], "z"]))
+    return "".join(c)
+
+
+@pytest.mark.parametrize("kind", ["characters", "words"])
+def test_decontamination_equals_exact_search(spark, kind):
+    """All pairs within the threshold, by exact search, at 5 to 20 % edits."""
     rng = random.Random(8)
     vocabulary = ["".join(rng.choice(("th", "er", "on", "an", "re", "en")) for _ in range(rng.randint(1, 4))) for _ in range(400)]
     text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
-    items = [(i, text(rng.randint(16, 50))) for i in range(40)] + [(99, "one two three four five six"), (100, None), (101, "")]
-    rows, want = [], set()
-    for i, t in items[:41]:
-        w = t.split(" ")
-        for _ in range(len(w) // 10):
-            w[rng.randrange(len(w))] = rng.choice(("", "changed"))
-        rows.append((i, f"{text(60)} {' '.join(w).upper()}! {text(30)}"))
-        want.add((i, i))
-    rows += [(1000 + i, text(200)) for i in range(30)] + [(2000, None), (2001, "")]
-    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(table(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert len(got & want) >= 0.97 * len(want) and not {d for d, _ in got if d >= 1000}
-    clean = decontaminate.decontaminate(table(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
-    assert clean.columns == ["doc_id", "text", "shard", "score", "start"] and {r[0] for r in clean.collect()} >= {1000, 2000, 2001}
+    items = [(i, text(rng.randint(8, 50))) for i in range(40)] + [(98, text(100)), (99, "one two three four five six"), (100, None), (101, ""), (102, "Qé!"), (103, items_ := "equal item of a few words"), (104, items_)]
+    rows = []
+    for k, rate in enumerate((0.05, 0.1, 0.15, 0.2)):
+        for i, t in [items[-7], items[-6], *items[:40]]:
+            rows.append((k * 1000 + i, f"{text(60)} {edited(rng, t, rate, kind).upper()}! {text(30)}"))
+    rows += [(5000 + i, text(150)) for i in range(30)] + [(6000, None), (6001, ""), (6002, "a qé b"), (6003, "xqé qéx"), (6004, "An equal, item of a few words."), (6004, "An equal, item of a few words.")]
+    want = []
+    for d, t in rows:
+        for i, x in items:
+            x, y = folded(x), folded(t)
+            if x and (f" {x} " in f" {y} " if len(x) < decontaminate.SHORT else decontaminate.infix_distance(x, y) <= int(0.2 * len(x) + 1e-9)):
+                want.append((d, i))
+    table_ = table(spark, rows)
+    got = [(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(table_, spark.createDataFrame(items, "item_id long, text string")).collect()]
+    assert set(got) <= set(want) and len(got) == len(set(got)) + 2 and len(want) > 130
+    for k in range(4):
+        here = {p for p in want if k * 1000 <= p[0] < k * 1000 + 1000}
+        assert len(here & set(got)) >= 0.95 * len(here) > 15
+    assert {p for p in got if p[0] >= 6000} == {(6002, 102), (6004, 103), (6004, 104)}
+    clean = decontaminate.decontaminate(table_, spark.createDataFrame(items, "item_id long, text string"))
+    assert clean.columns == ["doc_id", "text", "shard", "score", "start"] and sorted(r[0] for r in clean.collect()) == sorted(d for d, _ in rows if d not in {g[0] for g in got})
+
+
+def test_parts_never_rule_out_a_match():
+    rng = random.Random(3)
+    for _ in range(40):
+        item = "".join(rng.choice("abcdé ") for _ in range(rng.randint(12, 300))).strip() or "a"
+        most = len(item) // 5
+        text = folded("zz " + edited(rng, item, 0.2, "characters") + " zz")
+        if decontaminate.infix_distance(item, text) <= most:
+            data, off = decontaminate.fold([text.encode()])
+            parts = decontaminate._Parts([(7, item.encode())], [most])
+            assert parts.possible(data, [7], off[:1], off[1:] - 1).all()
 
 
 def test_infix_distance():
