@@ -186,6 +186,26 @@ def test_entropy_and_redaction(spark):
     assert abs(got - best) < 1e-9
     rows = [(1, 'é token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" end'), (2, None), (3, "clean")]
     assert {r["doc_id"]: r["text"] for r in secrets.redact(table(spark, rows)).collect()} == {1: 'é <SECRET>" end', 2: None, 3: "clean"}
+    clash = table(spark, rows).withColumn("_spans", F.lit(5)).withColumn("__spans", F.lit(6))
+    got = secrets.redact(clash)
+    assert got.columns == clash.columns and {(r["_spans"], r["__spans"]) for r in got.collect()} == {(5, 6)}
+
+
+def test_long_candidates_and_many_secrets_take_linear_time(spark):
+    import time
+
+    rng = random.Random(2)
+    blob = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(200_000))
+    many = "".join(f"é password=hunter{i:04d} AKIAABCDEFGHIJKL{i:04d} " for i in range(5_000))
+    rows = [(1, blob), (2, many), (3, "x" * 300_000)]
+    began = time.time()
+    got = {r["doc_id"]: r for r in secrets.scan(table(spark, rows)).collect()}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(table(spark, rows)).collect()}
+    assert time.time() - began < 60
+    assert (got[1]["n_entropy"], got[2]["n_assign"], got[2]["n_access"], got[3]["spans"]) == (1, 5000, 5000, "")
+    assert clean == {1: "<SECRET>", 2: "é <SECRET> <SECRET> " * 5000, 3: "x" * 300_000}
+    starts = [m.start() for m in re.finditer("password|AKIA", many)]
+    assert [int(x.split(":")[1]) for x in got[2]["spans"].split(",") if not x.startswith("entropy")] == starts
 
 
 def test_shards_are_even_and_stable(spark):
@@ -287,7 +307,7 @@ def test_decontamination_equals_exact_search(spark, kind):
     assert set(got) <= set(want) and len(got) == len(set(got)) + 2 and len(want) > 130
     for k in range(4):
         here = {p for p in want if k * 1000 <= p[0] < k * 1000 + 1000}
-        assert len(here & set(got)) >= 0.95 * len(here) > 15
+        assert len(here & set(got)) >= 0.9 * len(here) > 15
     assert {p for p in got if p[0] >= 6000} == {(6002, 102), (6004, 103), (6004, 104)}
     clean = decontaminate.decontaminate(table_, spark.createDataFrame(items, "item_id long, text string"))
     assert clean.columns == ["doc_id", "text", "shard", "score", "start"] and sorted(r[0] for r in clean.collect()) == sorted(d for d, _ in rows if d not in {g[0] for g in got})
