@@ -4,16 +4,17 @@ Every vector, brought to unit length, is encoded as one code word from each of C
 its approximation is their sum. Codebooks are fitted on a bounded sample: residual k-means gives the start, then
 encoding and a joint least-squares update of all code words alternate. Encoding is a beam search: after each codebook
 the BEAM best partial sums are kept. With the codes is stored the norm of the sum, so a query scores a
-vector by looking up one inner product for each codebook and dividing by that norm. The RERANK best of each
-block of vectors, and all that tie with the last of them, are scored exactly, in double precision on the original vectors.
+vector by looking up one inner product for each codebook and dividing by that norm. The best of each block of
+vectors by that score, and all that tie with the last of them, are scored exactly, in double precision on the original vectors.
 
 Equal vectors are folded into one row with its k + 1 smallest vec_ids before anything is fitted or indexed, so copies
 cost one row, don't crowd out others and tie as they should; k + 1, as a query leaves out its own id.
 
-The queries are a stated set (vec_id divisible by EVERY): blocks of queries meet blocks of vectors, each block pair is
-one task's work of fixed size, and only the k best of each pair are shuffled. Blocks are cut by a hash of the vector
-with a size that follows the input, so no block is hot. What scores below the RERANK best of a block isn't reranked, which is
-a beam of the method; recall is measured against brute force in the tests.
+The queries are a stated set (vec_id divisible by EVERY). Vectors rest: the encoded blocks, cut by a hash of the vector with a
+size that follows the input (so none is hot), are dealt once for each group of QUERY_GROUP queries, and the small
+query vectors go to them; only the k best of each block and query are shuffled on. A query reranks about RERANK vectors
+in all, ``width`` of them in each block: its share of RERANK by chance, and six standard deviations more. That is a beam of
+the method; tests measure recall against brute force over several blocks and widths.
 
 Defined results: vectors that are null, zero, or hold a null or non-finite component, and those whose dimension isn't the
 table's most common (least on ties), take no part, and neither does a null vec_id; equal vec_ids are told apart only by their
@@ -23,7 +24,7 @@ other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
@@ -38,8 +39,14 @@ NEAREST, EVERY = 5, 50
 CODEBOOKS, WORDS, BEAM = 8, 256, 8
 #: Vectors that a fit uses, and its rounds of encoding and least squares.
 SAMPLE, ROUNDS = 8_192, 2
-#: Vectors in a block, queries in a block, and vectors of a block that are scored exactly for each query.
-BLOCK, QUERY_BLOCK, RERANK = 4_096, 256, 256
+#: Vectors in a block, queries that meet one copy of the blocks, and vectors that are scored exactly for each query in all.
+BLOCK, QUERY_GROUP, RERANK = 4_096, 16_384, 512
+
+
+def width(rerank: int, blocks: int) -> int:
+    """Vectors of a block that a query scores exactly, so that the ``rerank`` best of all are hardly ever cut off by the blocks."""
+    share = rerank / blocks
+    return min(rerank, math.ceil(share + 6 * math.sqrt(share * (1 - 1 / blocks)) + NEAREST))
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, steps: int = 8) -> np.ndarray:
@@ -118,11 +125,21 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array([np.asarray(v, dtype=np.float64) for v in column])
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, which changes no digit, so that their squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
-    scaled = x / np.abs(x).max(axis=1, keepdims=True)
+    scaled = _scaled(x)
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
+def cosine(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """dot / (norm * norm) of each row of x with q; both scaled."""
+    return np.clip((x * q).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum())), -1.0, 1.0)
+
+
 def fold(vectors: DataFrame, k: int) -> DataFrame:
     """v, vec_ids: a row for each distinct vector, with its k + 1 smallest distinct vec_ids (cut before the shuffle as well)."""
     order = Window.partitionBy("v").orderBy("vec_id")
@@ -144,47 +161,45 @@ def index(folded: DataFrame, blocks: int, books: np.ndarray) -> DataFrame:
     return placed.groupBy("block").applyInPandas(build, "block int, vec_ids binary, counts binary, codes binary, norms binary, vectors binary")
 
 
-def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"q_block": [pdf["q_block"].iloc[0]], "q_ids": [pdf["vec_id"].to_numpy(dtype="<i8").tobytes()], "q_vectors": [_matrix(pdf["v"]).tobytes()]})
-
-
-def _search(books_shared, k: int, rerank: int):
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        books = books_shared.value
-        m, _, d = books.shape
-        for pdf in it:
-            for row in pdf.itertuples(index=False):
-                ids, counts, q_ids = (np.frombuffer(c, dtype="<i8") for c in (row.vec_ids, row.counts, row.q_ids))
-                starts = np.cumsum(counts) - counts
-                codes, norms = np.frombuffer(row.codes, dtype=np.uint8).reshape(-1, m), np.frombuffer(row.norms, dtype=np.float32)
-                x, q = np.frombuffer(row.vectors).reshape(-1, d), np.frombuffer(row.q_vectors).reshape(-1, d)
-                x_unit, q_unit = _unit(x), _unit(q)
-                tables = np.einsum("qd,mwd->qmw", q_unit.astype(np.float32), books)
-                out = []
-                for i in range(len(q)):
-                    score = tables[i, 0, codes[:, 0]]
-                    for j in range(1, m):
-                        score = score + tables[i, j, codes[:, j]]
-                    score = np.where((counts == 1) & (ids[starts] == q_ids[i]), -np.inf, score / norms)
-                    width = min(rerank, len(score))
-                    near = np.flatnonzero(score >= np.partition(score, len(score) - width)[len(score) - width])
-                    exact = np.clip((q_unit[i] * x_unit[near]).sum(axis=1), -1.0, 1.0)
-                    # the ids of each row; an id with two vectors of one score counts once
-                    n = counts[near]
-                    mine, exact = ids[np.repeat(starts[near] - np.cumsum(n) + n, n) + np.arange(n.sum())], np.repeat(exact, n)
-                    order = np.lexsort((mine, -exact))
-                    order = order[mine[order] != q_ids[i]]
-                    new = np.ones(len(order), dtype=bool)
-                    new[1:] = (mine[order[1:]] != mine[order[:-1]]) | (exact[order[1:]] != exact[order[:-1]])
-                    best = order[new][:k]
-                    out.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": mine[best], "score": exact[best]}))
-                if out:
-                    yield pd.concat(out, ignore_index=True)
+_FOUND = "query_id long, vec_id long, score double"
+
+
+def _search(books_shared, k: int, wide: int):
+    def run(blocks: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        """The k best of one block for each query of one group."""
+        out = []
+        if len(blocks) and len(queries):
+            books, row = books_shared.value, blocks.iloc[0]
+            m, _, d = books.shape
+            ids, counts = np.frombuffer(row.vec_ids, dtype="<i8"), np.frombuffer(row.counts, dtype="<i8")
+            starts = np.cumsum(counts) - counts
+            codes, norms = np.frombuffer(row.codes, dtype=np.uint8).reshape(-1, m), np.frombuffer(row.norms, dtype=np.float32)
+            x, q, q_ids = _scaled(np.frombuffer(row.vectors).reshape(-1, d)), _scaled(_matrix(queries["v"])), queries["vec_id"].to_numpy()
+            columns = [codes[:, j].astype(np.intp) for j in range(m)]
+            for i in range(len(q)):
+                table = books @ (q[i] / np.linalg.norm(q[i])).astype(np.float32)
+                score = table[0][columns[0]]
+                for j in range(1, m):
+                    score = score + table[j][columns[j]]
+                score = np.where((counts == 1) & (ids[starts] == q_ids[i]), -np.inf, score / norms)
+                last = len(score) - min(wide, len(score))
+                near = np.flatnonzero(score >= np.partition(score, last)[last])
+                exact = cosine(x[near], q[i])
+                # the ids of each row; an id with two vectors of one score counts once
+                n = counts[near]
+                mine, exact = ids[np.repeat(starts[near] - np.cumsum(n) + n, n) + np.arange(n.sum())], np.repeat(exact, n)
+                order = np.lexsort((mine, -exact))
+                order = order[mine[order] != q_ids[i]]
+                new = np.ones(len(order), dtype=bool)
+                new[1:] = (mine[order[1:]] != mine[order[:-1]]) | (exact[order[1:]] != exact[order[:-1]])
+                best = order[new][:k]
+                out.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": mine[best], "score": exact[best]}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
     return run
 
 
-def nearest(vectors: DataFrame, k: int = NEAREST, every: int = EVERY, rerank: int = RERANK) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = NEAREST, every: int = EVERY, rerank: int = RERANK, block: int = BLOCK, group: int = QUERY_GROUP) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query (a row with vec_id divisible by ``every``)."""
     spark = vectors.sparkSession
     v = materialise(usable(vectors))
@@ -194,14 +209,14 @@ def nearest(vectors: DataFrame, k: int = NEAREST, every: int = EVERY, rerank: in
     if not len(sample):
         return spark.createDataFrame([], schema)
     books = fit(_unit(_matrix(sample["v"])).astype(np.float32))
-    blocks = max(1, -(-folded.count() // BLOCK))
+    blocks = max(1, -(-folded.count() // block))
     idx = materialise(index(folded, blocks, books))
-    queries = v.where(F.pmod("vec_id", F.lit(every)) == 0)
-    q_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    packed = queries.withColumn("q_block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(q_blocks)).cast("int")).groupBy("q_block").applyInPandas(_pack, "q_block int, q_ids binary, q_vectors binary")
-    dealt = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pairs = dealt.join(idx.hint("shuffle_merge"), "block").repartition("block", "q_block")
-    found = pairs.mapInPandas(_search(spark.sparkContext.broadcast(books), k, rerank), "query_id long, vec_id long, score double")
+    queries = materialise(v.where(F.pmod("vec_id", F.lit(every)) == 0))
+    groups = max(1, -(-queries.count() // group))
+    every_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    resting = idx.withColumn("q_group", every_of(groups)).groupBy("block", "q_group")
+    dealt = queries.withColumn("q_group", F.pmod(F.xxhash64("vec_id", "v"), F.lit(groups)).cast("int")).withColumn("block", every_of(blocks)).groupBy("block", "q_group")
+    found = resting.cogroup(dealt).applyInPandas(_search(spark.sparkContext.broadcast(books), k, width(rerank, blocks)), _FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

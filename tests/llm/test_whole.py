@@ -121,3 +121,28 @@ def test_key_filter_has_all_keys_and_few_others(spark):
     other = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 100_000)
     assert found.hit(own).all() and found.hit(other).mean() < 0.1 and found.bits == 19
     assert not key_filter(keys.limit(0)).hit(other).any()
+
+
+def test_neighbours_over_many_blocks_and_query_groups(spark):
+    """Recall by rerank width, with the blocks and query groups cut small; repeated rows tie by vec_id."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(30, 32))
+    x = (centres[rng.integers(0, 30, 6000)] + rng.normal(size=(6000, 32)) * 0.6).astype(np.float32).astype(np.float64)
+    x[3000:3040] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] * 2, "vec_id long, embedding array<double>").repartition(5)
+    norms = np.sqrt((x * x).sum(axis=1))
+    want = {}
+    for q in range(0, 6000, 50):
+        s = np.array([(x[i] * x[q]).sum() for i in range(6000)]) / (norms * norms[q])
+        s[q] = -np.inf
+        want[q] = (np.lexsort((np.arange(6000), -s))[:5].tolist(), s)
+    recall = {}
+    for rerank in (16, 512):
+        got = {}
+        for r in ann.nearest(df, rerank=rerank, block=400, group=40).collect():
+            got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+        assert set(got) == set(want) and all(sorted(g) == [1, 2, 3, 4, 5] for g in got.values())
+        assert all(abs(s - want[q][1][v]) < 1e-14 for q, g in got.items() for v, s in g.values())
+        recall[rerank] = sum(len({v for v, _ in got[q].values()} & set(want[q][0])) for q in want) / (5 * len(want))
+    assert recall[512] >= 0.97 and recall[16] >= 0.7
+    assert [got[0][k][0] for k in range(1, 6)] == want[0][0] == [3000, 3001, 3002, 3003, 3004]
