@@ -383,7 +383,8 @@ def solve(docs: DataFrame, unit, solver, earlier: bool) -> DataFrame:
         rest = contents(docs, unit, cold).join(hot.select("a_key").distinct(), "a_key", "left_anti")
         solved = indexed(rest, unit, solver).unionByName(_hot_windows(docs, unit, solver, hot, earlier))
     first = segs.select("a_key", "seg_key", "c", F.col("doc").alias("f_doc"), F.col("start").alias("f_start"))
-    first = first.join(solved, ["a_key", "seg_key"], "left").where("c > 1 or hits is not null")
+    # written out, so that Spark can split the join below at segments of many copies
+    first = materialise(first.join(solved, ["a_key", "seg_key"], "left").where("c > 1 or hits is not null"))
     occ = found.join(first, ["a_key", "seg_key"])
     # a copy of a segment goes as a whole; the segment itself by what the index says of its content
     whole = (F.col("doc") != F.col("f_doc")) | (F.col("start") != F.col("f_start")) if earlier else F.col("c") > 1
