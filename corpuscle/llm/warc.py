@@ -3,14 +3,16 @@
 Writing: each page is a WARC/1.1 record. Of pages with equal payloads of at least MIN_REVISIT bytes, the one of
 largest page_id is a response and the others are revisit records without a body that refer to it. The records
 go through Spark's text writer, whose line separator is the two CRLFs that end a record, so archives land in
-any file system Spark can write; RECORDS_PER_FILE bounds an archive.
+any file system Spark can write. Pages are written by size class, and each class has as many records to an archive as keep it
+below about ARCHIVE_BYTES, since an archive is read whole; a larger page has an archive of its own.
 
 Reading: archives are read as binary files and cut by their Content-Length headers. Each archive gives a capture
 run, sorted locally by URL key and timestamp. Runs are written out, dealt by ranges of (URL key, timestamp,
-page_id), and each range is merged from its runs with a loser tree: k-way, one comparison a
-level for each row, no sort of the whole. Ranges follow each other, so partitions are in global order and hold
-each URL's capture history in time order. The range key ends in page_id, so one hot URL is dealt over many
-ranges.
+page_id, archive, place), and each range is merged from its runs with a loser tree: k-way, one comparison a
+level for each row. Ranges follow each other, so partitions are in global order and hold
+each URL's capture history in time order. There is a range for about RANGE_ROWS rows, whatever the cluster's settings, and
+as the range key ends in the record's place, neither a hot URL nor a page repeated many times fills one. Rows of one run come
+together in run order (Spark sorts by archive and place in the run, and spills).
 
 Defined results: null html is an empty payload; null url has no target header and an empty URL key; pages of
 equal payload and equal largest page_id (repeated rows) are all responses; a null page_id counts as smallest;
@@ -24,7 +26,6 @@ import hashlib
 from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +33,10 @@ from pyspark.sql import functions as F
 from corpuscle.llm.common import materialise, shared_dir
 
 MIN_REVISIT = 1000
-RECORDS_PER_FILE = 2_000
+#: About the most bytes of an archive, and the most bytes of a record in each size class but the last.
+ARCHIVE_BYTES, CLASSES = 32 << 20, (16 << 10, 256 << 10, 4 << 20)
+#: Most records of an archive, and rows of an index range.
+RECORDS_PER_FILE, RANGE_ROWS = 2_000, 50_000
 #: Most repeated digests that are broadcast (about 100 bytes each).
 BROADCAST_DIGESTS = 200_000
 EPOCH = 1_704_067_200  # 2024-01-01T00:00:00Z
@@ -92,8 +96,18 @@ def record(base: int = EPOCH) -> Column:
     ).alias("value")
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
-    with_record_types(pages).select(record()).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Archives below path, a folder for each size class that the pages have (one without records for an empty table)."""
+    rows = with_record_types(pages)
+    # headers and URL come to less than the class limit beside the payload; revisits have no payload
+    weight = F.when(F.col("record_type") == "revisit", 0).otherwise(F.col("payload_bytes")) + F.octet_length(F.coalesce("url", F.lit("")))
+    size = F.lit(len(CLASSES))
+    for k, most in reversed(list(enumerate(CLASSES))):
+        size = F.when(weight <= most - 1024, k).otherwise(size)
+    rows = rows.withColumn("size_class", size)
+    for k in sorted(r[0] for r in rows.select("size_class").distinct().collect()) or [0]:
+        records = min(RECORDS_PER_FILE, max(1, archive_bytes // CLASSES[k])) if k < len(CLASSES) else 1
+        rows.where(F.col("size_class") == k).select(record()).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records).text(f"{path}/class-{k}")
 
 
 def url_key(url: str | None) -> str:
@@ -144,7 +158,7 @@ def _runs(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def capture_runs(spark: SparkSession, path: str) -> DataFrame:
     """The index rows of all archives below path; rows of one archive are a run, sorted by ``seq``."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInPandas(_runs, _INDEX)
 
 
@@ -195,7 +209,6 @@ def _merge(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return
     rows = pd.concat(frames, ignore_index=True)
     frames.clear()
-    rows = rows.iloc[np.lexsort((rows["seq"], rows["archive"]))]
     ids = rows[["page_id", "refers_to"]].astype("Int64")
     rows[["page_id", "refers_to"]] = ids.astype(object).where(ids.notna(), None)
     runs = [list(g.itertuples(index=False, name=None)) for _, g in rows.groupby("archive", sort=True)]
@@ -209,12 +222,13 @@ def _merge(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(part, columns=_COLUMNS).astype({"page_id": "Int64", "refers_to": "Int64"})
 
 
-def merge_runs(runs: DataFrame) -> DataFrame:
+def merge_runs(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The index rows in global order of URL key, timestamp and page_id: one range to a partition, in order.
 
-    The runs should be a written table, as range bounds are found by a first pass over it.
+    The runs should be a written table: they are counted, and range bounds are found by a first pass.
     """
-    return runs.repartitionByRange("url_key", "captured", "page_id").mapInPandas(_merge, _INDEX)
+    ranges = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // range_rows))
+    return runs.repartitionByRange(ranges, "url_key", "captured", "page_id", "archive", "seq").sortWithinPartitions("archive", "seq").mapInPandas(_merge, _INDEX)
 
 
 def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
