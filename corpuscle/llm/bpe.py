@@ -36,8 +36,9 @@ VOCABULARY = "word_bpe_49k.json"
 LEAF = 32_768
 #: Tokens of a first window on each side of a join.
 WINDOW = 8
-#: Chunks that a task remembers before it starts over.
-MEMO = 300_000
+#: Characters that a worker's memo holds before it starts over (about 12 bytes each with ids and decoded text, and
+#: 300 a chunk), and the longest chunk that is remembered beyond the batch that has it.
+MEMO, REMEMBERED = 4 << 20, 256
 
 #: The characters with the White_Space property of Unicode.
 _SPACE = "".join(map(chr, (*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -82,6 +83,7 @@ class Encoder:
         self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ids_of: dict[str, bytes] = {}
         self.said_of: dict[str, str] = {}
+        self.held, self.long = 0, set()
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -101,14 +103,20 @@ class Encoder:
         return out
 
     def learn(self, chunks: set[str]) -> None:
-        """Remember white-space-free chunks; the memo starts over rather than grow beyond MEMO."""
+        """Encode white-space-free chunks and remember them; see MEMO."""
+        for c in self.long - chunks:
+            del self.ids_of[c], self.said_of[c]
+        self.long &= chunks
         new = chunks.difference(self.ids_of)
         if not new:
             return
-        if len(self.ids_of) + len(new) > MEMO:
+        size = lambda c: len(c) + 25
+        if self.held + sum(map(size, new)) > MEMO:
             self.ids_of.clear()
             self.said_of.clear()
-            new = chunks
+            self.held, self.long, new = 0, set(), chunks
+        self.held += sum(size(c) for c in new if len(c) <= REMEMBERED)
+        self.long |= {c for c in new if len(c) > REMEMBERED}
         cut = [(c, _PRETOKEN.findall(c)) for c in new if c]
         flat = list({t for _, tokens in cut for t in tokens})
         known = self.pretokens(flat) if flat else {}
