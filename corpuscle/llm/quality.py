@@ -200,8 +200,12 @@ def score(docs: DataFrame, model: np.ndarray | None, tail: float = TAIL) -> Data
             at_least_1, good = 1 / (1 + np.exp(t1 - s)), 1 / (1 + np.exp(t2 - s))
             yield pd.DataFrame({"e": at_least_1 + good, "p": good})
 
-    rated = base.withColumn("_r", rate("text"))
-    return rated.select(*base.columns, F.col("_r.e").alias("expected_grade"), F.col("_r.p").alias("p_good"), (F.col("_r.p") >= tail).alias("kept"))
+    free = "_"
+    while any(c.lower().startswith(free) for c in base.columns):
+        free += "_"
+    rated = base.withColumn(free, rate("text"))
+    good = F.col(free)["p"]
+    return rated.select(*[F.col(f"`{c}`") for c in base.columns], F.col(free)["e"].alias("expected_grade"), good.alias("p_good"), (good >= tail).alias("kept"))
 
 
 def op9_quality_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
