@@ -9,7 +9,8 @@
 4. Sequential Bayesian test: a pair's signatures are compared batch by batch; after n functions with m matches the
    posterior P(J >= t) under a uniform prior is P(Bin(n + 1, t) <= m), and the pair is pruned as soon as that is
    below MISS. Survivors are confirmed on their full sets.
-5. The rest: buckets that still hold two components are searched through, in blocks of BLOCK members with numpy; a
+5. The rest: buckets that still hold two components are searched through with numpy, small ones many at a time and
+   larger ones in blocks of BLOCK members; a
    pair is tested in the first bucket the two share, if they are in different components. So every link between
    components is found, and no pairs within a group are emitted.
 6. Components by alternating large-star and small-star rounds on tables in the shared folder.
@@ -45,6 +46,7 @@ BATCH = 26
 #: Members of a bucket compared at a time, and bucket size from which full sets travel with the members.
 BLOCK, LARGE = 1024, 64
 
+
 @cache
 def functions(percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Multipliers and addends of the hash functions: ROWS for each band that the threshold needs (26 bands at 85, 38 at 80)."""
@@ -199,6 +201,46 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFr
     return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInPandas(_confirm(percent), "a long, b long")
 
 
+def _buckets(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Survivors (a, b) between different components of each bucket; pdf holds whole buckets, sorted by key."""
+    key, comp, band, node = (pdf[c].to_numpy() for c in ("key", "comp", "band", "node"))
+    sig, n = _signatures(pdf["sig"]), pdf["n"].to_numpy()
+    keys = band_keys(sig)
+    own = np.arange(len(pdf))
+    count = np.searchsorted(key, key, "right") - own - 1
+    a, b = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+    for at in range(0, len(pdf), 1_000):
+        c = count[at : at + 1_000]
+        i = np.repeat(own[at : at + 1_000], c)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
+        other = comp[i] != comp[j]
+        i, j = i[other], j[other]
+        earlier = ((keys[i] == keys[j]) & (np.arange(keys.shape[1]) < band[i][:, None])).any(axis=1)
+        i, j = i[~earlier], j[~earlier]
+        ok = survivors(sig, i, sig, j, n, n, percent)
+        a.append(node[i[ok]])
+        b.append(node[j[ok]])
+    return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b), "sure": False})
+
+
+def _search_small(percent: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """``_buckets`` over a partition sorted by key; a bucket is at most LARGE members (times the texts of one doc_id)."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in it:
+            if len(pdf):
+                held = pd.concat([held, pdf], ignore_index=True) if held is not None else pdf
+                end = int(np.searchsorted(held["key"].to_numpy(), held["key"].iloc[-1], "left"))
+                if end:
+                    yield _buckets(held.iloc[:end].reset_index(drop=True), percent)
+                    held = held.iloc[end:]
+        if held is not None and len(held):
+            yield _buckets(held.reset_index(drop=True), percent)
+
+    return run
+
+
 def _search(pdf: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
     """One block pair of one bucket: links (or, without sets, survivors) between different components."""
     bi, bj = int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0])
@@ -281,13 +323,13 @@ def near_links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> D
     rest = materialise(placed.join(open_, "key").select("key", "band", "node", "comp", "m"))
     sets = full_sets(docs, rest.where(F.col("m") > LARGE).select("node").distinct())
     blocks_of = F.ceil(F.col("m") / BLOCK).cast("int")
+    small = rest.where(F.col("m") <= LARGE).select("key", "band", "node", "comp").join(classes.select("node", "n", "sig"), "node")
+    found = small.repartition("key").sortWithinPartitions("key").mapInPandas(_search_small(percent), "a long, b long, sure boolean")
     blk = F.pmod(F.xxhash64("node"), F.greatest(blocks_of, F.lit(1))).cast("int")
-    rest = rest.withColumn("blk", blk).withColumn("other", F.explode(F.sequence(F.lit(0), blocks_of - 1)))
-    rest = rest.withColumn("bi", F.least("blk", "other")).withColumn("bj", F.greatest("blk", "other")).drop("other")
-    small = rest.where(F.col("m") <= LARGE).withColumn("shingles", F.lit(None).cast("binary"))
-    large = rest.where(F.col("m") > LARGE).join(sets, "node")
-    full = small.unionByName(large).join(classes.select("node", "n", "sig"), "node")
-    found = materialise(full.groupBy("key", "bi", "bj").applyInPandas(lambda pdf: _search(pdf, percent), "a long, b long, sure boolean"))
+    large = rest.where(F.col("m") > LARGE).withColumn("blk", blk).withColumn("other", F.explode(F.sequence(F.lit(0), blocks_of - 1)))
+    large = large.withColumn("bi", F.least("blk", "other")).withColumn("bj", F.greatest("blk", "other")).drop("other")
+    large = large.join(sets, "node").join(classes.select("node", "n", "sig"), "node")
+    found = materialise(found.unionByName(large.groupBy("key", "bi", "bj").applyInPandas(lambda pdf: _search(pdf, percent), "a long, b long, sure boolean")))
     return star.unionByName(found.where("sure").select("a", "b")).unionByName(confirm(found.where("not sure").select("a", "b").distinct(), docs, percent))
 
 

@@ -1,11 +1,13 @@
 """Cases in which an operator once did less than the whole job."""
 
+import hashlib
 import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from corpuscle.llm import ann, minhash, repeats
+from corpuscle.llm import ann, bpe, minhash, quality, repeats, sharding, warc
 from corpuscle.llm.common import key_filter, materialise
 from corpuscle.plans import formats
 from tests.llm.test_ops import collected, near_rows, table
@@ -146,3 +148,72 @@ def test_neighbours_over_many_blocks_and_query_groups(spark):
         recall[rerank] = sum(len({v for v, _ in got[q].values()} & set(want[q][0])) for q in want) / (5 * len(want))
     assert recall[512] >= 0.97 and recall[16] >= 0.7
     assert [got[0][k][0] for k in range(1, 6)] == want[0][0] == [3000, 3001, 3002, 3003, 3004]
+
+
+def test_archives_are_bounded_by_bytes_and_ranges_by_rows(spark):
+    pages = spark.range(300).selectExpr("id AS page_id", "if(id % 3 = 0, 'http://hot/x', concat('http://h', id % 7, '/')) AS url", "concat(id, repeat('a', if(id % 50 = 0, 300000, 2000))) AS html")
+    pages = pages.unionByName(spark.range(200).selectExpr("7L AS page_id", "'http://h0/' AS url", "repeat('b', 50) AS html"))
+    path = warc.shared_dir(spark)
+    warc.write_archives(pages, path, 1 << 20)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("path", "length").collect()
+    assert len(files) > 8 and max(f["length"] for f in files) <= 1.2 * (1 << 20)
+    parts = warc.merge_runs(warc.materialise(warc.capture_runs(spark, path)), 40).rdd.glom().map(lambda p: [(r["url_key"], r["captured"], r["page_id"]) for r in p]).collect()
+    rows = [r for p in parts for r in p]
+    assert len(rows) == 500 and rows == sorted(rows) and max(map(len, parts)) <= 120
+    got = {(r["page_id"], r["payload_bytes"], r["payload_digest"]) for r in warc.capture_runs(spark, path).collect()}
+    assert got == {(r[0], len(r[2]), hashlib.sha1(r[2].encode()).hexdigest()) for r in pages.collect()}
+
+
+def test_warc_and_quality_of_empty_tables(spark):
+    path = warc.shared_dir(spark)
+    warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path)
+    assert warc.merge_runs(warc.materialise(warc.capture_runs(spark, path))).collect() == []
+    none = table(spark, [(1, "x")]).limit(0)
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 0, 1)], "doc_id long, quality int, toxic int")
+    assert quality.fit(none, labels) is None
+    model = quality.fit(table(spark, [(1, "good one"), (2, "poor"), (3, "bad")]), labels)
+    assert quality.score(none, model).collect() == []
+    clash = quality.score(table(spark, [(1, None), (2, "x")]).withColumn("_", F.lit("y")).withColumn("kept", F.lit(3)), model)
+    assert [r["_"] for r in clash.collect()] == ["y", "y"] and clash.columns[-3:] == ["expected_grade", "p_good", "kept"]
+
+
+def test_quality_loss_and_gradient_equal_a_slow_reference():
+    rng = np.random.default_rng(4)
+    off, cols, vals = quality.features(["a good text", None, "bad bad text", "Other words 12", "x y z x"])
+    grade, size = np.array([2, 1, 0, 1, 2]), (1 << quality.BITS) + 2
+    row = np.repeat(np.arange(5), np.diff(off))
+    theta = np.append(rng.normal(size=size) * 0.1, [-0.3, 0.2])
+    used = sorted(set(cols.tolist()))
+    dense = np.zeros((5, size))
+    np.add.at(dense, (row, cols), vals)
+
+    def slow(t):
+        s, cut = dense @ t[:-2], [t[-2], t[-2] + np.exp(t[-1])]
+        below = [1 / (1 + np.exp(-(c - s))) for c in cut]
+        p = np.stack([below[0], below[1] - below[0], 1 - below[1]])
+        return -np.log(p[grade, np.arange(5)]).sum() + 0.5 * quality.RIDGE * (t[:-2] ** 2).sum()
+
+    value, grad = quality._loss(theta, off, cols, vals.astype(float), row, grade)
+    assert abs(value - slow(theta)) < 1e-6 * abs(value)
+    for j in [*used[::3], size, size + 1]:
+        step = np.zeros_like(theta)
+        step[j] = 1e-5
+        assert abs((slow(theta + step) - slow(theta - step)) / 2e-5 - grad[j]) < 1e-3
+
+
+def test_shards_are_written_alike_each_time(spark, tmp_path):
+    docs = table(spark, [(i % 40, f"t{i}") for i in range(400)] + [(None, None)])
+    sharding.write_shards(docs.drop("shard"), "doc_id", str(tmp_path / "a"), 4, 3)
+    got = spark.read.parquet(str(tmp_path / "a"))
+    want = {(r["doc_id"], r["text"]): r["shard"] for r in sharding.place(docs.drop("shard"), "doc_id", 4).collect()}
+    assert {(r["doc_id"], r["text"]): r["shard"] for r in got.collect()} == want and got.count() == 401
+
+
+def test_bpe_memo_is_bounded(monkeypatch):
+    e = bpe.Encoder(bpe.vocabulary_path())
+    monkeypatch.setattr(bpe, "MEMO", 2_000)
+    texts = [" ".join(f"w{i}x{j}" for j in range(20)) + " " + "long" * 500 + str(i) for i in range(40)]
+    fresh = bpe.Encoder(bpe.vocabulary_path())
+    for t in texts:
+        assert e.whole([t]) == fresh.whole([t])
+        assert e.held <= 2_000 and len(e.long) <= 1
