@@ -78,7 +78,7 @@ def cer_report(pairs: DataFrame, base: int) -> DataFrame:
         .agg(
             F.count("*").alias("pages"),
             F.round(F.avg("cer"), 6).alias("mean"),
-            F.round(F.get(F.sort_array(F.collect_list("cer")), F.floor(F.count("*") / 2).cast("int")), 6).alias("median"),
+            F.round(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY cer DESC)"), 6).alias("median"),
             F.count_if(d < 0).alias("better"),
             F.count_if(d > 0).alias("worse"),
             F.count_if(d == 0).alias("equal"),

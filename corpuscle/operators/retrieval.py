@@ -263,7 +263,7 @@ def score_separability(scores: DataFrame) -> DataFrame:
     stats = F.array(*[F.struct(F.lit(k).alias("statistic"), v.alias("v")) for k, v in each.items()])
     rows = s.select("class", F.inline(stats))
     v = F.round("v", DIGITS)
-    agg = rows.groupBy("class", "statistic").agg(F.min(v).alias("least"), F.get(F.sort_array(F.collect_list(v)), F.floor(F.count("*") / 2).cast("int")).alias("median"), F.max(v).alias("most"))
+    agg = rows.groupBy("class", "statistic").agg(F.min(v).alias("least"), F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY round(v, {DIGITS}) DESC)").alias("median"), F.max(v).alias("most"))
     o = agg.select(F.col("class").alias("c2"), "statistic", F.col("least").alias("l2"), F.col("most").alias("m2"))
     meets = agg.join(o, "statistic").where((F.col("class") != F.col("c2")) & (F.col("least") <= F.col("m2")) & (F.col("l2") <= F.col("most"))).select("class", "statistic").distinct().withColumn("meets", F.lit(True))
     return agg.join(meets, ["class", "statistic"], "left").select("class", "statistic", "least", "median", "most", F.col("meets").isNull().alias("separates"))

@@ -11,10 +11,13 @@ from pyspark.sql.window import Window
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder in spark.checkpoint.dir; a local one is set only where that is unset."""
+    """A new folder in spark.checkpoint.dir. Where that is unset, a local master gets a temporary one; any other is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         set_ = spark.sparkContext._jsc.sc().getCheckpointDir()
+        master = spark.sparkContext.master
+        if not set_.isDefined() and not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = set_.get() if set_.isDefined() else "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"

@@ -21,10 +21,17 @@ _ABSTRACT = r"(?i)^(?:abstract|summary|摘要|概要|概述)(?![\p{L}\p{N}_])"
 
 
 def postings(chunks: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, term, tf, dl: one row for each text and distinct token. Token counting combines before its shuffle."""
-    rows = chunks.select(key, fx.search_tokens(F.col(text)).alias("t"))
-    rows = rows.select(key, F.explode("t").alias("term"), F.size("t").alias("dl"))
-    return rows.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    """key, term, tf, dl: one row for each text and distinct token.
+
+    A row holds its whole text, so its tokens are counted inside it, as runs of the sorted array: nothing is shuffled.
+    """
+
+    def runs(t: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
+        return F.get(F.transform(F.array(at), lambda a: F.zip_with(a, F.concat(F.slice(a, F.lit(2), F.size(a)), F.array(F.size(t))), lambda i, j: F.struct(F.get(t, i).alias("term"), (j - i).cast("long").alias("tf"), F.size(t).alias("dl")))), F.lit(0))
+
+    counted = F.get(F.transform(F.array(F.sort_array(fx.search_tokens(F.col(text)))), runs), F.lit(0))
+    return chunks.select(key, F.inline(counted))
 
 
 def token_counts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -36,9 +43,9 @@ def token_windows(docs: DataFrame, key: str, size: int = MAX_TOKENS, overlap: in
     stride = size - overlap
     rows = docs.select(key, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(fx.UNIT_TOKEN), F.lit(0)).alias("t")).where(F.size("t") > 0)
     last = F.greatest(F.lit(0), F.ceil((F.size("t") - size) / stride)).cast("int")
-    rows = rows.select(key, "t", F.explode(F.sequence(F.lit(0), last)).alias("window_no"))
-    part = F.slice("t", F.col("window_no") * stride + 1, size)
-    return rows.select(key, "window_no", F.array_join(part, " ").alias("text"), F.size(part).alias("token_count"))
+    parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("t", i * stride + 1, size))
+    rows = rows.select(key, F.posexplode(parts).alias("window_no", "part"))
+    return rows.select(key, "window_no", F.array_join("part", " ").alias("text"), F.size("part").alias("token_count"))
 
 
 def sentences(docs: DataFrame, key: str) -> DataFrame:

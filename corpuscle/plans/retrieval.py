@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.functions import text as fx
 from corpuscle.operators import retrieval as op
+from corpuscle.operators import storage as st
 from corpuscle.operators import text as tx
 from corpuscle.plans.text import POSTINGS
 from corpuscle.sources.tables import table
@@ -16,7 +17,8 @@ def _queries(s, d):
 
 
 def _postings(s, d):
-    return tx.postings(table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
+    """Written once: statistics and scoring read it several times, each the columns it needs."""
+    return st.cut_lineage(tx.postings(table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id"))
 
 
 def _vectors(s, d):
@@ -51,6 +53,12 @@ def _hybrid(s, d):
     return op.hybrid_search(_semantic(s, d), _bm25(s, d), _visible(s, d))
 
 
+def _overview_hits(s, d, k=3):
+    """The overview chunks are those of every tenth document, searched by themselves."""
+    q = _queries(s, d).join(_vectors(s, d), F.col("query_id") == F.col("id")).select("query_id", "embedding")
+    return op.vector_topk(q, _vectors(s, d).where("id % 10 = 0").drop("label"), k)
+
+
 def _web(s, d):
     """Documents as chunks of pages: a URL for each four documents."""
     return table(s, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("https://h.test/"), F.floor(F.col("doc_id") / 4).cast("long")).alias("url"), F.col("source").alias("title"), "text")
@@ -86,7 +94,7 @@ def _labels(s, d):
 
 
 def _gold(s, d):
-    """The documents that hold an item, found by the item's rarest token as an equi-join and confirmed by substring."""
+    """Texts in which the items of ranked documents are looked for."""
     return table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
@@ -117,7 +125,7 @@ QUERIES = {
     "k2_bm25_topk": lambda s, d: _bm25(s, d, 10),
     "k3_bm25plus": lambda s, d: op.bm25plus_rank(_queries(s, d), _postings(s, d), 10),
     "k4_hybrid": lambda s, d: _hybrid(s, d),
-    "k5_overviews": lambda s, d: op.with_overviews(_hybrid(s, d), _semantic(s, d).where("id % 10 = 0")),
+    "k5_overviews": lambda s, d: op.with_overviews(_hybrid(s, d), _overview_hits(s, d)),
     "k6_memory": _memory,
     "k7_page_results": lambda s, d: op.page_results(_bm25(s, d), _web(s, d), 5).drop("content"),
     "k8_keyset_page": lambda s, d: op.keyset_page(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity").where("l_returnflag = 'R'"), ["l_orderkey", "l_linenumber"], [20, 1], 100),
@@ -169,7 +177,7 @@ i AS (SELECT query_id, term, ln((any_value(n) + 1) / count(*)) AS idf, any_value
 s AS (SELECT query_id, id, round(sum(h.qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) + any_value(base), 6) AS score FROM h JOIN i USING (query_id, term) JOIN c USING (query_id) JOIN b USING (query_id) GROUP BY 1, 2),
 r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INTEGER AS rank FROM s) SELECT * FROM r WHERE rank <= 10""",
     "k4_hybrid": f"{_HY} SELECT * FROM hy",
-    "k5_overviews": f"""{_HY}, o AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ve WHERE rank <= 50 AND id % 10 = 0),
+    "k5_overviews": f"""{_HY}, o AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM vs WHERE id % 10 = 0),
 u AS (SELECT query_id, 0 AS part, rank, id, score AS vector_score, NULL::DOUBLE AS keyword_score, 0.0::DOUBLE AS fused_score FROM o WHERE rank <= 3 UNION ALL SELECT query_id, 1, rank, id, vector_score, keyword_score, fused_score FROM hy)
 SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY part, rank))::INTEGER AS position, part, id, vector_score, keyword_score, fused_score FROM u""",
     "k6_memory": f"""WITH v AS (SELECT vec_id AS id, embedding, label, CASE WHEN vec_id % 3 = 0 THEN 'note' ELSE 'summary' END AS kind FROM embeddings),

@@ -151,7 +151,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 _IMG = re.compile(r"<img\b([^>]*)>", re.IGNORECASE)
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 # Parts of a path that mark decoration, and attributes that lazy pages use.
-DECORATIVE = ("icon", "logo", "avatar", "sprite", "spacer", "badge", "button", "emoji", "pixel", "tracking")
+# Parts of a path that mark decoration.
+DECORATIVE = ("/icon", "sprite", "logo", "/static/", "favicon", "avatar", "badge")
 LAZY = ("data-src", "data-original", "data-lazy-src", "src")
 #: Declared widths below this are decoration.
 LEAST_WIDTH = 100
@@ -194,9 +195,9 @@ def extract_images(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract("image", r"^https?://([^/?#:]*)", 1))
     private = host.rlike(r"^(localhost|127\.|10\.|192\.168\.|169\.254\.|172\.(1[6-9]|2\d|3[01])\.)|\.(local|internal)$")
     reason = (
-        F.when(path.endswith(".svg"), "svg")
+        F.when((path.endswith(".svg") | path.endswith(".svgz")), "svg")
         .when(private, "private_host")
-        .when(path.rlike("|".join(DECORATIVE)), "decorative")
+        .when(path.rlike("|".join(map(re.escape, DECORATIVE))), "decorative")
         .when((F.col("width") > 0) & (F.col("width") < LEAST_WIDTH), "too_small")
     )
     return one.select("page_id", "n", "image", "references", reason.alias("rejected"))
