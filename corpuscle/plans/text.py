@@ -61,3 +61,6 @@ k AS (SELECT *, row_number() OVER (PARTITION BY request_id, lower(query) ORDER B
 o AS (SELECT request_id, query, row_number() OVER (PARTITION BY request_id ORDER BY variant_no) AS n FROM k WHERE r = 1)
 SELECT request_id, n::INTEGER AS position, query FROM o WHERE n <= 3""",
 }
+ORACLES["t8_chunk_ids"] = f"""WITH w AS ({ORACLES["t5_token_windows"]}),
+h AS (SELECT *, sha1(unhex('{op.NAMESPACE_URL}') || encode(concat_ws(':', doc_id, 'sync', window_no, sha256(text)))) AS h FROM w)
+SELECT doc_id AS document_id, window_no AS chunk_index, token_count, concat_ws('-', h[1:8], h[9:12], '5' || h[14:16], substr('89ab', ((instr('0123456789abcdef', h[17:17]) - 1) & 3)::INTEGER + 1, 1) || h[18:20], h[21:32]) AS chunk_id FROM h"""
