@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _PARTS = r"^(?i:(https?))://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+# Query keys that canonical URLs and dedupe keys drop, and the pattern of a public host name.
 _TRACKING = "^(?:utm_.*|gclid|fbclid)$"
 _DEDUPE = "^(?:utm_.*|fbclid|gclid|msclkid|spm|ref|ref_src|source|from)$"
 HOSTNAME = r"^[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?(\.[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?)+$"

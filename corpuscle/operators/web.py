@@ -28,9 +28,16 @@ def dedupe_pages(pages: DataFrame) -> DataFrame:
 
 
 def links_in_scope(links: DataFrame, entries: DataFrame) -> DataFrame:
-    """links (page_id, link) that lie below some entry (entry: canonical URL). Equi-join on the origin, the path is a residual."""
-    e = entries.select(ux.origin(F.col("entry")).alias("o"), "entry").distinct()
-    found = links.withColumn("o", ux.origin(F.col("link"))).join(e, "o").where(ux.in_scope(F.col("link"), F.col("entry")))
+    """links (page_id, link) that lie below some entry (entry: canonical URL).
+
+    A link meets the entries at its own path and at the directories above it, by an equi-join on origin and directory, so a
+    host of many links and entries isn't multiplied out.
+    """
+    bare = F.regexp_replace(ux.scope_prefix(F.col("entry")), "/+$", "")
+    e = entries.select(F.concat(ux.origin(F.col("entry")), bare).alias("at"), "entry").distinct()
+    parts = F.split(ux.path(F.col("link")), "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(ux.origin(F.col("link")), F.array_join(F.slice(parts, F.lit(1), i), "/")))
+    found = links.select("page_id", "link", F.explode(above).alias("at")).join(e, "at").where(ux.in_scope(F.col("link"), F.col("entry")))
     return found.select("page_id", "link", "entry")
 
 
@@ -80,7 +87,8 @@ def robots_filter(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
 def bfs_frontier(entries: DataFrame, links: DataFrame, max_depth: int, max_pages: int) -> DataFrame:
     """source, url, depth, position, truncated: breadth-first from each entry over in-scope links (from_url, link_no, to_url).
 
-    One join for each level; visited URLs leave by an anti-join; a level is written out before the next.
+    One join for each level; visited URLs leave by an anti-join; a level is written out before the next. A source keeps
+    at most max_pages + 1 URLs on the way: what a later URL leads to comes later still, so no result depends on it.
     """
     seen = cut_lineage(entries.select("source", "entry", F.col("entry").alias("url"), F.lit(0).alias("depth"), F.array(F.lit(0)).alias("via")))
     level = seen
@@ -88,7 +96,9 @@ def bfs_frontier(entries: DataFrame, links: DataFrame, max_depth: int, max_pages
         step = level.join(links, level["url"] == links["from_url"]).where(ux.in_scope(F.col("to_url"), F.col("entry")))
         step = step.select("source", "entry", F.col("to_url").alias("url"), F.lit(depth).alias("depth"), F.concat("via", F.array(F.col("link_no").cast("int"))).alias("via"))
         step = step.groupBy("source", "entry", "url", "depth").agg(F.min("via").alias("via"))
-        level = cut_lineage(step.join(seen.select("source", "url"), ["source", "url"], "left_anti").select(*step.columns))
+        fresh = step.join(seen.select("source", "url"), ["source", "url"], "left_anti").join(seen.groupBy("source").agg(F.count("*").alias("n")), "source")
+        fresh = fresh.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("via", "url")))
+        level = cut_lineage(fresh.where(F.col("n") + F.col("r") <= max_pages + 1).select(*step.columns))
         if level.isEmpty():
             break
         seen = cut_lineage(seen.unionByName(level))

@@ -10,6 +10,7 @@ from corpuscle.operators import logs
 from corpuscle.operators import storage as st
 from corpuscle.operators import sync as op
 from corpuscle.operators import text as tx
+from corpuscle.plans.text import MARKDOWN
 from corpuscle.sources.tables import table
 
 C = F.col
@@ -123,6 +124,14 @@ def _neighbors(s, d):
     return an.neighbors(an.visible_graph(nodes, edges, _graph_docs(s, d).where("document_id % 10 = 3").select("document_id"))[1])
 
 
+def _live_nodes(s, d):
+    """Every tenth document is archived; what only it named goes with it."""
+    nodes, edges = an.build_graph(_graph_docs(s, d))
+    gone = _graph_docs(s, d).where("document_id % 10 = 3").select("document_id")
+    nodes, edges = an.visible_graph(nodes, edges, gone)
+    return an.drop_orphans(nodes, edges, _graph_docs(s, d).join(gone, "document_id", "left_anti")).select("node_id", "kind")
+
+
 def _versions(s, d):
     o = table(s, d, "orders").select(C("o_custkey").alias("document_id"), C("o_orderdate").alias("changed_at"), C("o_orderkey").alias("change_id"))
     return op.versions(o, 8)
@@ -187,6 +196,7 @@ QUERIES = {
     "a12_cer": _cer,
     "j15_graph_nodes": lambda s, d: an.build_graph(_graph_docs(s, d))[0],
     "j15_graph_edges": lambda s, d: an.build_graph(_graph_docs(s, d))[1],
+    "j15_live_nodes": _live_nodes,
     "j16_neighbors": _neighbors,
     "f3_version_diff": _diff,
 }
@@ -198,7 +208,18 @@ _ITEMS = """it AS (SELECT l_orderkey AS batch_id, l_linenumber AS item_id, CASE
 _RAST = "ra AS (SELECT doc_id AS figure_id, CASE WHEN length(line) > 0 THEN md5(line) END AS digest, length(line) / n_chars AS ratio FROM (SELECT doc_id, n_chars, unnest(string_split(text, chr(10))) AS line FROM documents)), rp AS (SELECT digest, count(*) AS n FROM ra WHERE digest IS NOT NULL GROUP BY 1 HAVING count(*) >= 3 AND max(ratio) <= 0.1)"
 _OTOK = r"'[\x{4e00}-\x{9fff}]|[a-z0-9]+'"
 
+_GRAPH = MARKDOWN + r""", g AS (SELECT doc_id, markdown || chr(10) || '[S' || (doc_id % 9 + 1) || '] and #tag-' || (doc_id % 7) || ' end' AS c FROM md),
+l AS (SELECT doc_id, 'topic' AS kind, 'mentions' AS edge, unnest(list_distinct(regexp_extract_all(c, '(?m)^#{1,6}\s+(.+?)\s*$', 1))) AS label FROM g
+UNION ALL SELECT doc_id, 'citation', 'references', unnest(list_distinct(regexp_extract_all(c, '\[([SMW]\p{Nd}+)\]', 1))) FROM g
+UNION ALL SELECT doc_id, 'tag', 'tags', unnest(list_distinct(regexp_extract_all(c, '(?:^|\s)#([\p{L}\p{N}_-]+)', 1))) FROM g),
+e AS (SELECT DISTINCT doc_id, 'document:' || doc_id AS source, kind || ':' || label AS target, edge AS kind FROM l)"""
+
 ORACLES = {
+    "j15_graph_nodes": f"""WITH {_GRAPH} SELECT 'document:' || doc_id AS node_id, 'document' AS kind, 'doc ' || doc_id AS label, doc_id::VARCHAR AS owner FROM documents
+UNION ALL SELECT kind || ':' || label, kind, label, CASE WHEN count(DISTINCT doc_id) = 1 THEN min(doc_id::VARCHAR) END FROM l GROUP BY kind, label""",
+    "j15_graph_edges": f"WITH {_GRAPH} SELECT source, target, kind FROM e",
+    "j15_live_nodes": f"""WITH {_GRAPH}, v AS (SELECT * FROM e WHERE doc_id % 10 <> 3) SELECT 'document:' || doc_id AS node_id, 'document' AS kind FROM documents WHERE doc_id % 10 <> 3 UNION ALL SELECT DISTINCT target, split_part(target, ':', 1) FROM v""",
+    "j16_neighbors": f"""WITH {_GRAPH}, v AS (SELECT * FROM e WHERE doc_id % 10 <> 3) SELECT source AS node_id, target AS neighbor, kind, true AS outgoing FROM v UNION ALL SELECT target, source, kind, false FROM v""",
     "j1_sync_diff": f"""WITH {_SNAP}, a AS (SELECT coalesce(r.i, l.i) AS document_id, CASE WHEN r.i IS NOT NULL AND p.i IS NULL THEN 'added' WHEN r.i IS NOT NULL AND (r.title, r.h, r.path) IS DISTINCT FROM (p.title, p.h, p.path) THEN 'changed'
 WHEN r.i IS NOT NULL AND (l.i IS NULL OR l.i % 17 = 0) THEN 'repair' WHEN r.i IS NOT NULL THEN 'unchanged' WHEN l.i % 19 <> 0 THEN 'deleted' END AS action FROM re r LEFT JOIN pr p ON p.i = r.i FULL JOIN pr l ON l.i = r.i)
 SELECT * FROM a WHERE action IS NOT NULL AND document_id % 23 <> 0""",

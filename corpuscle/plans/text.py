@@ -16,6 +16,10 @@ STATS = f"""{POSTINGS},
 corpus AS (SELECT count(*) AS n_docs, avg(len(t)) AS avgdl FROM tok),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY 1)"""
 
+_LINES = r"[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
+MARKDOWN = """md AS (SELECT doc_id, '# ' || source || chr(10) || chr(10) || array_to_string(list_transform(string_split(text, chr(10)), lambda s, i:
+CASE WHEN length(s) <= 60 AND ends_with(s, '.') THEN CASE WHEN i % 2 = 1 THEN '## ' ELSE '### ' END || s ELSE s END), chr(10) || chr(10)) AS markdown FROM documents)"""
+
 
 def _docs(spark, d, *cols):
     return table(spark, d, "documents").select(*cols)
@@ -52,6 +56,12 @@ FROM (SELECT doc_id, t, unnest(range(0, greatest(1, ceil((len(t) - 100) / 700.0)
 FROM documents WHERE length(trim(text, e' \t\n\r\f')) > 400""",
     "t7_sentences": r"""SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i))::INTEGER - 1 AS sentence_no, s AS sentence FROM (
 SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, CASE WHEN len(f) = 0 THEN [text] ELSE f END AS p FROM (SELECT doc_id, text, list_filter(string_split(regexp_replace(text, '([.!?。！？])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_matches(x, '\S')) AS f FROM documents)))""",
+    "t10_topics": f"""WITH {MARKDOWN}, l AS (SELECT doc_id, list_filter(list_transform(string_split_regex(markdown, '{_LINES}'), lambda s: trim(s)), lambda s: starts_with(s, '#') OR starts_with(s, '- ')) AS l FROM md),
+n AS (SELECT doc_id, list_filter(list_transform(l, lambda s: trim(regexp_replace(s, '^[#\\- ]+', ''))), lambda s: s <> '')[1:20] AS n FROM l)
+SELECT doc_id, unnest(range(len(n)))::INTEGER AS topic_no, unnest(n) AS topic FROM n""",
+    "t11_citations": r"""WITH a AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda s, i: s || ' ' || CASE WHEN i % 7 = 0 THEN '[[S' || i || ']]' ELSE '[' || ['S', 'M', 'W'][(i - 1) % 3 + 1] || ((i - 1) // 2 + 1) || ']' END), chr(10)) AS t FROM documents),
+m AS (SELECT doc_id, list_filter(regexp_extract_all(t, '\[+[SMW][1-9]\p{Nd}*\]+'), lambda x: NOT starts_with(x, '[[') AND NOT ends_with(x, ']]')) AS m FROM a), u AS (SELECT doc_id, unnest(m) AS x, generate_subscripts(m, 1) AS i FROM m)
+SELECT doc_id AS answer_id, (row_number() OVER (PARTITION BY doc_id ORDER BY min(i)))::INTEGER - 1 AS position, substr(x, 2, length(x) - 2) AS source_id FROM u WHERE list_contains(list_transform(range(1, 11), lambda k: '[S' || k || ']'), x) GROUP BY doc_id, x""",
     "p6_language": r"""SELECT doc_id, lang_detected, CASE lang_detected WHEN 'zh' THEN 0.65 WHEN 'en' THEN 0.55 ELSE 0.6 END::DOUBLE AS threshold FROM (SELECT doc_id, CASE WHEN coalesce(length(text), 0) = 0 THEN 'other'
 WHEN len(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]')) / length(text) >= 0.2 THEN 'zh' WHEN len(regexp_extract_all(text, '[A-Za-z]')) / length(text) >= 0.5 THEN 'en' ELSE 'other' END AS lang_detected FROM documents)""",
     "p7_intent": f"""SELECT conv_id, turn, CASE WHEN regexp_matches(q, '(?i){_INTENT}') AND (regexp_matches(q, '(?i){_REF}') OR NOT regexp_matches(q, '{fx.CONTENT_ANCHOR}')) THEN 'global' ELSE 'local' END AS intent

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -58,29 +60,45 @@ def stream_progress(items: DataFrame) -> DataFrame:
 
 
 class VersionedTable:
-    """A Parquet table kept as version directories; ``current`` is what readers get. The newest path is kept by the caller's driver."""
+    """A Parquet table kept as version directories below ``root``, and a log beside them of (epoch, path).
+
+    A driver that starts again on the same root reads the log and goes on; ``initial`` counts only where there is none.
+    A batch reads the newest version before its own epoch, so a batch that runs twice gives the same again. Each batch
+    writes the whole table anew: for state that is small beside the stream.
+    """
 
     def __init__(self, root: str, initial: DataFrame):
-        self.root, self.spark = root, initial.sparkSession
-        self.path = write_version(initial, root)
-        self.schema = initial.schema
+        self.root, self.spark, self.schema = root.rstrip("/"), initial.sparkSession, initial.schema
+        try:
+            self.spark.read.parquet(f"{self.root}/log")
+        except AnalysisException:
+            self.replace(initial, -1)
 
-    def current(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path)
+    def current(self, before: int | None = None) -> DataFrame:
+        """The newest version, or the newest of the epochs before the given one."""
+        log = self.spark.read.schema("epoch long, at double, path string").parquet(f"{self.root}/log")
+        newest = (log if before is None else log.where(F.col("epoch") < before)).orderBy(F.desc("epoch"), F.desc("at")).first()
+        return self.spark.read.schema(self.schema).parquet(newest["path"])
 
-    def replace(self, df: DataFrame) -> None:
-        self.path = write_version(df, self.root)
+    def replace(self, df: DataFrame, epoch: int) -> None:
+        path = write_version(df, self.root)
+        self.spark.createDataFrame([(epoch, time.time(), path)], "epoch long, at double, path string").coalesce(1).write.mode("append").parquet(f"{self.root}/log")
 
 
 def stream_sync(snapshots: DataFrame, state: VersionedTable, on_changes: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Each batch of remote rows (document_id, title, sha256, path) against the last seen state: changed rows go to ``on_changes``, then the state is upserted."""
+    """Each batch of remote rows (document_id, title, sha256, path) against the last seen state: changed rows go to ``on_changes``, then the state is upserted.
+
+    Of rows of one document in a batch the greatest by (title, sha256, path) counts.
+    """
+    order = ["title", "sha256", "path"]
 
     def step(batch: DataFrame, epoch: int) -> None:
-        seen = state.current()
+        batch = batch.groupBy("document_id").agg(F.max(F.struct(*order)).alias("r")).select("document_id", *[F.col(f"r.{c}") for c in order])
+        seen = state.current(epoch)
         body = seen.select("document_id", F.lit("x").alias("body"), F.lit(None).cast("string").alias("archived_at"))
         diff = sync.sync_diff(batch, seen, body, seen.limit(0)).where("action in ('added', 'changed')")
         on_changes(diff.join(batch, "document_id"), epoch)
-        state.replace(seen.join(batch.select("document_id"), "document_id", "left_anti").unionByName(batch))
+        state.replace(seen.join(batch.select("document_id"), "document_id", "left_anti").unionByName(batch), epoch)
 
     return snapshots.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -89,8 +107,8 @@ def stream_corpus(fetches: DataFrame, pages: VersionedTable, on_updated: Callabl
     """Each batch of fetches (url, status, sha256) is merged into the pages (url, sha256); only updated pages go on to be chunked."""
 
     def step(batch: DataFrame, epoch: int) -> None:
-        merged = web.crawl_merge(pages.current(), batch)
+        merged = web.crawl_merge(pages.current(epoch), batch)
         on_updated(merged.where("action = 'updated'"), epoch)
-        pages.replace(merged.where("action in ('kept', 'updated', 'untouched')").select("url", "sha256"))
+        pages.replace(merged.where("action in ('kept', 'updated', 'untouched')").select("url", "sha256"), epoch)
 
     return fetches.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

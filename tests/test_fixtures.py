@@ -1,8 +1,10 @@
 """Fixtures of a few rows for what the given tables don't hold."""
 
 import datetime as dt
+import hashlib
 import uuid
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from corpuscle.operators import analytics as an
 from corpuscle.operators import logs, retrieval, storage, sync, web
 from corpuscle.operators import text as tx
 from corpuscle.sources import formats as fm
+from corpuscle.streaming import jobs
 
 
 def rows(df, *order):
@@ -128,6 +131,72 @@ def test_frontier(spark):
     assert all(r[4] for r in got)
 
 
+def test_frontier_of_a_small_budget_equals_a_plain_walk(spark):
+    pages = {f"/d/{i}": [f"/d/{(i * k + 1) % 23}" for k in range(1, 5)] for i in range(23)}
+    links = spark.createDataFrame([(f"https://x.org{a}", n, f"https://x.org{b}") for a, out in pages.items() for n, b in enumerate(out)], "from_url string, link_no int, to_url string")
+    first = [("https://x.org/d", n, f"https://x.org/d/{b}") for n, b in enumerate((0, 5))]
+    links = links.unionByName(spark.createDataFrame(first, links.schema))
+    e = spark.createDataFrame([(i, "https://x.org/d") for i in (0, 5)], "source int, entry string")
+    for most in (1, 3, 7, 100):
+        got = rows(web.bfs_frontier(e, links, 3, most))
+        seen, level = ["/d"], ["/d"]
+        for _ in range(3):
+            new = []
+            for a in level:
+                for b in ["/d/0", "/d/5"] if a == "/d" else pages[a]:
+                    new += [b] if b not in seen + new else []
+            seen, level = seen + new, new
+        for source in (0, 5):
+            mine = sorted((r for r in got if r[0] == source), key=lambda r: r[3])
+            assert [r[1].removeprefix("https://x.org") for r in mine] == seen[:most]
+            assert {r[4] for r in mine} == {len(seen) > most}
+
+
+def test_links_meet_entries_above_them(spark):
+    links = [f"https://x.org{p}" for p in ("/", "/docs", "/docs/", "/docs/a/b?q=1", "/docs-other", "/docs//c", "/DOCS/a")] + ["http://x.org/docs/a", "https://y.org/docs/a"]
+    entries = [f"https://x.org{p}" for p in ("/docs", "/docs/", "/docs/a/", "/docs//")] + ["https://y.org/"]
+    df = spark.createDataFrame(list(enumerate([*links, links[1], None])), "page_id int, link string")
+    got = rows(web.links_in_scope(df, spark.createDataFrame([(e,) for e in entries], "entry string")), "page_id", "entry")
+    pairs = df.crossJoin(spark.createDataFrame([(e,) for e in entries], "entry string")).where(ux.in_scope(F.col("link"), F.col("entry"))).select("page_id", "link", "entry")
+    assert got == rows(pairs, "page_id", "entry") and len(got) > 8
+
+
+def test_topics(spark):
+    d = spark.createDataFrame([(1, "# A\n- b\n\ntext - c\n-d\n###\n  - # e "), (2, None), (3, "")], "doc_id int, markdown string")
+    assert rows(tx.topics(d), "topic_no") == [(1, 0, "A"), (1, 1, "b"), (1, 2, "e")]
+
+
+def test_hashed_embedding(spark):
+    d = spark.createDataFrame([(1, "A a @b"), (2, ""), (3, None)], "doc_id int, text string")
+    at = lambda t: int.from_bytes(hashlib.blake2b(t, digest_size=2).digest(), "big") % 64
+    want = np.zeros(64)
+    want[at(b"a")] += 2
+    want[at(b"@b")] += 12
+    got = rows(tx.embed_hash(d), "doc_id")
+    assert np.allclose(got[0][2], want / np.linalg.norm(want), atol=1e-6)
+    assert not any(got[1][2]) and not any(got[2][2])
+
+
+def test_graph_without_archived_documents(spark):
+    docs = spark.createDataFrame([("1", "t1", "# Same\n[S1]"), ("2", "t2", "# Same\n# Own")], "document_id string, title string, content string")
+    nodes, edges = an.visible_graph(*an.build_graph(docs), spark.createDataFrame([("2",)], "document_id string"))
+    live = an.drop_orphans(nodes, edges, docs.where("document_id = '1'"))
+    assert {r["node_id"] for r in live.collect()} == {"document:1", "topic:Same", "citation:S1"}
+    got = {tuple(r) for r in an.neighbors(edges).collect()}
+    assert got == {("document:1", "topic:Same", "mentions", True), ("topic:Same", "document:1", "mentions", False), ("document:1", "citation:S1", "references", True), ("citation:S1", "document:1", "references", False)}
+
+
+def test_versioned_table_goes_on_after_a_restart(spark, tmp_path):
+    df = lambda *v: spark.createDataFrame([(x,) for x in v], "x int")
+    values = lambda d: sorted(r[0] for r in d.collect())
+    root = f"file://{tmp_path}/state"
+    jobs.VersionedTable(root, df(1)).replace(df(1, 2), 0)
+    again = jobs.VersionedTable(root, df(9))
+    assert values(again.current()) == [1, 2] and values(again.current(0)) == [1]
+    again.replace(df(1, 3), 0)  # the batch runs once more
+    assert values(again.current()) == [1, 3] and values(again.current(1)) == [1, 3]
+
+
 def test_weak_signals_never_beat_an_explicit_one(spark):
     s = [("x.org", "explicit", "yours", None, True, 0)] + [("y.org", k, k, "Y", k == "seed", i) for i, k in enumerate(("seed", "documents", "nomination", "crawl_history", "upstream"), 1)]
     got = rows(web.score_candidates(spark.createDataFrame(s, "value string, signal string, evidence string, label string, verified boolean, at int"), 5))
