@@ -135,17 +135,24 @@ def ngrams(h: np.ndarray, n: int) -> np.ndarray:
 class KeyFilter:
     """A broadcast bitmap over keys: ``hit`` tells which keys may be in the set; a miss is certain."""
 
-    #: Bits of a filter: about 16 for each key, 8 KB at least and 64 MB at most.
+    #: Bits of a filter: 16 to 32 for each key, 8 KB at least and 64 MB at most.
     LEAST_BITS, MOST_BITS = 16, 29
     #: Bits that one group sets.
     PART_BITS = 16
+    #: Bits that a key sets, so a key outside the set passes with a chance of 0.005 at most while the filter isn't full.
+    PROBES = 3
 
-    def __init__(self, bits: int, shared):
-        self.bits, self.shared = bits, shared
+    def __init__(self, bits: int, shared, full: bool):
+        #: full: there were more keys than the largest filter has room for.
+        self.bits, self.shared, self.full = bits, shared, full
 
     def hit(self, key: np.ndarray) -> np.ndarray:
-        at = key & ((1 << self.bits) - 1)
-        return (self.shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        low, high = key & ((1 << self.bits) - 1), (key >> 32) & ((1 << self.bits) - 1)
+        out = np.ones(len(key), dtype=bool)
+        for k in range(self.PROBES):
+            at = (low + k * (high | 1)) & ((1 << self.bits) - 1)
+            out &= (self.shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        return out
 
     def release(self) -> None:
         """Free the executors' copies; they are sent again should a lost task need them."""
@@ -156,19 +163,22 @@ def key_filter(keys: DataFrame) -> KeyFilter:
     """Filter over the one long column of ``keys``, a written table (it is read twice: counted and set).
 
     The bits are set on the executors, part by part, so the driver gets a few binary rows of 64 MB in all at most.
-    Beyond 2**29 / 16 keys the filter lets more through; all its users check exactly behind it.
+    Beyond 2**29 / 16 keys the filter is ``full`` and lets more through; all its users check exactly behind it.
     """
     spark, column = keys.sparkSession, keys.columns[0]
-    bits = min(KeyFilter.MOST_BITS, max(KeyFilter.LEAST_BITS, int(16 * keys.count()).bit_length()))
-    part = KeyFilter.PART_BITS
+    need = int(16 * keys.count()).bit_length()
+    bits = min(KeyFilter.MOST_BITS, max(KeyFilter.LEAST_BITS, need))
+    part, mask = KeyFilter.PART_BITS, F.lit((1 << bits) - 1)
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         own = np.zeros(1 << part, dtype=bool)
         own[pdf["at"].to_numpy() & ((1 << part) - 1)] = True
         return pd.DataFrame({"p": pdf["p"].iloc[:1], "raw": [np.packbits(own, bitorder="little").tobytes()]})
 
-    at = keys.select(F.col(column).bitwiseAND((1 << bits) - 1).alias("at")).distinct().withColumn("p", F.shiftright("at", part))
+    low, high = F.col(column).bitwiseAND(mask), F.shiftright(column, 32).bitwiseAND(mask).bitwiseOR(F.lit(1))
+    probes = F.array(*((low + k * high).bitwiseAND(mask) for k in range(KeyFilter.PROBES)))
+    at = keys.select(F.explode(probes).alias("at")).distinct().withColumn("p", F.shiftright("at", part))
     whole = np.zeros(1 << (bits - 3), dtype=np.uint8)
     for p, raw in at.groupBy("p").applyInPandas(fill, "p long, raw binary").toLocalIterator():
         whole[p << (part - 3) : (p + 1) << (part - 3)] = np.frombuffer(raw, dtype=np.uint8)
-    return KeyFilter(bits, spark.sparkContext.broadcast(whole))
+    return KeyFilter(bits, spark.sparkContext.broadcast(whole), need > bits)

@@ -194,6 +194,7 @@ def _keys(unit):
 
 
 _PLACES = "a_key long, seg_key long, rk long, doc long, start int, n int"
+_PICK = ("a_key", "seg_key", "rk", "doc", "start")
 
 
 def _positions(unit, anchors: KeyFilter | None):
@@ -227,15 +228,20 @@ def _contents(unit, texts: KeyFilter, places: KeyFilter):
     return run
 
 
-def contents(docs: DataFrame, unit, picks: DataFrame) -> DataFrame:
-    """a_key, seg_key, doc, start, n, content of the places in ``picks`` (rk, start; a written table).
+def contents(docs: DataFrame, unit, picks: DataFrame, exact: bool = False) -> DataFrame:
+    """a_key, seg_key, doc, start, n, content of the places in ``picks`` (the columns of _PICK; a written table).
 
     The few other places that the bitmaps let through by chance are later places of a known content, or lone
-    ones, and change nothing.
+    ones, and change nothing. Where more than a few could pass (a full bitmap), or with ``exact``, they are dropped by a join
+    on the whole place, whose keys no copies make hot.
     """
     place = F.col("rk").bitwiseXOR(F.col("start").cast("long"))
     texts, places = key_filter(picks.select("rk")), key_filter(picks.select(place.alias("p")))
-    return docs.select("rk", "doc", "text").mapInPandas(_contents(unit, texts, places), "a_key long, seg_key long, doc long, start int, n int, content binary")
+    cut = docs.select("rk", "doc", "text").mapInPandas(_contents(unit, texts, places), "a_key long, seg_key long, doc long, start int, n int, content binary")
+    if exact or texts.full or places.full:
+        place = ["a_key", "seg_key", "doc", "start"]
+        cut = cut.join(picks.select(*place), place, "left_semi")
+    return cut
 
 
 def occurrences(docs: DataFrame, unit) -> DataFrame:
@@ -258,6 +264,19 @@ def distinct_segments(found: DataFrame) -> DataFrame:
     return materialise(segs.join(many, "a_key"))
 
 
+def _first_places(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The first row of each (a_key, seg_key); the input is sorted by them, doc and start. Later places, however many, aren't held."""
+    last = None
+    for pdf in it:
+        keys = pdf[["a_key", "seg_key"]].to_numpy()
+        if len(keys):
+            new = np.ones(len(keys), dtype=bool)
+            new[1:] = (keys[1:] != keys[:-1]).any(axis=1)
+            new[0] = last is None or bool((keys[0] != last).any())
+            last = keys[-1]
+            yield pdf[new]
+
+
 def _runs(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Whole anchors, gathered to about SHARD_BYTES of content; the input is sorted by anchor."""
     held, size = [], 0
@@ -301,8 +320,7 @@ _SOLVED = "a_key long, seg_key long, hits array<struct<lo:int,hi:int>>"
 
 def _solve(unit, solver):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for shard in _runs(it):
-            shard = shard.sort_values(["a_key", "seg_key", "doc", "start"]).drop_duplicates(["a_key", "seg_key"])
+        for shard in _runs(_first_places(it)):
             flags = solver(unit, shard)
             some = np.array([f.any() for f in flags], dtype=bool)
             hits = pd.Series([intervals(f) for f in flags if f.any()], dtype=object)
@@ -313,7 +331,7 @@ def _solve(unit, solver):
 
 def indexed(segments: DataFrame, unit, solver) -> DataFrame:
     """a_key, seg_key and the flagged windows of the segments that have any, by the operator's index over shards of whole anchors."""
-    return segments.repartition("a_key").sortWithinPartitions("a_key").mapInPandas(_solve(unit, solver), _SOLVED)
+    return segments.repartition("a_key").sortWithinPartitions("a_key", "seg_key", "doc", "start").mapInPandas(_solve(unit, solver), _SOLVED)
 
 
 def _window_rows(unit):
@@ -351,8 +369,8 @@ def _single_windows(unit):
 
 
 def _hot_windows(docs: DataFrame, unit, solver, hot: DataFrame, earlier: bool) -> DataFrame:
-    """As ``indexed``, for anchors with more content than one task takes. hot: a_key, seg_key, rk, start; written out."""
-    own = materialise(contents(docs, unit, hot).join(hot.select("a_key", "seg_key", "start"), ["a_key", "seg_key", "start"], "left_semi").dropDuplicates(["a_key", "seg_key"]))
+    """As ``indexed``, for anchors with more content than one task takes. hot: the columns of _PICK; written out."""
+    own = materialise(contents(docs, unit, hot, exact=True).dropDuplicates(["a_key", "seg_key"]))
     rows = materialise(own.mapInPandas(_window_rows(unit), "w1 long, w2 long, a_key long, seg_key long, i int, doc long, at long"))
     place = F.struct("doc", "at", "a_key", "seg_key", "i")
     shared = materialise(rows.groupBy("w1", "w2").agg(F.count("*").alias("m"), F.min(place).alias("first"), F.max(place).alias("last")).where("m > 1"))
@@ -375,11 +393,11 @@ def solve(docs: DataFrame, unit, solver, earlier: bool) -> DataFrame:
     """
     found = occurrences(docs, unit)
     segs = distinct_segments(found)
-    hot = materialise(segs.where(F.col("d") > unit.hot).select("a_key", "seg_key", "rk", "start"))
+    hot = materialise(segs.where(F.col("d") > unit.hot).select(*_PICK))
     if hot.isEmpty():
         solved = indexed(contents(docs, unit, segs), unit, solver)
     else:
-        cold = materialise(segs.where(F.col("d") <= unit.hot).select("rk", "start"))
+        cold = materialise(segs.where(F.col("d") <= unit.hot).select(*_PICK))
         rest = contents(docs, unit, cold).join(hot.select("a_key").distinct(), "a_key", "left_anti")
         solved = indexed(rest, unit, solver).unionByName(_hot_windows(docs, unit, solver, hot, earlier))
     first = segs.select("a_key", "seg_key", "c", F.col("doc").alias("f_doc"), F.col("start").alias("f_start"))
