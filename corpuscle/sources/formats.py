@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -37,72 +38,138 @@ def parse_markdown(raw: bytes) -> tuple[str | None, str]:
     return title, text
 
 
-_DROPPED = frozenset(("script", "style", "nav", "footer", "aside", "template", "noscript"))
+# Tags and attributes that mark what isn't the page's own text.
+_DROPPED = frozenset(("script", "style", "nav", "footer", "aside", "template"))
+_INVISIBLE = frozenset(("display:none", "visibility:hidden"))
+_NOISE_TAGS = frozenset(("form", "iframe", "noscript", "svg", "canvas", "button"))
+_NOISE_ROLES = frozenset(("navigation", "banner", "complementary", "contentinfo", "search", "menu", "menubar", "dialog", "alert"))
+_NOISE_WORDS = "nav navigation menu sidebar footer comment comments share social related recommend breadcrumb pagination toolbar advert ad ads promo cookie subscribe newsletter login signup banner"
+_MAIN_WORDS = "article content post entry main story markdown rich_text richtext"
+# How containers are rated.
+_CONTAINERS, _INNER = frozenset(("article", "main", "div", "section", "td")), frozenset(("article", "main", "div", "section"))
+_LEAST_TEXT, _OF_PARENT, _OF_PAGE = 200, 0.8, 0.15
+_MAIN_NAME, _MAIN_TAG, _NOISE_NAME = 1.4, 1.5, 0.25
+
 _VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
-_BLOCK = frozenset(("p", "div", "li", "tr", "br", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "section", "article", "table", "ul", "ol"))
-_MAIN = ("article", "main", "body")
+_BLOCK = frozenset(("p", "div", "li", "tr", "br", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "section", "article", "table", "ul", "ol", "td", "th", "dt", "dd", "main"))
+_IS_NOISE = re.compile(rf"(?i)(?<![^-_ ])(?:{'|'.join(_NOISE_WORDS.split())})(?![^-_ ])")
+_IS_MAIN = re.compile(rf"(?i){'|'.join(_MAIN_WORDS.split())}")
+
+
+class _Node:
+    """An element: its parts in order, and how much text and linked text lie below it."""
+
+    __slots__ = ("chars", "linked", "name", "parts", "pieces", "role", "tag")
+
+    def __init__(self, tag: str, name: str = "", role: str = ""):
+        self.tag, self.name, self.role = tag, name, role
+        self.parts: list[str | _Node] = []
+        self.chars = self.pieces = self.linked = 0
+
+    @property
+    def length(self) -> int:
+        """Characters of its text with one blank between the pieces."""
+        return self.chars + max(0, self.pieces - 1)
+
+    def take(self, child: _Node) -> None:
+        self.parts.append(child)
+        self.chars += child.chars
+        self.pieces += child.pieces
+        self.linked += child.linked + (child.length if child.tag == "a" else 0)
+
+    @property
+    def noise(self) -> bool:
+        return self.tag in _NOISE_TAGS or self.role in _NOISE_ROLES or bool(_IS_NOISE.search(self.name))
+
+    @property
+    def rate(self) -> float:
+        """Text outside links, more for what is named like an article, less for what is named like decoration."""
+        own = self.length * (1 - min(1.0, self.linked / max(1, self.length)))
+        own *= _MAIN_NAME if _IS_MAIN.search(self.name) else 1
+        own *= _MAIN_TAG if self.tag in ("article", "main") else 1
+        return own * (_NOISE_NAME if _IS_NOISE.search(self.name) else 1)
+
+    def text(self, skip: Callable[[_Node], bool]) -> str:
+        """Lines of text; blocks end lines. Nodes of ``skip`` are left out. Not recursive, as pages may nest deeply."""
+        out: list[str] = []
+        todo: list[str | _Node] = [self]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, str):
+                out.append(x)
+            elif x is self or not skip(x):
+                edge = ["\n"] if x.tag in _BLOCK else []
+                todo += [*edge, *reversed(x.parts), *edge]
+        lines = (" ".join(x.split()) for x in "".join(out).split("\n"))
+        return "\n".join(x for x in lines if x)
 
 
 class _Page(HTMLParser):
-    """Collects title, first h1, and the text below each main-like container; hidden and boilerplate nodes are skipped."""
+    """The tree of a page without hidden and boilerplate elements; ``closed`` lists its elements as they end."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool]] = []
-        self.parts: dict[str, list[str]] = {m: [] for m in (*_MAIN, "")}
-        self.title: list[str] = []
-        self.h1: list[str] | None = None
-        self.links: dict[str, int] = dict.fromkeys((*_MAIN, ""), 0)
+        self.root = _Node("")
+        self.open: list[tuple[_Node, bool]] = [(self.root, False)]
+        self.closed: list[_Node] = []
+        self.depth: Counter[str] = Counter()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        a = dict(attrs)
-        hidden = tag in _DROPPED or "hidden" in a or (a.get("aria-hidden") == "true") or "display:none" in (a.get("style") or "").replace(" ", "")
-        if tag not in _VOID:
-            self.open.append((tag, hidden or bool(self.open and self.open[-1][1])))
-        if tag == "h1" and self.h1 is None:
-            self.h1 = []
-        if tag in _BLOCK:
-            self._add("\n")
+        a = {k: v or "" for k, v in attrs}
+        style = {d.removesuffix("!important") for d in "".join(a.get("style", "").lower().split()).split(";")}
+        hidden = tag in _DROPPED or "hidden" in a or a.get("aria-hidden") == "true" or not _INVISIBLE.isdisjoint(style)
+        self.open.append((_Node(tag, f"{a.get('id', '')} {' '.join(a.get('class', '').split())}".strip(), a.get("role", "").lower()), hidden or self.open[-1][1]))
+        self.depth[tag] += 1
+        if tag in _VOID:
+            self._end()
 
     def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                break
-        if tag in _BLOCK:
-            self._add("\n")
-
-    def _add(self, text: str) -> None:
-        tags = {t for t, _ in self.open}
-        for m in _MAIN:
-            if m in tags:
-                self.parts[m].append(text)
-        self.parts[""].append(text)
+        if self.depth[tag]:
+            while self.open[-1][0].tag != tag:
+                self._end()
+            self._end()
+
+    def _end(self) -> None:
+        node, hidden = self.open.pop()
+        self.depth[node.tag] -= 1
+        if not hidden:
+            self.open[-1][0].take(node)
+            self.closed.append(node)
 
     def handle_data(self, data: str) -> None:
-        tags = [t for t, _ in self.open]
-        if "title" in tags and not self.title:
-            self.title.append(data)
-        if self.open and self.open[-1][1] or "head" in tags or "title" in tags:
-            return
-        if "h1" in tags and self.h1 is not None and len(self.h1) < 50:
-            self.h1.append(data)
-        self._add(data)
+        node = self.open[-1][0]
+        node.parts.append(data)
+        if piece := data.strip():
+            node.chars += len(piece)
+            node.pieces += 1
+
+    def close(self) -> None:
+        super().close()
+        while len(self.open) > 1:
+            self._end()
 
 
-def _tidy(parts: list[str]) -> str:
-    lines = (" ".join(x.split()) for x in "".join(parts).split("\n"))
-    return "\n".join(x for x in lines if x)
+def _container(page: _Page) -> _Node | None:
+    """The best rated container, narrowed while one part holds most of its text; None if it is too small a part of the page."""
+    best = max((n for n in page.closed if n.tag in _CONTAINERS and n.length >= _LEAST_TEXT), key=lambda n: (n.rate, n.length), default=None)
+    inner = best
+    while inner is not None:
+        best, least = inner, max(_LEAST_TEXT, inner.length * _OF_PARENT)
+        inner = max((x for x in best.parts if isinstance(x, _Node) and x.tag in _INNER and x.length >= least), key=lambda x: x.length, default=None)
+    body = next((n for n in page.closed if n.tag == "body"), page.root)
+    return best if best is not None and best.length >= max(_LEAST_TEXT, body.length * _OF_PAGE) else None
 
 
 def parse_html(raw: bytes) -> tuple[str | None, str]:
-    """Title (first h1, else <title>) and the text of the most specific main container that holds any."""
+    """Title (first h1 with text, else <title>) and the text of the main container without noise, else of the whole page."""
     page = _Page()
     page.feed(raw.decode("utf-8", "replace"))
     page.close()
-    title = _tidy(page.h1 or []).replace("\n", " ") or _tidy(page.title).replace("\n", " ") or None
-    text = next((t for m in (*_MAIN, "") if (t := _tidy(page.parts[m]))), "")
-    return title, text
+    found = {tag: next((n for n in page.closed if n.tag == tag and n.length), None) for tag in ("h1", "title")}
+    title = found["h1"] or found["title"]
+    box = _container(page)
+    text = page.root.text(lambda n: n.tag in ("head", "title")) if box is None else box.text(lambda n: n.noise)
+    return title.text(lambda n: False).replace("\n", " ") if title else None, text
 
 
 register_format("text/markdown", parse_markdown)
@@ -151,7 +218,6 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 _IMG = re.compile(r"<img\b([^>]*)>", re.IGNORECASE)
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 # Parts of a path that mark decoration, and attributes that lazy pages use.
-# Parts of a path that mark decoration.
 DECORATIVE = ("/icon", "sprite", "logo", "/static/", "favicon", "avatar", "badge")
 LAZY = ("data-src", "data-original", "data-lazy-src", "src")
 #: Declared widths below this are decoration.

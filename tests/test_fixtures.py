@@ -271,6 +271,22 @@ def test_formats(spark):
     assert {r["path"]: r["title"] for r in fm.read_markdown(files.where("path = '/b.md'")).collect()} == {"/b.md": None}
 
 
+def test_main_container_of_a_page():
+    prose, links = "plain words of the story " * 20, '<a href="/x">a link of the list</a> ' * 60
+    page = f"<head><title>T</title></head><body><div class=list>{links}</div><div id=wrap><div class='post-body'><h2>Head</h2><p>{prose}</p><div class='share-bar'>tweet</div><form>send</form><p role=search>find</p><p style='visibility: hidden'>z</p></div></div><div>{prose[:230]}</div></body>"
+    title, text = fm.parse_html(page.encode())
+    assert (title, text) == ("T", "Head\n" + " ".join(prose.split()))
+    # too little of the page: all of it, links included
+    few = f"<body><p>{prose * 5}</p><div>{prose[:210]}</div></body>"
+    assert fm.parse_html(few.encode())[1].count("story") > 100
+    # decoration by name counts a quarter
+    named = f"<div class='sidebar'>{prose}</div><div>{prose[:300]}</div>"
+    assert fm.parse_html(named.encode())[1] == " ".join(prose[:300].split())
+    # deep nesting, text left open, nothing at all
+    assert fm.parse_html(b"<div>" * 5000 + b"deep")[1] == "deep"
+    assert fm.parse_html(b"<p>open <b>text") == (None, "open text") and fm.parse_html(b"") == (None, "")
+
+
 def test_images(spark):
     page = '<img srcset="a.png 100w, b.png 2x" src="c.png"><img data-src="/d.svg"><img src="data:x"><img src="e.png" width="20"><img src="e.png#f"><img src="http://127.0.0.1/f.png"><img src="/logo/g.png">'
     df = spark.createDataFrame([(1, "https://x.org/p/q", page)], "page_id long, url string, html string")
