@@ -142,14 +142,14 @@ class KeyFilter:
     #: Bits that a key sets, so a key outside the set passes with a chance of 0.005 at most while the filter isn't full.
     PROBES = 3
 
-    def __init__(self, bits: int, shared, full: bool):
+    def __init__(self, bits: int, shared, full: bool, probes: int):
         #: full: there were more keys than the largest filter has room for.
-        self.bits, self.shared, self.full = bits, shared, full
+        self.bits, self.shared, self.full, self.probes = bits, shared, full, probes
 
     def hit(self, key: np.ndarray) -> np.ndarray:
         low, high = key & ((1 << self.bits) - 1), (key >> 32) & ((1 << self.bits) - 1)
         out = np.ones(len(key), dtype=bool)
-        for k in range(self.PROBES):
+        for k in range(self.probes):
             at = (low + k * (high | 1)) & ((1 << self.bits) - 1)
             out &= (self.shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
         return out
@@ -159,7 +159,7 @@ class KeyFilter:
         self.shared.unpersist()
 
 
-def key_filter(keys: DataFrame) -> KeyFilter:
+def key_filter(keys: DataFrame, probes: int = KeyFilter.PROBES) -> KeyFilter:
     """Filter over the one long column of ``keys``, a written table (it is read twice: counted and set).
 
     The bits are set on the executors, part by part, so the driver gets a few binary rows of 64 MB in all at most.
@@ -176,9 +176,9 @@ def key_filter(keys: DataFrame) -> KeyFilter:
         return pd.DataFrame({"p": pdf["p"].iloc[:1], "raw": [np.packbits(own, bitorder="little").tobytes()]})
 
     low, high = F.col(column).bitwiseAND(mask), F.shiftright(column, 32).bitwiseAND(mask).bitwiseOR(F.lit(1))
-    probes = F.array(*((low + k * high).bitwiseAND(mask) for k in range(KeyFilter.PROBES)))
+    probes = F.array(*((low + k * high).bitwiseAND(mask) for k in range(probes)))
     at = keys.select(F.explode(probes).alias("at")).distinct().withColumn("p", F.shiftright("at", part))
     whole = np.zeros(1 << (bits - 3), dtype=np.uint8)
     for p, raw in at.groupBy("p").applyInPandas(fill, "p long, raw binary").toLocalIterator():
         whole[p << (part - 3) : (p + 1) << (part - 3)] = np.frombuffer(raw, dtype=np.uint8)
-    return KeyFilter(bits, spark.sparkContext.broadcast(whole), need > bits)
+    return KeyFilter(bits, spark.sparkContext.broadcast(whole), need > bits, probes)

@@ -186,7 +186,7 @@ def _sets(wanted: KeyFilter):
 def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, shingles: full sets of the given distinct nodes, written out; texts are not shuffled (a bitmap picks them)."""
     nodes = materialise(nodes)
-    wanted = key_filter(nodes)
+    wanted = key_filter(nodes, 1)  # ids are not mixed: one bit tells dense ones apart, further probes would hit their neighbours
     picked = docs.where("doc_id is not null").mapInPandas(_sets(wanted), "node long, shingles binary")
     sets = materialise(picked.join(nodes, "node", "left_semi").distinct())
     wanted.release()
