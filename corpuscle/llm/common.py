@@ -176,8 +176,8 @@ def key_filter(keys: DataFrame, probes: int = KeyFilter.PROBES) -> KeyFilter:
         return pd.DataFrame({"p": pdf["p"].iloc[:1], "raw": [np.packbits(own, bitorder="little").tobytes()]})
 
     low, high = F.col(column).bitwiseAND(mask), F.shiftright(column, 32).bitwiseAND(mask).bitwiseOR(F.lit(1))
-    probes = F.array(*((low + k * high).bitwiseAND(mask) for k in range(probes)))
-    at = keys.select(F.explode(probes).alias("at")).distinct().withColumn("p", F.shiftright("at", part))
+    places = F.array(*((low + k * high).bitwiseAND(mask) for k in range(probes)))
+    at = keys.select(F.explode(places).alias("at")).distinct().withColumn("p", F.shiftright("at", part))
     whole = np.zeros(1 << (bits - 3), dtype=np.uint8)
     for p, raw in at.groupBy("p").applyInPandas(fill, "p long, raw binary").toLocalIterator():
         whole[p << (part - 3) : (p + 1) << (part - 3)] = np.frombuffer(raw, dtype=np.uint8)
