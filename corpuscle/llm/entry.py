@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscle.llm import ann, bpe, decontaminate, fm_index, minhash, quality, secrets, sharding, suffix_dedup, warc
+from corpuscle.llm import ann, bpe, decontaminate, fm_index, lexical, minhash, packing, quality, resampling, secrets, sharding, suffix_dedup, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_fm_dedup": fm_index.op8_fm_dedup,
         "op9_quality_grade": quality.op9_quality_grade,
         "op10_bpe_tree": bpe.op10_bpe_tree,
+        "op11_geometric_search": lexical.op11_geometric_search,
+        "op12_binary_packing": packing.op12_binary_packing,
+        "op13_importance_resample": resampling.op13_importance_resample,
     }
 
 
@@ -32,4 +35,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_warc_index": warc.ORACLE,
         "op7_minhash_bayes": minhash.ORACLE,
         "op8_fm_dedup": fm_index.ORACLE,
+        "op11_geometric_search": lexical.ORACLE,
     }
