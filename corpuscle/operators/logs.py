@@ -72,3 +72,24 @@ def probe_asof(attempts: DataFrame, probes: DataFrame, ok_s: float = 6 * 3600, o
 def sessions(messages: DataFrame, gap: str = "30 minutes") -> DataFrame:
     """user_id, start, due, messages: a session is due ``gap`` after its last message. The same grouping runs in a stream."""
     return messages.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("messages")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("due"), "messages")
+
+
+def session_summaries(events: DataFrame, gap_s: int = 1800) -> DataFrame:
+    """user_id, start, due, messages, reason, state of each session of messages.
+
+    events: user_id, event_id, ts, ends. A session is due ``gap_s`` after its last message (reason idle), or at an event before that time
+    that ends the user's conversation (reason end); nothing counts after a user's first end. A summary is stale if a
+    message came after it, else ready.
+    """
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    live = events.where("user_id is not null").withColumn("over", F.coalesce(F.max("ends").over(before), F.lit(False))).where(~F.col("over"))
+    end = F.first(F.when(F.col("ends"), F.col("ts")), ignorenulls=True).over(Window.partitionBy("user_id"))
+    rows = live.withColumn("end", end).where(~F.col("ends"))
+    new = F.coalesce(F.col("ts") < F.lag("ts").over(order) + F.make_dt_interval(secs=F.lit(gap_s)), F.lit(False))
+    rows = rows.withColumn("n", F.sum(F.when(new, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    out = rows.groupBy("user_id", "n").agg(F.min("ts").alias("start"), F.max("ts").alias("last"), F.count("*").alias("messages"), F.first("end").alias("end"))
+    idle = F.col("last") + F.make_dt_interval(secs=F.lit(gap_s))
+    ended = F.coalesce(F.col("end") < idle, F.lit(False))
+    later = F.lead("n").over(Window.partitionBy("user_id").orderBy("n")).isNotNull()
+    return out.select("user_id", "start", F.when(ended, F.col("end")).otherwise(idle).alias("due"), "messages", F.when(ended, "end").otherwise("idle").alias("reason"), F.when(later, "stale").otherwise("ready").alias("state"))

@@ -37,13 +37,6 @@ def upsert(target: DataFrame, updates: DataFrame, key: str, vector: str | None =
     return target.join(updates.select(key).distinct(), key, "left_anti").unionByName(updates.dropDuplicates([key]))
 
 
-def write_version(df: DataFrame, root: str) -> str:
-    """Write a table as a new version directory; readers keep the one they read."""
-    path = f"{root.rstrip('/')}/version-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return path
-
-
 TEXT_LIMIT, BINARY_LIMIT = 20 << 20, 100 << 20
 
 

@@ -195,10 +195,13 @@ def corpus_stats(pages: DataFrame, chunks: DataFrame) -> DataFrame:
 def crawl_merge(pages: DataFrame, fetches: DataFrame) -> DataFrame:
     """url, action, sha256: kept (304 or same hash), updated, removed (404 or 410 of a known page), untouched, failed (unknown page).
 
-    pages: url, sha256; fetches: url, status, sha256.
+    pages: url, sha256; fetches: url, status, sha256; one row for each url in both. Of etag, last_modified and fetched_at those
+    columns that both tables have are merged too: an updated page takes the fetch's; a kept one its time, and of the other two what
+    the fetch gives (null or empty: the page's own); an untouched one stays as it is.
     """
-    p = pages.select("url", F.col("sha256").alias("old"), F.lit(True).alias("known"))
-    f = fetches.select("url", "status", F.col("sha256").alias("new"), F.lit(True).alias("fetched"))
+    marks = [c for c in ("etag", "last_modified", "fetched_at") if c in pages.columns and c in fetches.columns]
+    p = pages.select("url", F.col("sha256").alias("old"), F.lit(True).alias("known"), *(F.col(c).alias(f"old_{c}") for c in marks))
+    f = fetches.select("url", "status", F.col("sha256").alias("new"), F.lit(True).alias("fetched"), *(F.col(c).alias(f"new_{c}") for c in marks))
     out = p.join(f, "url", "full_outer")
     action = (
         F.when(F.col("fetched").isNull(), "untouched")
@@ -207,15 +210,31 @@ def crawl_merge(pages: DataFrame, fetches: DataFrame) -> DataFrame:
         .when(F.col("known") & F.col("status").isin(404, 410), "removed")
         .otherwise(F.when(F.col("known"), "untouched").otherwise("failed"))
     )
-    return out.select("url", action.alias("action"), F.when(action == "updated", F.col("new")).when(action.isin("kept", "untouched"), F.col("old")).alias("sha256"))
+    out = out.withColumn("action", action)
+    state = F.col("action")
 
+    def merged(c: str) -> Column:
+        old, new = F.col(f"old_{c}"), F.col(f"new_{c}")
+        given = new if c == "fetched_at" else F.coalesce(F.when(new != "", new), old)
+        return F.when(state == "updated", new).when(state == "kept", given).when(state == "untouched", old).alias(c)
 
-def merge_chunks(chunks: DataFrame, merged: DataFrame, new_chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(chunks after the merge, ids of deleted chunks): pages updated or removed lose theirs, updated ones get new ones."""
-    gone = merged.where(F.col("action").isin("updated", "removed")).select("url")
-    fresh = new_chunks.join(merged.where("action = 'updated'").select("url"), "url", "left_semi")
-    deleted = chunks.join(gone, "url", "left_semi").select("chunk_id").join(fresh.select("chunk_id"), "chunk_id", "left_anti")
-    return chunks.join(gone, "url", "left_anti").unionByName(fresh), deleted
+    sha = F.when(state == "updated", F.col("new")).when(state.isin("kept", "untouched"), F.col("old"))
+    return out.select("url", "action", sha.alias("sha256"), *map(merged, marks))
+
+
+def merge_chunks(chunks: DataFrame, merged: DataFrame, new_chunks: DataFrame) -> DataFrame:
+    """The columns of ``chunks`` and ``state``: kept, added or deleted.
+
+    Pages that are updated or removed lose their chunks and updated ones get those of ``new_chunks``; a chunk whose id is among
+    those again is only added. chunks, new_chunks: chunk_id, url, more; merged: url, action. The chunks that stand after the merge are
+    the kept and added ones; the ids of the deleted ones are what a vector index has to drop.
+    """
+    actions = merged.select("url", "action")
+    old = chunks.join(actions, "url", "left").withColumn("state", F.when(F.col("action").isin("updated", "removed"), "deleted").otherwise("kept"))
+    fresh = new_chunks.join(actions.where("action = 'updated'").select("url"), "url", "left_semi").withColumn("state", F.lit("added"))
+    gone = old.where("state = 'deleted'").join(fresh.select("chunk_id"), "chunk_id", "left_anti")
+    columns = [*chunks.columns, "state"]
+    return old.where("state = 'kept'").select(*columns).unionByName(fresh.select(*columns)).unionByName(gone.select(*columns))
 
 
 def parse_nominations(outputs: DataFrame, limit: int = 5, chars: int = 200) -> DataFrame:

@@ -12,6 +12,7 @@ from corpuscle.plans import web as wb
 from corpuscle.sources import formats as fm
 from corpuscle.sources.tables import table
 from corpuscle.streaming import jobs
+from corpuscle.streaming.state import KeyedState
 
 
 def _files(s, d):
@@ -81,19 +82,41 @@ def _backoff(s, d):
     return s.read.parquet(out)
 
 
+def _ending(s, d):
+    """Events as messages; every 40th ends its user's conversation."""
+    return table(s, d, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 40 == 7).alias("ends"))
+
+
+def _summaries(s, d):
+    """The last change of each session summary in a stream; the newest file has a message far later for each user, which closes all sessions."""
+    e = _ending(s, d)
+    first = st.shared_folder(s)
+    e.repartition(3).write.parquet(first)
+    e.groupBy("user_id").agg(F.lit(-1).cast("long").alias("event_id"), F.lit("2030-01-01").cast("timestamp").alias("ts"), F.lit(False).alias("ends")).write.mode("append").parquet(first)
+    changes = _drain(s, jobs.stream_summaries(s.readStream.schema(e.schema).parquet(first)), "append")
+    # the closing message makes a user's last summary stale, unless the conversation has ended
+    closing = changes.where("start < '2030-01-01'")
+    last = closing.groupBy("user_id").agg(F.max("start").alias("start"), F.lit(True).alias("is_last"))
+    out = closing.groupBy("user_id", "start").agg(*(F.max_by(c, "state").alias(c) for c in ("due", "messages", "reason", "state")))
+    out = out.join(last, ["user_id", "start"], "left")
+    return out.select("user_id", "start", "due", "messages", "reason", F.when(F.col("is_last"), "ready").otherwise(F.col("state")).alias("state"))
+
+
 def _sync(s, d):
     remote, prior, _, _ = mt._snapshots(s, d)
-    state = jobs.VersionedTable(st.shared_folder(s), prior)
+    state = KeyedState(st.shared_folder(s), prior, ["document_id"], buckets=16)
     out = st.shared_folder(s)
     jobs.stream_sync(_stream(s, remote, 4), state, lambda df, _: df.select("document_id", "action").write.mode("append").parquet(out), st.shared_folder(s)).awaitTermination()
     return s.read.parquet(out)
 
 
 def _corpus(s, d):
-    pages = wb._canonical(s, d).where("page_id % 5 <> 2").select("url", F.sha2("url", 256).alias("sha256"))
-    state = jobs.VersionedTable(st.shared_folder(s), pages)
-    jobs.stream_corpus(_stream(s, wb._fetches(s, d), 4), state, lambda df, _: None, st.shared_folder(s)).awaitTermination()
-    return state.current()
+    """Pages and chunks after a stream of fetches; fetches repeat the page's text, updated ones with a word more."""
+    known, chunks, fetches = wb._crawled(s, d)
+    pages = KeyedState(st.shared_folder(s), known, ["url"], buckets=16)
+    held = KeyedState(st.shared_folder(s), chunks, ["url", "chunk_id"], ["url"], buckets=16)
+    jobs.stream_corpus(_stream(s, fetches, 4), pages, held, wb._chunked, st.shared_folder(s)).awaitTermination()
+    return pages, held
 
 
 def _letters(texts: list[str]) -> list[list[float]]:
@@ -108,7 +131,9 @@ QUERIES = {
     "f2_embedder": lambda s, d: fm.embed_with(table(s, d, "documents").select("doc_id", "text"), _letters, 5).drop("text"),
     "r1_stream_sessions": _sessions,
     "r2_stream_sync": _sync,
-    "r3_stream_corpus": _corpus,
+    "r1_stream_summaries": _summaries,
+    "r3_stream_corpus": lambda s, d: _corpus(s, d)[0].current().select("url", "sha256"),
+    "r3_stream_chunks": lambda s, d: _corpus(s, d)[1].current().drop("text"),
     "r4_stream_backoff": _backoff,
     "r5_stream_progress": lambda s, d: _drain(s, jobs.stream_progress(_stream(s, mt._items(s, d).select("batch_id", "state"), 4)), "update", ["batch_id"]),
 }
@@ -116,8 +141,10 @@ QUERIES = {
 ORACLES = {
     "f2_embedder": "SELECT doc_id, list_transform(['a', 'e', 'i', 'o', 'u'], lambda c: (length(text) - length(replace(text, c, '')))::FLOAT) AS embedding FROM documents",
     "r1_stream_sessions": mt.ORACLES["r1_sessions"],
+    "r1_stream_summaries": mt.ORACLES["r1_summaries"],
+    "r3_stream_chunks": wb.ORACLES["j10_chunk_merge"].replace("SELECT chunk_id, url, window_no, token_count, state FROM r", "SELECT chunk_id, url, window_no, token_count FROM r WHERE state <> 'deleted'"),
     "r2_stream_sync": f"WITH {mt._SNAP} SELECT r.i AS document_id, CASE WHEN p.i IS NULL THEN 'added' ELSE 'changed' END AS action FROM re r LEFT JOIN pr p ON p.i = r.i WHERE (r.title, r.h, r.path) IS DISTINCT FROM (p.title, p.h, p.path)",
-    "r3_stream_corpus": wb.ORACLES["j10_crawl_merge"].replace("SELECT url, action, CASE", "SELECT url, CASE").replace("AS sha256 FROM m", "AS sha256 FROM m WHERE action IN ('kept', 'updated', 'untouched')"),
+    "r3_stream_corpus": "SELECT url, sha256 FROM (" + wb.ORACLES["j10_page_merge"] + ") WHERE action IN ('kept', 'updated', 'untouched')",
     "r4_stream_backoff": mt.ORACLES["w4_backoff"],
     "r5_stream_progress": f"WITH {mt._ITEMS} SELECT batch_id, count(*) AS total, count(*) FILTER (state = 'COMPLETED') AS completed, count(*) FILTER (state = 'FAILED') AS failed, count(*) FILTER (state = 'SKIPPED') AS skipped, count(*) FILTER (state = 'CANCELLED') AS cancelled FROM it GROUP BY 1",
 }

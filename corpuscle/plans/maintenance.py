@@ -189,6 +189,7 @@ QUERIES = {
     "w6_recent": lambda s, d: logs.recent_messages(table(s, d, "conversations").select("conv_id", "turn", "role"), 3),
     "j9_asof": _probes,
     "r1_sessions": lambda s, d: logs.sessions(_events(s, d).select("user_id", "ts")),
+    "r1_summaries": lambda s, d: logs.session_summaries(_events(s, d).select("user_id", "event_id", "ts", (C("event_id") % 40 == 7).alias("ends"))),
     "a8_repeated_assets": lambda s, d: an.repeated_assets(_rasters(s, d)),
     "a8_markers": lambda s, d: an.markers(_rasters(s, d), an.repeated_assets(_rasters(s, d))),
     "j13_overlap": _overlap,
@@ -258,6 +259,13 @@ s AS (SELECT *, CASE WHEN t THEN sum(t::INTEGER) OVER (PARTITION BY host, isl OR
 SELECT a.event_id AS attempt_id, p.state, coalesce(epoch(a.ts) - epoch(p.ts) < CASE WHEN p.state = 'ok' THEN 21600 ELSE 86400 END, false) AS fresh FROM a ASOF LEFT JOIN p ON a.user_id = p.user_id AND a.ts >= p.ts""",
     "r1_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WHERE user_id IS NOT NULL), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS due, count(*) AS messages FROM s GROUP BY user_id, k""",
+    "r1_summaries": """WITH e AS (SELECT user_id, event_id, ts, event_id % 40 = 7 AS ends FROM events WHERE user_id IS NOT NULL), x AS (SELECT user_id, min((ts, event_id)) AS stop FROM e WHERE ends GROUP BY 1),
+l AS (SELECT e.user_id, event_id, ts, stop[1] AS fin FROM e LEFT JOIN x ON x.user_id = e.user_id WHERE NOT ends AND (stop IS NULL OR (ts, event_id) < stop)),
+g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM l),
+k AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g),
+s AS (SELECT user_id, k, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS idle, count(*) AS messages, any_value(fin) AS fin FROM k GROUP BY user_id, k)
+SELECT user_id, start, CASE WHEN fin < idle THEN fin ELSE idle END AS due, messages, CASE WHEN fin < idle THEN 'end' ELSE 'idle' END AS reason,
+CASE WHEN lead(k) OVER (PARTITION BY user_id ORDER BY k) IS NULL THEN 'ready' ELSE 'stale' END AS state FROM s""",
     "a8_repeated_assets": f"WITH {_RAST} SELECT * FROM rp",
     "a8_markers": f"WITH {_RAST} SELECT figure_id, count(ra.digest) > 0 AND bool_and(ra.digest IS NULL OR rp.digest IS NOT NULL) AS is_marker FROM ra LEFT JOIN rp ON rp.digest = ra.digest GROUP BY 1",
     "j13_overlap": f"""WITH f AS (SELECT item_id AS figure_id, list_distinct(regexp_extract_all(lower(text), {_OTOK})) AS t FROM benchmark), s AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), {_OTOK}))) AS k FROM documents), ft AS (SELECT figure_id, len(t) AS n, unnest(t) AS k FROM f),

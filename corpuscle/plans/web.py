@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuscle.functions import urls as ux
+from corpuscle.operators import text as tx
 from corpuscle.operators import web as op
+from corpuscle.plans import text as tp
 from corpuscle.sources.tables import table
 
 AGENT = "corpusbot"
@@ -46,13 +48,43 @@ def _log(s, d):
     return e.select("batch_id", "at", "url", code.alias("error_code"), status.alias("status"), F.when(F.col("at") % 5 == 0, "unreachable").alias("probe_state"), F.when(F.col("at") % 11 == 0, "tls_error").when(F.col("at") % 13 == 0, "gone").alias("stored_reason"))
 
 
-def _fetches(s, d):
-    p = _canonical(s, d)
+def _fetches(p):
     status = F.element_at(F.array(*map(F.lit, (200, 304, 404, 200, 500, 410))), (F.pmod("page_id", F.lit(6)) + 1).cast("int"))
     h = F.sha2(F.concat("url", F.when(F.col("page_id") % 6 == 3, "new").otherwise("")), 256)
     return p.where("page_id % 4 <> 1").select("url", status.alias("status"), F.when(status == 200, h).alias("sha256"))
 
 
+def _chunked(pages):
+    """chunk_id, url, window_no, text, token_count of pages (url, text); an id names place and content."""
+    return tx.token_windows(pages, "url").withColumn("chunk_id", F.sha2(F.concat_ws(":", "url", "window_no", "text"), 256))
+
+
+def _crawled(s, d):
+    """(pages, their chunks, fetches): pages with validators, fetches with texts of 200s; a changed page has a word more."""
+    c = _canonical(s, d).groupBy("url").agg(F.min("page_id").alias("page_id"))
+    html = _pages(s, d, "page_id", "html")
+    stamp = lambda day: F.timestamp_seconds(F.col("page_id") + day * 86_400)
+    base = c.where("page_id % 5 <> 2")
+    pages = base.select("url", F.sha2("url", 256).alias("sha256"), F.concat(F.lit("e"), "page_id").alias("etag"), stamp(1).alias("fetched_at"))
+    chunks = _chunked(base.join(html, "page_id").select("url", F.col("html").alias("text")))
+    tag = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("n"), "page_id")).when(F.col("page_id") % 4 == 2, "")
+    fetches = _fetches(c).join(c.join(html, "page_id"), "url")
+    text = F.when(F.col("status") == 200, F.concat("html", F.when(F.col("page_id") % 6 == 3, " renewed").otherwise("")))
+    return pages, chunks, fetches.select("url", "status", "sha256", text.alias("text"), tag.alias("etag"), stamp(2).alias("fetched_at"))
+
+
+def _page_merge(s, d):
+    pages, _, fetches = _crawled(s, d)
+    return op.crawl_merge(pages, fetches)
+
+
+def _chunk_merge(s, d):
+    pages, chunks, fetches = _crawled(s, d)
+    merged = op.crawl_merge(pages, fetches)
+    new = _chunked(fetches.where("text is not null").select("url", "text"))
+    return op.merge_chunks(chunks, merged, new).drop("text")
+
+
 def _topics(s):
     rows = [("law", 0, ["the", "that", "of"]), ("kunst", 1, ["der", "und", "sch"]), ("vie", 2, ["que", "pour", "dans"]), ("ocio", 3, ["los", "para", "que"])]
     return s.createDataFrame(rows, "topic string, ordinal int, keywords array<string>")
@@ -74,7 +106,9 @@ QUERIES = {
     "a5_merge_sources": lambda s, d: op.merge_sources(*[_signals(s, d).where(f"signal {x} 'seed'").groupBy(ux.domain(F.col("value")).alias("domain")).agg(F.sort_array(F.collect_set("evidence")).alias("evidence"), F.max("label").alias("label"), F.bool_or("verified").alias("verified")) for x in ("<>", "=")]),
     "p8_rejections": lambda s, d: op.classify_rejections(_log(s, d)).select(F.col("at").alias("event_id"), "reason"),
     "a7_diagnostics": lambda s, d: op.crawl_diagnostics(op.classify_rejections(_log(s, d)).withColumn("reason", F.when((F.col("batch_id") % 4 == 0) & (F.col("at") % 50 == 0), F.lit(None)).otherwise(F.col("reason")))),
-    "j10_crawl_merge": lambda s, d: op.crawl_merge(_canonical(s, d).where("page_id % 5 <> 2").select("url", F.sha2("url", 256).alias("sha256")), _fetches(s, d)),
+    "j10_crawl_merge": lambda s, d: op.crawl_merge(_canonical(s, d).where("page_id % 5 <> 2").select("url", F.sha2("url", 256).alias("sha256")), _fetches(_canonical(s, d))),
+    "j10_page_merge": _page_merge,
+    "j10_chunk_merge": _chunk_merge,
     "s6_nominations": lambda s, d: op.parse_nominations(
         _pages(s, d, "page_id", "url").groupBy((F.col("page_id") % 50).alias("id")).agg(F.concat(F.lit("Sure: "), F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "url"))), lambda x: F.struct(x["url"].alias("domain"), F.concat(F.lit("page  "), x["page_id"]).alias("reason")))), F.lit(" done")).alias("text"))
     ),
@@ -147,3 +181,16 @@ k AS (SELECT *, row_number() OVER (PARTITION BY id, domain ORDER BY pos) AS r FR
 h AS (SELECT doc_id AS id, topic, o, len(list_filter(k, lambda x: contains(lower(text), x))) AS hits FROM documents, t), r AS (SELECT id, (row_number() OVER (PARTITION BY id ORDER BY hits DESC, o))::INTEGER AS rank, topic, hits::INTEGER AS hits FROM h WHERE hits > 0)
 SELECT * FROM r WHERE rank <= 3""",
 }
+_MERGED = ORACLES["j10_crawl_merge"].rsplit("SELECT url, action", 1)[0].replace(", p AS", ", o AS (SELECT url, min(page_id) AS page_id FROM c GROUP BY url), p AS", 1).replace("FROM c WHERE", "FROM o WHERE")
+ORACLES["j10_page_merge"] = f"""{_MERGED} SELECT m.url, action, CASE WHEN action = 'updated' THEN new WHEN action IN ('kept', 'untouched') THEN old END AS sha256,
+CASE action WHEN 'updated' THEN tag WHEN 'kept' THEN coalesce(nullif(tag, ''), 'e' || page_id) WHEN 'untouched' THEN 'e' || page_id END AS etag,
+CASE WHEN action IN ('updated', 'kept') THEN make_timestamp((page_id + 172800) * 1000000) WHEN action = 'untouched' THEN make_timestamp((page_id + 86400) * 1000000) END AS fetched_at
+FROM m JOIN (SELECT url, page_id, CASE page_id % 4 WHEN 0 THEN 'n' || page_id WHEN 2 THEN '' END AS tag FROM o) x ON x.url = m.url"""
+_WINDOWS = f"""SELECT url, side, (i // 700)::INTEGER AS window_no, least(800, len(t) - i)::INTEGER AS token_count, sha256(concat_ws(':', url, i // 700, array_to_string(t[i + 1:i + 800], ' '))) AS chunk_id
+FROM (SELECT url, side, t, unnest(range(0, greatest(1, ceil((len(t) - 100) / 700.0))::BIGINT)) * 700 AS i FROM (SELECT url, side, regexp_extract_all(text, '{tp._UNIT}') AS t FROM x) WHERE len(t) > 0)"""
+ORACLES["j10_chunk_merge"] = f"""{_MERGED}, x AS (SELECT m.url, 'old' AS side, html AS text FROM m JOIN o ON o.url = m.url JOIN pages USING (page_id) WHERE old IS NOT NULL
+UNION ALL SELECT m.url, 'new', html || CASE WHEN page_id % 6 = 3 THEN ' renewed' ELSE '' END FROM m JOIN o ON o.url = m.url JOIN pages USING (page_id) WHERE action = 'updated'),
+w AS ({_WINDOWS}), n AS (SELECT chunk_id FROM w WHERE side = 'new'),
+r AS (SELECT w.*, CASE WHEN side = 'new' THEN 'added' WHEN action IN ('updated', 'removed') THEN 'deleted' ELSE 'kept' END AS state FROM w JOIN m ON m.url = w.url
+WHERE side = 'new' OR action NOT IN ('updated', 'removed') OR chunk_id NOT IN (SELECT chunk_id FROM n))
+SELECT chunk_id, url, window_no, token_count, state FROM r"""

@@ -14,7 +14,6 @@ from corpuscle.operators import analytics as an
 from corpuscle.operators import logs, retrieval, storage, sync, web
 from corpuscle.operators import text as tx
 from corpuscle.sources import formats as fm
-from corpuscle.streaming import jobs
 
 
 def rows(df, *order):
@@ -186,17 +185,6 @@ def test_graph_without_archived_documents(spark):
     assert got == {("document:1", "topic:Same", "mentions", True), ("topic:Same", "document:1", "mentions", False), ("document:1", "citation:S1", "references", True), ("citation:S1", "document:1", "references", False)}
 
 
-def test_versioned_table_goes_on_after_a_restart(spark, tmp_path):
-    df = lambda *v: spark.createDataFrame([(x,) for x in v], "x int")
-    values = lambda d: sorted(r[0] for r in d.collect())
-    root = f"file://{tmp_path}/state"
-    jobs.VersionedTable(root, df(1)).replace(df(1, 2), 0)
-    again = jobs.VersionedTable(root, df(9))
-    assert values(again.current()) == [1, 2] and values(again.current(0)) == [1]
-    again.replace(df(1, 3), 0)  # the batch runs once more
-    assert values(again.current()) == [1, 3] and values(again.current(1)) == [1, 3]
-
-
 def test_weak_signals_never_beat_an_explicit_one(spark):
     s = [("x.org", "explicit", "yours", None, True, 0)] + [("y.org", k, k, "Y", k == "seed", i) for i, k in enumerate(("seed", "documents", "nomination", "crawl_history", "upstream"), 1)]
     got = rows(web.score_candidates(spark.createDataFrame(s, "value string, signal string, evidence string, label string, verified boolean, at int"), 5))
