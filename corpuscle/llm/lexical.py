@@ -2,13 +2,15 @@
 
 Documents become sparse vectors: an integer impact for each term that any item asks for. They are dealt in the order of a sketch
 (signs of a projection by term hashes), so that similar ones lie together, and cut into shards bounded by their postings. Each
-shard has its own posting lists. Every list is clustered by the similarity of its documents (nearest of evenly drawn centroids of
-the projected vectors) into blocks of at most BLOCK, and each block keeps the coordinatewise maximum of its documents' impacts,
-rounded up, so weighing it gives an upper bound of their scores.
-
-For an item, a shard is skipped if even its own maxima stay below the item's threshold (the k-th best score known); within a
-shard, the weakest terms whose maxima together stay below it aren't entered, and a block is skipped only if its bound does.
-Documents of the other blocks are scored exactly, best bounds first. The threshold starts from the shard with the best bound for
+shard has its own posting lists. Every list of at least LONG documents is clustered by their similarity (nearest of evenly
+drawn centroids of the projected vectors) into blocks of at most BLOCK, and each block keeps the coordinatewise maximum of its
+documents' impacts over the shard's long terms, rounded up. A shorter list is one block that is never skipped.
+
+For an item, a shard is skipped if even its own maxima stay below the item's threshold (the k-th best score known). Within a
+shard, the weakest terms whose maxima together stay below it aren't entered. Of the entered terms the short lists are scored
+first; a document that is left then has none of their terms, so a block's bound is its summary weighed by the item's long terms, plus the
+maxima of short terms that weren't entered. A block is skipped only if that bound stays below the threshold; documents of the
+others are scored exactly, best bounds first. The threshold starts from the shard with the best bound for
 the item, which is searched in a pass of its own, so it never exceeds the true k-th score and the result is exact.
 
 Items are searched ITEM_BLOCK at a time against all shards; a block's terms and weights are broadcast, 16 bytes a term.
@@ -33,8 +35,8 @@ from corpuscle.llm.common import KeyFilter, key_filter, materialise
 from corpuscle.llm.lexemes import runs
 
 K = 50
-#: Documents of a block, and postings of a shard (one document may have more).
-BLOCK, SHARD_POSTINGS = 128, 1 << 19
+#: Documents of a block, documents from which a list is long, and postings of a shard (one document may have more).
+BLOCK, LONG, SHARD_POSTINGS = 256, 32, 1 << 18
 #: Dimensions of the projection; the first SKETCH_BITS of its signs order the documents.
 DIMENSIONS, SKETCH_BITS = 32, 24
 #: Block maxima are kept in units of this impact, rounded up.
@@ -113,60 +115,67 @@ def _spans(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(size.sum()) + np.repeat(at[rows] - first, size), first
 
 
-#: Columns of a shard. Lists ``*_at`` hold offsets: docs -> terms (forward index), blocks -> docs, blocks -> summary entries.
-_INTS = ["fwd_at", "fwd_term", "fwd_impact", "peak", "block_term", "block_at", "block_doc", "sum_at", "sum_term"]
-_SHARD = "shard long, docs array<long>, vocabulary array<long>, " + ", ".join(f"{c} array<int>" for c in _INTS) + ", sum_top array<smallint>"
+#: Columns of a shard, as bytes of these types. ``*_at`` are offsets: documents -> entries (forward index), terms -> list_doc, blocks -> list_doc.
+_TYPES = {
+    "docs": "<i8", "vocabulary": "<i8", "peak": "<i4", "fwd_at": "<i4", "fwd_term": "<i4", "fwd_impact": "<i4", "list_at": "<i4", "list_doc": "<i4",
+    "long_term": "<i4", "block_at": "<i4", "block_col": "<i4", "summary": "u1",
+}
+_SHARD = "shard long, " + ", ".join(f"{c} binary" for c in _TYPES)
+
+
+def _clusters(place: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Order of a list's documents by the nearest of evenly drawn centroids, and the sizes of its blocks."""
+    n = -(-len(place) // BLOCK)
+    if n == 1:
+        return np.arange(len(place)), [len(place)]
+    nearest = np.argmax(place @ place[np.arange(n) * len(place) // n].T, axis=1)
+    return np.argsort(nearest, kind="stable"), [min(BLOCK, c - a) for c in np.bincount(nearest).tolist() for a in range(0, c, BLOCK)]
 
 
 def build_shard(keys: np.ndarray, at: np.ndarray, terms: np.ndarray, impact: np.ndarray) -> dict[str, np.ndarray]:
     """Forward index, clustered posting lists and block summaries of the documents whose entries begin at ``at``."""
     vocabulary, local = np.unique(terms, return_inverse=True)
-    size = np.diff(at)
-    df = np.bincount(local, minlength=len(vocabulary))
+    size, df = np.diff(at), np.bincount(local, minlength=len(vocabulary))
     weight = (impact * np.log1p(len(keys) / df)[local]).astype(np.float32)
     place = np.zeros((len(keys), DIMENSIONS), dtype=np.float32)
-    some = np.flatnonzero(size)
-    for a in range(0, len(some), 1024):  # bounds the temporaries
-        part = some[a : a + 1024]
+    some, signs = np.flatnonzero(size), _signs(vocabulary)
+    for a in range(0, len(some), 512):  # bounds the temporaries
+        part = some[a : a + 512]
         idx, first = _spans(at, part)
-        place[part] = np.add.reduceat(_signs(vocabulary)[local[idx]] * weight[idx, None], first)
+        place[part] = np.add.reduceat(signs[local[idx]] * weight[idx, None], first)
     place /= np.maximum(np.linalg.norm(place, axis=1, keepdims=True), 1e-9)
 
-    doc_of = np.repeat(np.arange(len(keys)), size)
-    by_term = np.argsort(local, kind="stable")
     list_at = np.concatenate([[0], np.cumsum(df)])
-    block_term, block_size, block_doc = [], [], []
-    for t in range(len(vocabulary)):
-        docs = doc_of[by_term[list_at[t] : list_at[t + 1]]]
-        if len(docs) > BLOCK:
-            n = -(-len(docs) // BLOCK)
-            nearest = np.argmax(place[docs] @ place[docs[np.arange(n) * len(docs) // n]].T, axis=1)
-            docs = docs[np.argsort(nearest, kind="stable")]
-            sizes = [min(BLOCK, c - a) for c in np.bincount(nearest).tolist() for a in range(0, c, BLOCK)]
-        else:
-            sizes = [len(docs)]
-        block_term += [t] * len(sizes)
+    list_doc = np.repeat(np.arange(len(keys)), size)[np.argsort(local, kind="stable")]
+    long_term = np.flatnonzero(df >= LONG)
+    block_size, block_col = [], []
+    for col, t in enumerate(long_term.tolist()):
+        docs = list_doc[list_at[t] : list_at[t + 1]]
+        order, sizes = _clusters(place[docs])
+        list_doc[list_at[t] : list_at[t + 1]] = docs[order]
         block_size += sizes
-        block_doc.append(docs)
-    block_at = np.concatenate([[0], np.cumsum(block_size, dtype=np.int64)])
-    block_doc = np.concatenate(block_doc) if block_doc else np.empty(0, dtype=np.int64)
-
-    top, most = -(-impact // UNIT), np.zeros(len(vocabulary), dtype=np.int64)
+        block_col += [col] * len(sizes)
+    block_col = np.array(block_col, dtype=np.int64)
+    done = np.cumsum(block_size, dtype=np.int64) - np.array(block_size, dtype=np.int64)
+    # blocks of a list follow each other within it, but short lists lie between long ones
+    skipped = np.concatenate([[0], np.cumsum(df[long_term])])[:-1]
+    block_at = list_at[long_term[block_col]] + done - skipped[block_col]
+
+    col_of = np.full(len(vocabulary), -1)
+    col_of[long_term] = np.arange(len(long_term))
+    kept = col_of[local] >= 0
+    long_at = np.concatenate([[0], np.cumsum(kept)])[at]
+    column, top = col_of[local[kept]], (-(-impact[kept] // UNIT)).astype(np.uint8)
+    summary = np.zeros((len(block_size), len(long_term)), dtype=np.uint8)
+    for row, a, n in zip(summary, block_at.tolist(), block_size, strict=True):
+        idx, _ = _spans(long_at, list_doc[a : a + n])
+        np.maximum.at(row, column[idx], top[idx])
     peak = np.zeros(len(vocabulary), dtype=np.int64)
     np.maximum.at(peak, local, impact)
-    sum_term, sum_top = [], []
-    for a, b in zip(block_at[:-1].tolist(), block_at[1:].tolist(), strict=True):
-        idx, _ = _spans(at, block_doc[a:b])
-        np.maximum.at(most, local[idx], top[idx])
-        found = np.flatnonzero(most)
-        sum_term.append(found)
-        sum_top.append(most[found])
-        most[found] = 0
-    sum_at = np.concatenate([[0], np.cumsum([len(x) for x in sum_term], dtype=np.int64)])
-    flat = lambda x: np.concatenate(x) if x else np.empty(0, dtype=np.int64)
+    ends = np.stack([block_at, block_at + np.array(block_size, dtype=np.int64)]) if block_size else np.empty((2, 0))
     return {
-        "docs": keys, "vocabulary": vocabulary, "fwd_at": at, "fwd_term": local, "fwd_impact": impact, "peak": peak, "block_term": np.array(block_term), "block_at": block_at,
-        "block_doc": block_doc, "sum_at": sum_at, "sum_term": flat(sum_term), "sum_top": flat(sum_top),
+        "docs": keys, "vocabulary": vocabulary, "peak": peak, "fwd_at": at, "fwd_term": local, "fwd_impact": impact, "list_at": list_at, "list_doc": list_doc,
+        "long_term": long_term, "block_at": ends, "block_col": block_col, "summary": summary,
     }
 
 
@@ -179,10 +188,7 @@ def build_index(vectors: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
         m = np.repeat(50 + 50 * np.array(n) * n_docs // n_terms, np.diff(at))
         tf = np.concatenate(tfs).astype(np.int64)
         shard = build_shard(np.array(keys), at, np.concatenate(terms), 1_000_000_000 * tf // (1000 * tf + 20 * m))
-        wide = {"docs": pa.int64(), "vocabulary": pa.int64(), "sum_top": pa.int16()}
-        return pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), *(_lists([v], wide.get(c, pa.int32())) for c, v in ((c, shard[c]) for c in names))], names=["shard", *names])
-
-    names = ["docs", "vocabulary", *_INTS, "sum_top"]
+        return pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), *(pa.array([shard[c].astype(t).tobytes()], pa.binary()) for c, t in _TYPES.items())], names=["shard", *_TYPES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, entries = [], 0
@@ -225,7 +231,7 @@ class _Items:
 
 
 def _array(row: pa.RecordBatch, name: str) -> np.ndarray:
-    return row.column(name).flatten().to_numpy(zero_copy_only=False)
+    return np.frombuffer(row.column(name)[0].as_buffer(), dtype=_TYPES[name])
 
 
 def best_shards(items: _Items) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -245,57 +251,78 @@ def best_shards(items: _Items) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return run
 
 
-def _search_shard(s: dict[str, np.ndarray], terms: np.ndarray, weights: np.ndarray, floor: int, k: int, best: tuple[np.ndarray, np.ndarray], counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """``best`` (scores, ids) of at most k with the documents of a shard that reach ``floor``."""
-    reach = weights * s["peak"][terms]
-    order = np.argsort(reach, kind="stable")
-    entered = terms[order[np.cumsum(reach[order]) >= floor]]
-    first, last = np.searchsorted(s["block_term"], entered), np.searchsorted(s["block_term"], entered, "right")
-    blocks = np.concatenate([np.arange(a, b) for a, b in zip(first.tolist(), last.tolist(), strict=True)])
-    w = np.zeros(len(s["vocabulary"]), dtype=np.int64)
-    w[terms] = weights
-    idx, at = _spans(s["sum_at"], blocks)
-    bound = np.add.reduceat(w[s["sum_term"][idx]] * s["sum_top"][idx], at) * UNIT
-    order = np.argsort(-bound, kind="stable")
-    blocks, bound, seen = blocks[order], bound[order], np.zeros(len(s["docs"]), dtype=bool)
-    counts["blocks"] += len(blocks)
-    for a in range(0, len(blocks), ROUND):
-        part = blocks[a : a + ROUND][bound[a : a + ROUND] >= floor]
-        if not len(part):
-            break
-        docs = np.unique(s["block_doc"][_spans(s["block_at"], part)[0]])
-        docs = docs[~seen[docs]]
-        seen[docs] = True
-        counts["entered"] += len(part)
-        if len(docs):
-            idx, at = _spans(s["fwd_at"], docs)
-            score = np.add.reduceat(w[s["fwd_term"][idx]] * s["fwd_impact"][idx], at)
-            good = score >= floor
-            score, ids = np.concatenate([best[0], score[good]]), np.concatenate([best[1], s["docs"][docs[good]]])
-            top = np.lexsort((ids, -score))[:k]
-            best = score[top], ids[top]
+class Shard:
+    """A shard's arrays, searched item by item. ``blocks`` and ``entered`` count the long lists' blocks met and scored."""
+
+    def __init__(self, arrays: dict[str, np.ndarray]):
+        self.__dict__.update(arrays)
+        self.block_at = self.block_at.reshape(2, -1)
+        self.summary = self.summary.reshape(len(self.block_col), len(self.long_term))
+        self.column = np.full(len(self.vocabulary), -1)
+        self.column[self.long_term] = np.arange(len(self.long_term))
+        self.weights = np.zeros(len(self.vocabulary), dtype=np.int64)
+        self.blocks = self.entered = 0
+
+    def search(self, terms: np.ndarray, weights: np.ndarray, floor: int, k: int, best: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """``best`` (scores, ids) of at most k with the documents that reach ``floor``."""
+        reach = weights * self.peak[terms]
+        order = np.argsort(reach, kind="stable")
+        inside = np.zeros(len(terms), dtype=bool)
+        inside[order[np.cumsum(reach[order]) >= floor]] = True
+        column = self.column[terms]
+        short, seen = column < 0, np.zeros(len(self.docs), dtype=bool)
+        self.weights[terms] = weights
+
+        def score(docs: np.ndarray) -> None:
+            nonlocal best, floor
+            docs = np.unique(docs)
+            docs = docs[~seen[docs]]
+            if not len(docs):
+                return
+            seen[docs] = True
+            idx, at = _spans(self.fwd_at, docs)
+            got = np.add.reduceat(self.weights[self.fwd_term[idx]] * self.fwd_impact[idx], at)
+            good = got >= floor
+            got, ids = np.concatenate([best[0], got[good]]), np.concatenate([best[1], self.docs[docs[good]]])
+            top = np.lexsort((ids, -got))[:k]
+            best = got[top], ids[top]
             if len(top) == k:
                 floor = max(floor, int(best[0][-1]))
-    return best
+
+        score(self.list_doc[_spans(self.list_at, terms[inside & short])[0]])
+        blocks = np.flatnonzero(np.isin(self.block_col, column[inside & ~short]))
+        if len(blocks):
+            long = column[~short]
+            bound = self.summary[np.ix_(blocks, long)].astype(np.int64) @ weights[~short] * UNIT + int(reach[short & ~inside].sum())
+            order = np.argsort(-bound, kind="stable")
+            blocks, bound = blocks[order], bound[order]
+            self.blocks += len(blocks)
+            for a in range(0, len(blocks), ROUND):
+                part = blocks[a : a + ROUND][bound[a : a + ROUND] >= floor]
+                if not len(part):
+                    break
+                self.entered += len(part)
+                score(np.concatenate([self.list_doc[x:y] for x, y in self.block_at[:, part].T.tolist()]))
+        self.weights[terms] = 0
+        return best
 
 
 def search_shards(items: _Items, k: int, only: dict[int, list[int]] | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(place of the item, doc, score): a task's k best of each item; ``only`` lists the items to look for by shard."""
-    names = ["vocabulary", "docs", *_INTS, "sum_top"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.empty(0, dtype=np.int64)
-        best, floor, counts = {}, items.floor.copy(), {"blocks": 0, "entered": 0}
+        best, floor = {}, items.floor.copy()
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                s = {c: _array(row, c) for c in names}
-                bound, at, known = items.bounds(s["vocabulary"], s["peak"])
+                shard = Shard({c: _array(row, c) for c in _TYPES})
+                bound, at, known = items.bounds(shard.vocabulary, shard.peak)
                 look = np.flatnonzero(bound >= floor) if only is None else [q for q in only[row.column("shard")[0].as_py()] if bound[q] >= floor[q]]
                 for q in map(int, look):
                     a, b = items.at[q], items.at[q + 1]
                     own = known[a:b]
-                    best[q] = _search_shard(s, at[a:b][own], items.weights[a:b][own], int(floor[q]), k, best.get(q, (none, none)), counts)
+                    best[q] = shard.search(at[a:b][own], items.weights[a:b][own], int(floor[q]), k, best.get(q, (none, none)))
                     if len(best[q][0]) == k:
                         floor[q] = max(floor[q], best[q][0][-1])
         place = np.repeat(np.array(list(best), dtype=np.int64), [len(x[0]) for x in best.values()])

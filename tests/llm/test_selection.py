@@ -82,7 +82,7 @@ def _search(docs, items, k):
 @pytest.mark.parametrize("small", [False, True])
 def test_search_equals_brute_force(spark, monkeypatch, small):
     if small:  # many shards, blocks and rounds
-        for name, value in (("BLOCK", 4), ("SHARD_POSTINGS", 300), ("ROUND", 1), ("ITEM_BLOCK", 7)):
+        for name, value in (("BLOCK", 4), ("LONG", 3), ("SHARD_POSTINGS", 300), ("ROUND", 1), ("ITEM_BLOCK", 7)):
             monkeypatch.setattr(lexical, name, value)
     docs = [(i, t) for i, t in enumerate(_texts(5, 300))]
     docs += [(1000 + i, docs[7][1]) for i in range(60)] + [(7, docs[7][1]), (8, "w1 w2 other"), (None, "w1 w250 w251"), (2000, None), (2001, ""), (2002, " .. "), (2003, "w3 w299 " * 3000)]
@@ -103,6 +103,7 @@ def test_search_of_empty_tables(spark):
 
 def test_blocks_are_skipped_and_nothing_is_lost(monkeypatch):
     monkeypatch.setattr(lexical, "BLOCK", 16)
+    monkeypatch.setattr(lexical, "LONG", 8)
     rng = np.random.default_rng(2)
     topics = [rng.choice(400, 40, replace=False) for _ in range(20)]
     rows = [np.unique(np.concatenate([rng.choice(topics[i % 20], 12), rng.integers(0, 400, 3)])) for i in range(1500)]
@@ -110,18 +111,19 @@ def test_blocks_are_skipped_and_nothing_is_lost(monkeypatch):
     terms = np.concatenate(rows).astype(np.int64)
     impact = rng.integers(1, 10**6, len(terms))
     vocabulary = np.unique(rng.integers(-(2**62), 2**62, 500))[:400]
-    shard = lexical.build_shard(np.arange(1500), at, vocabulary[terms], impact)
-    cold, warm, none = {"blocks": 0, "entered": 0}, {"blocks": 0, "entered": 0}, np.empty(0, dtype=np.int64)
+    arrays = lexical.build_shard(np.arange(1500), at, vocabulary[terms], impact)
+    cold, warm = lexical.Shard(dict(arrays)), lexical.Shard(dict(arrays))
+    none = np.empty(0, dtype=np.int64)
     for q in range(20):
         asked, weight = np.unique(topics[q][:10]), rng.integers(100, 9000, 10)
         w = np.zeros(400, dtype=np.int64)
         w[asked] = weight
         whole = np.add.reduceat(w[terms] * impact, at[:-1])
-        places, expect = np.searchsorted(shard["vocabulary"], vocabulary[asked]), sorted(zip(-whole, range(1500)))[:10]
-        for floor, counts in ((1, cold), (-expect[-1][0], warm)):  # the least and the greatest threshold that a search may start from
-            score, ids = lexical._search_shard(shard, places, weight, floor, 10, (none, none), counts)
+        places, expect = np.searchsorted(cold.vocabulary, vocabulary[asked]), sorted(zip(-whole, range(1500)))[:10]
+        for floor, shard in ((1, cold), (-expect[-1][0], warm)):  # the least and the greatest threshold that a search may start from
+            score, ids = shard.search(places, weight, floor, 10, (none, none))
             assert list(zip(-score, ids)) == expect
-    assert cold["entered"] < 0.8 * cold["blocks"] and warm["entered"] < 0.5 * cold["blocks"]  # also fewer terms are entered when warm
+    assert cold.entered < 0.8 * cold.blocks and warm.entered < 0.5 * cold.blocks  # also fewer terms are entered when warm
 
 
 def test_op11_equals_its_sql(spark):
