@@ -6,21 +6,18 @@ the smaller id, so a ranking doesn't depend on the order in which partitions are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpuscle.functions import text as fx
 from corpuscle.functions import urls as ux
+from corpuscle.operators import topk
+from corpuscle.operators.storage import cut_lineage
+from corpuscle.operators.topk import DIGITS
 
-DIGITS, RRF_K, POOL, SOURCES = 6, 60, 50, 5
-K1, B, EPSILON, DELTA = 1.5, 0.75, 0.25, 1.0
-#: Queries that meet the vectors at a time; what is broadcast has that bound.
-QUERY_BLOCK = 4_096
+RRF_K, POOL, SOURCES = 60, 50, 5
+EPSILON, DELTA = 0.25, 1.0
 
 
 def visible_chunks(chunks: DataFrame, docs: DataFrame, rebuild: DataFrame, scope: list[str] | None = None) -> DataFrame:
@@ -39,7 +36,15 @@ def top(scored: DataFrame, k: int, by: list[Column] | None = None) -> DataFrame:
 
 
 def bm25_stats(post: DataFrame) -> DataFrame:
-    """term, df, n_docs, avgdl over the rows of postings (id, term, tf, dl). Terms are counted with map-side combine."""
+    """term, df, n_docs, avgdl over the rows of postings (id, term, tf, dl). Terms are counted with map-side combine.
+
+    Postings that mark one row of each document (``first``) are read once: documents and lengths are summed from the terms' rows, which are
+    written. Else documents are counted by id.
+    """
+    if "first" in post.columns:
+        terms = cut_lineage(post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"), F.count_if("first").alias("docs")))
+        lengths = terms.agg(F.sum("docs").alias("n_docs"), (F.sum("tf") / F.sum("docs")).alias("avgdl"))
+        return terms.select("term", "df").join(F.broadcast(lengths))
     lengths = post.groupBy("id").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     return post.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(lengths))
 
@@ -57,86 +62,44 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(t).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
+def _query_hits(terms: DataFrame, post: DataFrame) -> DataFrame:
+    """The postings of query terms, written once: scoring and counts read them again."""
+    return cut_lineage(post.select("id", "term", "tf", "dl").join(terms.select("term").distinct(), "term", "left_semi"))
+
+
 def bm25_topk(queries: DataFrame, post: DataFrame, k: int = POOL) -> DataFrame:
-    """Okapi scores over 0, best k of each query. The inverted index meets the query terms by an equi-join on the term;
-    a frequent term's postings are split by adaptive execution, and partial sums combine before the shuffle to (query, id)."""
-    idf = okapi_idf(bm25_stats(post))
-    terms = query_terms(queries).join(idf, "term")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = post.join(terms, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), DIGITS).alias("score"))
-    return top(scored.where("score > 0"), k)
+    """Okapi scores over 0, best k of each query. Statistics come from all postings; those of query terms alone are written and scored,
+    by blocks of documents in which runs are skipped whose upper bound can't reach a query's k best."""
+    terms = cut_lineage(query_terms(queries))
+    idf = terms.join(okapi_idf(bm25_stats(post)), "term")
+    asked = cut_lineage(idf.groupBy("query_id").agg(F.collect_list("term").alias("terms"), F.collect_list(F.col("qtf") * F.col("idf")).alias("weights"), F.first("avgdl").alias("mean")).withColumn("base", F.lit(0.0)))
+    return top(topk.lexical_best(_query_hits(terms, post), asked, k).where("score > 0"), k)
 
 
 def bm25plus_rank(queries: DataFrame, post: DataFrame, k: int | None = None) -> DataFrame:
-    """BM25Plus over each query's own corpus, the texts that share a token with it; so N, df and mean length are per query."""
-    hits = post.join(query_terms(queries), "term").select("query_id", "id", "term", "tf", "dl", "qtf")
-    cand = hits.groupBy("query_id", "id").agg(F.first("dl").alias("dl")).groupBy("query_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = hits.groupBy("query_id", "term").agg(F.count("*").alias("df"), F.first("qtf").alias("qtf")).join(cand, "query_id")
-    idf = df.withColumn("idf", F.log((F.col("n") + 1) / F.col("df")))
-    base = idf.groupBy("query_id").agg(F.sum(F.col("qtf") * F.col("idf") * DELTA).alias("base"))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.drop("qtf").join(idf, ["query_id", "term"]).groupBy("query_id", "id").agg(F.sum(part).alias("part"))
-    scored = scored.join(base, "query_id").select("query_id", "id", F.round(F.col("part") + F.col("base"), DIGITS).alias("score"))
-    return top(scored, k or 1 << 30)
+    """BM25Plus over each query's own corpus, the texts that share a token with it; so N, df and mean length are per query.
+
+    The postings of query terms are written once. A first pass over them counts each query's texts, a second one scores.
+    """
+    terms = cut_lineage(query_terms(queries))
+    hits = _query_hits(terms, post)
+    known = cut_lineage(terms.join(hits.groupBy("term").agg(F.count("*").alias("df")), "term"))
+    own = topk.candidates(hits, known.groupBy("query_id").agg(F.collect_list("term").alias("terms")))
+    weighed = known.join(own, "query_id").withColumn("w", F.col("qtf") * F.log((F.col("n") + 1) / F.col("df")))
+    asked = cut_lineage(weighed.groupBy("query_id").agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("weights"), F.first("mean").alias("mean"), (F.sum("w") * DELTA).alias("base")))
+    return top(topk.lexical_best(hits, asked, k or 1 << 30), k or 1 << 30)
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, where: list[str] | None = None) -> DataFrame:
     """Exact cosine top-k (clamped to [-1, 1]); ``where`` columns must be equal on both sides and are applied before the top-k.
 
-    queries: query_id, embedding, where...; vectors: id, embedding, where.... Queries come in blocks of QUERY_BLOCK; each block
-    is broadcast and one pass over the vectors keeps k rows for each query and Arrow batch, so that is all that is shuffled.
-    A dimension that differs is an error.
+    queries: query_id, embedding, where...; vectors: id, embedding, where.... Both sides are dealt into blocks and each pair of blocks
+    gives k rows for each query, so no side passes the driver. Null vectors take no part; a dimension that differs is an error.
     """
     if not 0 < k <= 512:
         raise ValueError("k must be from 1 to 512")
     where = where or []
-    spark, kind, qkind = vectors.sparkSession, vectors.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    vectors = vectors.select("id", "embedding", *where)
-    found = None
-
-    def search(block) -> DataFrame:
-        q_ids = [r["query_id"] for r in block]
-        q = np.array([r["embedding"] for r in block], dtype=np.float64)
-        keys = [tuple(r[w] for w in where) for r in block]
-        shared = spark.sparkContext.broadcast((q_ids, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300), keys))
-
-        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, qs, q_keys = shared.value
-            by_key: dict[tuple, list[int]] = {}
-            for i, key in enumerate(q_keys):
-                by_key.setdefault(key, []).append(i)
-            for pdf in it:
-                if not len(pdf):
-                    continue
-                x = np.array([np.asarray(v, dtype=np.float64) for v in pdf["embedding"]])
-                if x.shape[1] != qs.shape[1]:
-                    raise ValueError(f"vectors have {x.shape[1]} dimensions, queries {qs.shape[1]}")
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                x_ids = pdf["id"].to_numpy()
-                groups = {(): np.arange(len(pdf))} if not where else {key if isinstance(key, tuple) else (key,): g for key, g in pdf.groupby(where, sort=False).indices.items()}
-                for key, rows in groups.items():
-                    mine = by_key.get(key, [])
-                    for at in range(0, len(mine), 256):
-                        part = mine[at : at + 256]
-                        sims = np.round(np.clip(qs[part] @ x[rows].T, -1, 1), DIGITS)
-                        out = []
-                        for i, s in zip(part, sims, strict=True):
-                            best = np.lexsort((x_ids[rows], -s))[:k]
-                            out.append(pd.DataFrame({"query_id": ids[i], "id": x_ids[rows][best], "score": s[best]}))
-                        yield pd.concat(out, ignore_index=True)
-
-        return vectors.mapInPandas(run, f"query_id {qkind}, id {kind}, score double")
-
-    block = []
-    for row in queries.select("query_id", "embedding", *where).toLocalIterator():
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            found = search(block) if found is None else found.unionByName(search(block))
-            block = []
-    if block or found is None:
-        last = search(block) if block else vectors.limit(0).select(F.lit(None).cast(qkind).alias("query_id"), "id", F.lit(0.0).alias("score"))
-        found = last if found is None else found.unionByName(last)
-    return top(found, k)
+    return top(topk.nearest(vectors.select("id", "embedding", *where), queries.select("query_id", "embedding", *where), k, where), k)
 
 
 def rrf(*rankings: DataFrame, k: int = RRF_K) -> DataFrame:

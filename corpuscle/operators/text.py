@@ -20,15 +20,16 @@ OVERVIEW_PATH, OVERVIEW_TITLE = "文档概览", "标题："
 _ABSTRACT = r"(?i)^(?:abstract|summary|摘要|概要|概述)(?![\p{L}\p{N}_])"
 
 
-def postings(chunks: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, term, tf, dl: one row for each text and distinct token.
+def postings(chunks: DataFrame, key: str, text: str = "text", mark: bool = False) -> DataFrame:
+    """key, term, tf, dl: one row for each text and distinct token; with ``mark`` also ``first``, true on one row of each text.
 
     A row holds its whole text, so its tokens are counted inside it, as runs of the sorted array: nothing is shuffled.
     """
 
     def runs(t: Column) -> Column:
         at = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
-        return F.get(F.transform(F.array(at), lambda a: F.zip_with(a, F.concat(F.slice(a, F.lit(2), F.size(a)), F.array(F.size(t))), lambda i, j: F.struct(F.get(t, i).alias("term"), (j - i).cast("long").alias("tf"), F.size(t).alias("dl")))), F.lit(0))
+        row = lambda i, j: F.struct(F.get(t, i).alias("term"), (j - i).cast("long").alias("tf"), F.size(t).alias("dl"), *([(i == 0).alias("first")] if mark else []))
+        return F.get(F.transform(F.array(at), lambda a: F.zip_with(a, F.concat(F.slice(a, F.lit(2), F.size(a)), F.array(F.size(t))), row)), F.lit(0))
 
     counted = F.get(F.transform(F.array(F.sort_array(fx.search_tokens(F.col(text)))), runs), F.lit(0))
     return chunks.select(key, F.inline(counted))

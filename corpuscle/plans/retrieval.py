@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from corpuscle.functions import text as fx
 from corpuscle.operators import retrieval as op
-from corpuscle.operators import storage as st
 from corpuscle.operators import text as tx
 from corpuscle.plans.text import POSTINGS
-from corpuscle.sources.tables import table
+from corpuscle.sources.tables import spread, table
 
 
 def _queries(s, d):
@@ -17,8 +16,7 @@ def _queries(s, d):
 
 
 def _postings(s, d):
-    """Written once: statistics and scoring read it several times, each the columns it needs."""
-    return st.cut_lineage(tx.postings(table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id"))
+    return tx.postings(spread(table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")), "id", mark=True)
 
 
 def _vectors(s, d):
