@@ -159,9 +159,11 @@ class KeyFilter:
         self.shared.unpersist()
 
 
-def key_filter(keys: DataFrame, probes: int = KeyFilter.PROBES) -> KeyFilter:
+def key_filter(keys: DataFrame, probes: int = KeyFilter.PROBES, at_once: bool = False) -> KeyFilter:
     """Filter over the one long column of ``keys``, a written table (it is read twice: counted and set).
 
+    at_once: fetch the parts, 64 MB at most, in one job instead of one for each partition.
+
     The bits are set on the executors, part by part, so the driver gets a few binary rows of 64 MB in all at most.
     Beyond 2**29 / 16 keys the filter is ``full`` and lets more through; all its users check exactly behind it.
     """
@@ -179,6 +181,7 @@ def key_filter(keys: DataFrame, probes: int = KeyFilter.PROBES) -> KeyFilter:
     places = F.array(*((low + k * high).bitwiseAND(mask) for k in range(probes)))
     at = keys.select(F.explode(places).alias("at")).distinct().withColumn("p", F.shiftright("at", part))
     whole = np.zeros(1 << (bits - 3), dtype=np.uint8)
-    for p, raw in at.groupBy("p").applyInPandas(fill, "p long, raw binary").toLocalIterator():
+    parts = at.groupBy("p").applyInPandas(fill, "p long, raw binary")
+    for p, raw in parts.collect() if at_once else parts.toLocalIterator():
         whole[p << (part - 3) : (p + 1) << (part - 3)] = np.frombuffer(raw, dtype=np.uint8)
     return KeyFilter(bits, spark.sparkContext.broadcast(whole), need > bits, probes)

@@ -361,20 +361,22 @@ def search(docs: DataFrame, items: DataFrame, k: int = K, key: str = "doc_id", i
     """item, rank, doc, score: the k best documents of each item."""
     spark = docs.sparkSession
     terms = materialise(item_terms(items, item_key))
-    wanted = key_filter(materialise(terms.select("term").distinct()))
+    wanted = key_filter(terms.select("term"), at_once=True)
     vectors = materialise(term_vectors(docs, wanted, key).withColumn("row", F.monotonically_increasing_id()))
     n_docs, n_terms = vectors.where("n > 0").agg(F.count("*"), F.sum("n")).first()
     empty = spark.createDataFrame([], "item long, rank int, doc long, score long")
     if not n_docs:
         return empty
     df = vectors.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    asked = materialise(weighed_items(terms, df, n_docs).withColumn("block", F.floor(F.monotonically_increasing_id() % (1 << 33) / ITEM_BLOCK)).withColumn("task", F.spark_partition_id()))
+    asked = materialise(weighed_items(terms, df, n_docs))
+    n_blocks = -(-asked.count() // ITEM_BLOCK)
     index = materialise(build_index(vectors, n_docs, n_terms))
     wanted.release()
     out = empty
-    for task, block in sorted(asked.select("task", "block").distinct().collect()):
-        rows = asked.where((F.col("task") == task) & (F.col("block") == block)).select("item", "terms", "weights").collect()  # ITEM_BLOCK at most
-        out = out.unionByName(_search_block(index, rows, k))
+    for block in range(n_blocks):
+        rows = asked.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == block).collect()  # about ITEM_BLOCK items
+        if rows:
+            out = out.unionByName(_search_block(index, rows, k))
     return out
 
 
