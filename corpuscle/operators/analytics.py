@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpuscle.operators.linediff import diff_lines
+
 #: Lower-cased overlap tokens: a CJK character or a word of letters and digits.
 OVERLAP_TOKEN = r"[一-鿿]|[a-z0-9]+"
 
@@ -130,24 +131,19 @@ def neighbors(edges: DataFrame) -> DataFrame:
 def version_diff(rows: DataFrame) -> DataFrame:
     """document_id, version_no, line_no, kind (context, added, removed), line of each version against the one before.
 
-    rows: document_id, version_no, content. The pair is built by a lag; the line diff itself is a Python job for each pair.
+    rows: document_id, version_no, content; null content is a version without lines. The pair is built by a lag; the line diff itself is
+    near-linear work on each pair, see ``linediff``.
     """
-    before = F.lag("content").over(Window.partitionBy("document_id").orderBy("version_no"))
-    pairs = rows.withColumn("before", before).where("before is not null")
+    order = Window.partitionBy("document_id").orderBy("version_no")
+    pairs = rows.select("document_id", "version_no", F.lag("content").over(order).alias("before"), "content", F.row_number().over(order).alias("_n")).where("_n > 1").drop("_n")
     kind = rows.schema["document_id"].dataType.simpleString()
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            out = []
             for doc, no, old, new in zip(pdf["document_id"], pdf["version_no"], pdf["before"], pdf["content"], strict=True):
-                a, b = old.splitlines(), new.splitlines()
-                lines = []
-                for op, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-                    if op == "equal":
-                        lines += [("context", x) for x in a[i1:i2]]
-                    else:
-                        lines += [("removed", x) for x in a[i1:i2]] + [("added", x) for x in b[j1:j2]]
-                out += [(doc, no, n, k, x) for n, (k, x) in enumerate(lines)]
-            yield pd.DataFrame(out, columns=["document_id", "version_no", "line_no", "kind", "line"])
-
-    return pairs.select("document_id", "version_no", "before", "content").mapInPandas(run, f"document_id {kind}, version_no int, line_no int, kind string, line string")
+                lines = diff_lines(old, new)
+                for at in range(0, len(lines), 10_000):
+                    part = lines[at : at + 10_000]
+                    yield pd.DataFrame({"document_id": doc, "version_no": no, "line_no": range(at, at + len(part)), "kind": [k for k, _ in part], "line": [x for _, x in part]})
+
+    return pairs.mapInPandas(run, f"document_id {kind}, version_no int, line_no int, kind string, line string")

@@ -68,37 +68,37 @@ def as_markdown(docs: DataFrame) -> DataFrame:
 _LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
 
+_HEADING = re.compile(r"(#{1,6})\s+(.+?)\s*$")
+
+
+def split_sections(markdown: str | None) -> list[tuple[list[str], str]]:
+    """(heading path, Markdown) of the sections of a text, in one scan over its lines; null has none."""
+    out, path, start, fence = [], [], 0, False
+    lines, own = (markdown or "").splitlines(), []
+    for i, line in enumerate(lines):
+        if line.startswith(("```", "~~~")):
+            fence = not fence
+        elif not fence and line.startswith("#") and (m := _HEADING.match(line)):
+            out.append((own, lines[start:i]))
+            path = [*path[: len(m[1]) - 1], m[2].strip().rstrip("#").strip()]
+            own, start = path, i
+    out.append((own, lines[start:]))
+    return [(p, text) for p, part in out if (text := "\n".join(part).strip())]
+
+
 def sections(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, section_no, heading_path, markdown: split at ATX headings outside fences.
+    """key, section_no, heading_path, markdown: split at ATX headings outside fences, in Arrow batches.
 
-    Per text, by array functions: fence state and heading path are folded over its lines, so no shuffle is needed.
-    Skipped levels stay as written, blank sections are dropped, text before the first heading has an empty path.
+    Skipped levels stay as written, blank sections are dropped, text before the first heading has an empty path; null text has no sections.
     """
-    heading = r"^(#{1,6})\s+(.+?)\s*$"
-    state = F.struct(
-        F.lit(False).alias("fence"),
-        F.array().cast("array<string>").alias("path"),
-        F.array().cast("array<string>").alias("lines"),
-        F.array().cast("array<struct<heading_path:array<string>,markdown:string>>").alias("done"),
-    )
-    flush = lambda a: F.concat(a["done"], F.array(F.struct(a["path"].alias("heading_path"), F.array_join(a["lines"], "\n").alias("markdown"))))
-
-    def step(a: Column, line: Column) -> Column:
-        fence = F.when(line.startswith("```") | line.startswith("~~~"), ~a["fence"]).otherwise(a["fence"])
-        is_heading = ~fence & line.rlike(heading)
-        level = F.length(F.regexp_extract(line, heading, 1))
-        title = F.trim(F.regexp_replace(F.trim(F.regexp_extract(line, heading, 2)), "#+$", ""))
-        return F.struct(
-            fence.alias("fence"),
-            F.when(is_heading, F.concat(F.slice(a["path"], 1, F.greatest(level - 1, F.lit(0))), F.array(title))).otherwise(a["path"]).alias("path"),
-            F.when(is_heading, F.array(line)).otherwise(F.concat(a["lines"], F.array(line))).alias("lines"),
-            F.when(is_heading, flush(a)).otherwise(a["done"]).alias("done"),
-        )
-
-    found = F.aggregate(F.split("markdown", _LINE_END), state, step, flush)
-    strip = lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")
-    kept = F.filter(F.transform(found, lambda s: F.struct(s["heading_path"], strip(s["markdown"]).alias("markdown"))), lambda s: s["markdown"] != "")
-    return docs.select(key, F.posexplode(kept).alias("section_no", "s")).select(key, "section_no", "s.heading_path", "s.markdown")
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            out = [(k, i, p, m) for k, text in zip(pdf[key], pdf["markdown"], strict=True) for i, (p, m) in enumerate(split_sections(text))]
+            yield pd.DataFrame(out, columns=[key, "section_no", "heading_path", "markdown"])
+
+    return docs.select(key, "markdown").mapInPandas(run, f"{key} {kind}, section_no int, heading_path array<string>, markdown string")
 
 
 _UNIT = re.compile(r"[一-鿿]|[A-Za-z0-9_]+|[^\s\w]")
@@ -156,9 +156,9 @@ def _oversized(text: str, most: int, overlap: int) -> list[str]:
     return [" ".join(tokens[i * (most - overlap) : i * (most - overlap) + most]) for i in range(last + 1)] if tokens else []
 
 
-def pack(text: str, most: int = MAX_TOKENS, overlap: int = OVERLAP) -> list[str]:
-    """Chunks of one section: whole if it fits, else its units packed greedily with a tail overlap."""
-    text = text.strip()
+def pack(text: str | None, most: int = MAX_TOKENS, overlap: int = OVERLAP) -> list[str]:
+    """Chunks of one section: whole if it fits, else its units packed greedily with a tail overlap; null has none."""
+    text = (text or "").strip()
     if not text or _size(text) <= most:
         return [text] if text else []
     units = _units(text)
@@ -183,21 +183,42 @@ def pack(text: str, most: int = MAX_TOKENS, overlap: int = OVERLAP) -> list[str]
     return [*out, "\n\n".join(held)] if held else out
 
 
+def _chunks(parts: list[tuple[list[str], str]], most: int, overlap: int) -> list[tuple[str, str, int]]:
+    return [(" > ".join(p), t, _size(t)) for p, m in parts for t in pack(m, most, overlap) if t.strip()]
+
+
 def chunk(rows: DataFrame, most: int = MAX_TOKENS, overlap: int = OVERLAP, key: str = "doc_id") -> DataFrame:
-    """key, chunk_index, section_path, text, token_count. Packing is greedy inside a section only, so sections are
-    packed where they stand, in Arrow batches; numbering a document's chunks is the only shuffle."""
+    """key, chunk_index, section_path, text, token_count of sections (key, section_no, heading_path, markdown) from anywhere.
+
+    Packing is greedy inside a section only, so sections are packed where they stand; numbering a document's chunks is the only
+    shuffle. ``chunk_documents`` numbers them without one.
+    """
     kind = rows.schema[key].dataType.simpleString()
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            out = [(k, s, i, " > ".join(p), t, _size(t)) for k, s, p, m in zip(pdf[key], pdf["section_no"], pdf["heading_path"], pdf["markdown"], strict=True) for i, t in enumerate(pack(m, most, overlap)) if t.strip()]
+            out = [(k, s, i, *c) for k, s, p, m in zip(pdf[key], pdf["section_no"], pdf["heading_path"], pdf["markdown"], strict=True) for i, c in enumerate(_chunks([(p, m)], most, overlap))]
             yield pd.DataFrame(out, columns=[key, "section_no", "part", "section_path", "text", "token_count"])
 
-    parts = rows.select(key, "section_no", "heading_path", "markdown").mapInPandas(run, f"{key} {kind}, section_no int, part int, section_path string, text string, token_count long")
+    parts = rows.select(key, "section_no", F.coalesce("heading_path", F.array().cast("array<string>")).alias("heading_path"), "markdown").mapInPandas(run, f"{key} {kind}, section_no int, part int, section_path string, text string, token_count long")
     order = Window.partitionBy(key).orderBy("section_no", "part")
     return parts.select(key, (F.row_number().over(order) - 1).alias("chunk_index"), "section_path", "text", "token_count")
 
 
+def chunk_documents(docs: DataFrame, most: int = MAX_TOKENS, overlap: int = OVERLAP, key: str = "doc_id") -> DataFrame:
+    """key, chunk_index, section_path, text, token_count of documents (key, markdown): split, packed and numbered where they stand, without a shuffle."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for at in range(0, len(pdf), 256):
+                part = pdf.iloc[at : at + 256]
+                out = [(k, i, *c) for k, text in zip(part[key], part["markdown"], strict=True) for i, c in enumerate(_chunks(split_sections(text), most, overlap))]
+                yield pd.DataFrame(out, columns=[key, "chunk_index", "section_path", "text", "token_count"])
+
+    return docs.select(key, "markdown").mapInPandas(run, f"{key} {kind}, chunk_index int, section_path string, text string, token_count long")
+
+
 def whole_sections(docs: DataFrame) -> DataFrame:
     """Documents without headings as one section each; the source is the title."""
     return docs.select("doc_id", F.col("source").alias("title"), F.lit(0).alias("section_no"), F.array().cast("array<string>").alias("heading_path"), F.col("text").alias("markdown"))

@@ -10,14 +10,7 @@ from pyspark.sql.window import Window
 from corpuscle.functions import text as tx
 from corpuscle.functions import urls as ux
 from corpuscle.operators.storage import cut_lineage
-
-
-def extract_links(pages: DataFrame) -> DataFrame:
-    """page_id, link_no, link: anchors resolved against the page and made canonical; what can't be is dropped."""
-    hrefs = F.regexp_extract_all("html", F.lit(r"""<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""), F.lit(1))
-    rows = pages.select("page_id", "url", F.posexplode(hrefs).alias("link_no", "href"))
-    href = F.replace(F.trim("href"), F.lit("&amp;"), F.lit("&"))
-    return rows.select("page_id", "link_no", ux.canonical_url(ux.resolve(href, F.col("url"))).alias("link")).where("link is not null")
+from corpuscle.sources.formats import extract_links
 
 
 def dedupe_pages(pages: DataFrame) -> DataFrame:

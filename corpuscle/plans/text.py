@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from corpuscle.functions import text as fx
 from corpuscle.operators import text as op
-from corpuscle.sources.tables import table
+from corpuscle.sources.tables import spread, table
 
 _CJK = r"[\x{4e00}-\x{9fff}]"
 _SEARCH = _CJK + r"|[A-Za-z_][A-Za-z0-9_]*|\p{Nd}+"
@@ -22,14 +22,14 @@ CASE WHEN length(s) <= 60 AND ends_with(s, '.') THEN CASE WHEN i % 2 = 1 THEN '#
 
 
 def _docs(spark, d, *cols):
-    return table(spark, d, "documents").select(*cols)
+    return spread(table(spark, d, "documents").select(*cols))
 
 
 QUERIES = {
     "t1_postings": lambda s, d: op.postings(_docs(s, d, "doc_id", "text"), "doc_id"),
     "t2_token_counts": lambda s, d: op.token_counts(_docs(s, d, "doc_id", "text")),
     "t3_sections": lambda s, d: op.sections(op.as_markdown(_docs(s, d, "doc_id", "text", "source"))),
-    "t4_chunks": lambda s, d: op.chunk(op.sections(op.as_markdown(_docs(s, d, "doc_id", "text", "source")))),
+    "t4_chunks": lambda s, d: op.chunk_documents(op.as_markdown(_docs(s, d, "doc_id", "text", "source"))),
     "t5_token_windows": lambda s, d: op.token_windows(_docs(s, d, "doc_id", "text"), "doc_id"),
     "t6_overview_chunks": lambda s, d: op.overview_chunks(op.whole_sections(_docs(s, d, "doc_id", "text", "source"))),
     "t7_sentences": lambda s, d: op.sentences(_docs(s, d, "doc_id", "text"), "doc_id"),
@@ -71,6 +71,14 @@ k AS (SELECT *, row_number() OVER (PARTITION BY request_id, lower(query) ORDER B
 o AS (SELECT request_id, query, row_number() OVER (PARTITION BY request_id ORDER BY variant_no) AS n FROM k WHERE r = 1)
 SELECT request_id, n::INTEGER AS position, query FROM o WHERE n <= 3""",
 }
+ORACLES["t3_sections"] = f"""WITH RECURSIVE {MARKDOWN}, l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split_regex(markdown, '\\r\\n|{_LINES}') AS ls FROM md WHERE markdown IS NOT NULL)),
+f AS (SELECT *, sum(CASE WHEN starts_with(line, '```') OR starts_with(line, '~~~') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) % 2 AS fence FROM l),
+h AS (SELECT *, fence = 0 AND regexp_matches(line, '^#{{1,6}}\\s+.+') AND regexp_matches(line, '^#{{1,6}}\\s+\\S') AS is_h FROM f),
+s AS (SELECT *, sum(is_h::INTEGER) OVER (PARTITION BY doc_id ORDER BY i) AS sec FROM h),
+t AS (SELECT doc_id, sec, length(regexp_extract(line, '^(#+)', 1)) AS level, trim(rtrim(trim(regexp_extract(line, '^#+\\s+(.+?)\\s*$', 1)), '#')) AS title FROM s WHERE is_h),
+p(doc_id, sec, path) AS (SELECT DISTINCT doc_id, 0::HUGEINT, []::VARCHAR[] FROM l UNION ALL SELECT t.doc_id, t.sec, list_append(p.path[1:t.level - 1], t.title) FROM p JOIN t ON t.doc_id = p.doc_id AND t.sec = p.sec + 1),
+m AS (SELECT doc_id, sec, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^\\s+|\\s+$', '', 'g') AS markdown FROM s GROUP BY 1, 2)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY sec) - 1)::INTEGER AS section_no, path AS heading_path, markdown FROM m JOIN p USING (doc_id, sec) WHERE markdown <> ''"""
 ORACLES["t8_chunk_ids"] = f"""WITH w AS ({ORACLES["t5_token_windows"]}),
 h AS (SELECT *, sha1(unhex('{op.NAMESPACE_URL}') || encode(concat_ws(':', doc_id, 'sync', window_no, sha256(text)))) AS h FROM w)
 SELECT doc_id AS document_id, window_no AS chunk_index, token_count, concat_ws('-', h[1:8], h[9:12], '5' || h[14:16], substr('89ab', ((instr('0123456789abcdef', h[17:17]) - 1) & 3)::INTEGER + 1, 1) || h[18:20], h[21:32]) AS chunk_id FROM h"""

@@ -8,13 +8,13 @@ from corpuscle.functions import urls as ux
 from corpuscle.operators import text as tx
 from corpuscle.operators import web as op
 from corpuscle.plans import text as tp
-from corpuscle.sources.tables import table
+from corpuscle.sources.tables import spread, table
 
 AGENT = "corpusbot"
 
 
 def _pages(s, d, *cols):
-    return table(s, d, "pages").select(*(cols or ("page_id", "url", "html")))
+    return spread(table(s, d, "pages").select(*(cols or ("page_id", "url", "html"))))
 
 
 def _canonical(s, d):

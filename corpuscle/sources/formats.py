@@ -6,24 +6,66 @@ Arrow job; what can't be parsed is a row with a reason, not an error.
 
 from __future__ import annotations
 
-import html
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.functions import urls as ux
 
 Parser = Callable[[bytes], tuple[str | None, str]]
-FORMATS: dict[str, Parser] = {}
 
 
-def register_format(media_type: str, parser: Parser) -> None:
-    FORMATS[media_type] = parser
+@dataclass(frozen=True)
+class Format:
+    """A document format. ``validate`` looks at the bytes before they are parsed and gives a reason against them, or None."""
+
+    name: str
+    media_type: str
+    extensions: tuple[str, ...]
+    parse: Parser
+    content_types: tuple[str, ...] = ()
+    magic: bytes | None = None
+    validate: Callable[[bytes], str | None] | None = None
+    builtin: bool = False
+
+    def refusal(self, raw: bytes) -> str | None:
+        if self.magic is not None and not raw.startswith(self.magic):
+            return f"not {self.name}"
+        return self.validate(raw) if self.validate is not None else None
+
+
+FORMATS: dict[str, Format] = {}
+
+
+def register_format(media_type: str, parser: Parser, name: str = "", extensions: tuple[str, ...] = (), **more) -> Format:
+    """Add a format, or put another in place of one that isn't built in. An extension or content type belongs to one format."""
+    entry = Format(name or media_type, media_type, tuple(x.lower().lstrip(".") for x in extensions), parser, **more)
+    if media_type in FORMATS and FORMATS[media_type].builtin:
+        raise ValueError(f"{media_type} is built in")
+    taken = {x for f in FORMATS.values() if f.media_type != media_type for x in (*f.extensions, f.media_type, *f.content_types)}
+    if clash := taken.intersection((*entry.extensions, media_type, *entry.content_types)):
+        raise ValueError(f"{', '.join(sorted(clash))} belongs to another format")
+    FORMATS[media_type] = entry
+    return entry
+
+
+def media_type_of(media_type: Column, path: Column) -> Column:
+    """The media type of a registered format: by the declared type without its parameters, else, where none is declared, by the extension."""
+    declared = F.lower(F.trim(F.regexp_replace(media_type, ";.*$", "")))
+    extension = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    named = F.when(declared == "", None)
+    for f in FORMATS.values():
+        named = named.when(declared.isin(f.media_type, *f.content_types), f.media_type)
+    ended = F.when(F.lit(False), None)
+    for f in FORMATS.values():
+        ended = ended.when(extension.isin(*f.extensions), f.media_type) if f.extensions else ended
+    return F.when(F.coalesce(declared, F.lit("")) != "", named).otherwise(ended)
 
 
 def parse_markdown(raw: bytes) -> tuple[str | None, str]:
@@ -43,8 +85,11 @@ _DROPPED = frozenset(("script", "style", "nav", "footer", "aside", "template"))
 _INVISIBLE = frozenset(("display:none", "visibility:hidden"))
 _NOISE_TAGS = frozenset(("form", "iframe", "noscript", "svg", "canvas", "button"))
 _NOISE_ROLES = frozenset(("navigation", "banner", "complementary", "contentinfo", "search", "menu", "menubar", "dialog", "alert"))
-_NOISE_WORDS = "nav navigation menu sidebar footer comment comments share social related recommend breadcrumb pagination toolbar advert ad ads promo cookie subscribe newsletter login signup banner"
-_MAIN_WORDS = "article content post entry main story markdown rich_text richtext"
+# Names of elements that aren't, or are, the article.
+_IS_NOISE = re.compile(
+    r"(?:^|[-_ ])(?:nav(?:igation)?|menu|sidebar|footer|comment|comments|share|social|related|recommend|breadcrumb|pagination|toolbar|advert|ads?|promo|cookie|subscribe|newsletter|login|signup|banner)(?:$|[-_ ])", re.IGNORECASE
+)
+_IS_MAIN = re.compile(r"article|content|post|entry|main|story|markdown|rich_?text", re.IGNORECASE)
 # How containers are rated.
 _CONTAINERS, _INNER = frozenset(("article", "main", "div", "section", "td")), frozenset(("article", "main", "div", "section"))
 _LEAST_TEXT, _OF_PARENT, _OF_PAGE = 200, 0.8, 0.15
@@ -52,8 +97,6 @@ _MAIN_NAME, _MAIN_TAG, _NOISE_NAME = 1.4, 1.5, 0.25
 
 _VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
 _BLOCK = frozenset(("p", "div", "li", "tr", "br", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "section", "article", "table", "ul", "ol", "td", "th", "dt", "dd", "main"))
-_IS_NOISE = re.compile(rf"(?i)(?<![^-_ ])(?:{'|'.join(_NOISE_WORDS.split())})(?![^-_ ])")
-_IS_MAIN = re.compile(rf"(?i){'|'.join(_MAIN_WORDS.split())}")
 
 
 class _Node:
@@ -172,51 +215,65 @@ def parse_html(raw: bytes) -> tuple[str | None, str]:
     return title.text(lambda n: False).replace("\n", " ") if title else None, text
 
 
-register_format("text/markdown", parse_markdown)
-register_format("text/html", parse_html)
+def _utf8(raw: bytes) -> None:
+    raw.decode("utf-8")  # what can't be decoded is a reject of its own
+
+
+register_format("text/markdown", parse_markdown, "markdown", ("md", "markdown"), content_types=("text/x-markdown", "text/plain"), validate=_utf8, builtin=True)
+register_format("text/html", parse_html, "html", ("html", "htm"), content_types=("application/xhtml+xml",), validate=_utf8, builtin=True)
 
+_PARSED = "path string, title string, text string, reject string"
+
+
+def _job(form: Format):
+    def one(raw: bytes | None) -> tuple[str | None, str | None, str | None]:
+        if raw is None:
+            return None, None, "no content"
+        try:
+            raw = bytes(raw)
+            if reason := form.refusal(raw):
+                return None, None, f"invalid: {reason}"[:200]
+            return *form.parse(raw), None
+        except UnicodeDecodeError:
+            return None, None, "undecodable"
+        except ValueError as e:
+            return None, None, f"invalid: {e}"[:200]
 
-def _job(parser: Parser):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            out = []
-            for path, raw in zip(pdf["path"], pdf["content"], strict=True):
-                try:
-                    title, text = parser(bytes(raw))
-                    out.append((path, title, text, None))
-                except UnicodeDecodeError:
-                    out.append((path, None, None, "undecodable"))
-                except ValueError as e:
-                    out.append((path, None, None, f"invalid: {e}"[:200]))
+            out = [(path, *one(raw)) for path, raw in zip(pdf["path"], pdf["content"], strict=True)]
             yield pd.DataFrame(out, columns=["path", "title", "text", "reject"])
 
     return run
 
 
 def parse_files(files: DataFrame) -> DataFrame:
-    """path, title, text, reject of files (path, media_type, content); an unknown media type is a reject."""
-    out = files.where(~F.col("media_type").isin(*FORMATS) | F.col("media_type").isNull()).select("path", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("text"), F.lit("unsupported").alias("reject"))
-    for media_type, parser in FORMATS.items():
-        part = files.where(F.col("media_type") == media_type).select("path", "content")
-        out = out.unionByName(part.mapInPandas(_job(parser), "path string, title string, text string, reject string"))
+    """path, title, text, reject of files (path, media_type, content).
+
+    The format goes by the media type or, without one, by the extension. Rejects: unsupported (no format), no content (null), undecodable,
+    invalid with the parser's or the format's reason.
+    """
+    null = F.lit(None).cast("string")
+    files = files.withColumn("_type", media_type_of(F.col("media_type"), F.col("path")))
+    out = files.where("_type is null").select("path", null.alias("title"), null.alias("text"), F.lit("unsupported").alias("reject"))
+    for media_type, form in FORMATS.items():
+        out = out.unionByName(files.where(F.col("_type") == media_type).select("path", "content").mapInPandas(_job(form), _PARSED))
     return out
 
 
 def read_markdown(files: DataFrame) -> DataFrame:
-    """binaryFile rows (path, content) as Markdown documents; the file name stands in for a missing title."""
-    got = files.select("path", "content").mapInPandas(_job(parse_markdown), "path string, title string, text string, reject string")
+    """binaryFile rows (path, content) as Markdown documents; the file name stands in for a missing title, null content is a reject."""
+    got = files.select("path", "content").mapInPandas(_job(FORMATS["text/markdown"]), _PARSED)
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
     return got.withColumn("title", F.coalesce("title", F.when(F.col("reject").isNull(), name)))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """page_id, title, text of pages (page_id, html)."""
-    rows = pages.select(F.col("page_id").cast("string").alias("path"), F.encode("html", "UTF-8").alias("content"))
-    return rows.mapInPandas(_job(parse_html), "path string, title string, text string, reject string").select(F.col("path").cast("long").alias("page_id"), "title", "text")
+    """page_id, title, text of pages (page_id, html); null html is an empty page."""
+    rows = pages.select(F.col("page_id").cast("string").alias("path"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content"))
+    return rows.mapInPandas(_job(Format("page", "text/html", (), parse_html)), _PARSED).select(F.col("path").cast("long").alias("page_id"), "title", "text")
 
 
-_IMG = re.compile(r"<img\b([^>]*)>", re.IGNORECASE)
-_ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 # Parts of a path that mark decoration, and attributes that lazy pages use.
 DECORATIVE = ("/icon", "sprite", "logo", "/static/", "favicon", "avatar", "badge")
 LAZY = ("data-src", "data-original", "data-lazy-src", "src")
@@ -239,23 +296,57 @@ def _largest(srcset: str) -> str | None:
     return best[1] if best else None
 
 
-def _images(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in it:
-        out = []
-        for page, url, text in zip(pdf["page_id"], pdf["url"], pdf["html"], strict=True):
-            for n, m in enumerate(_IMG.finditer(text or "")):
-                a = {k.lower(): html.unescape(x or y or z) for k, x, y, z in _ATTR.findall(m[1])}
-                src = _largest(a.get("srcset", "")) or next((a[k] for k in LAZY if a.get(k) and not a[k].startswith("data:")), None)
-                if src:
-                    width = re.match(r"\d+", a.get("width", ""))
-                    out.append((page, url, n, src, int(width[0]) if width else None))
-        yield pd.DataFrame(out, columns=["page_id", "base", "n", "src", "width"]).astype({"width": "Int64"})
+class _References(HTMLParser):
+    """The links and images of a page in one pass; what stands in comments, scripts and styles isn't markup, and attributes are unescaped."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.found: list[tuple[str, str, int | None]] = []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in ("a", "img"):
+            return
+        a: dict[str, str] = {}
+        for k, v in attrs:
+            a.setdefault(k, v or "")
+        if tag == "a":
+            if "href" in a:
+                self.found.append(("link", a["href"], None))
+            return
+        src = _largest(a.get("srcset", "")) or next((a[k] for k in LAZY if a.get(k) and not a[k].startswith("data:")), None)
+        if src:
+            width = re.match(r"\d+", a.get("width", ""))
+            self.found.append(("image", src, int(width[0]) if width else None))
+
+
+def references(pages: DataFrame) -> DataFrame:
+    """page_id, base, kind (link or image), n, value, width: what each page (page_id, url, html) refers to, n from 0 by kind; null html refers to nothing."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            out = []
+            for page, url, text in zip(pdf["page_id"], pdf["url"], pdf["html"], strict=True):
+                parser, n = _References(), Counter[str]()
+                parser.feed(text or "")
+                parser.close()
+                for kind, value, width in parser.found:
+                    out.append((page, url, kind, n[kind], value, width))
+                    n[kind] += 1
+            yield pd.DataFrame(out, columns=["page_id", "base", "kind", "n", "value", "width"]).astype({"width": "Int64"})
+
+    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, base string, kind string, n int, value string, width int")
+
+
+def extract_links(pages: DataFrame) -> DataFrame:
+    """page_id, link_no, link: anchors resolved against the page and made canonical; what can't be is dropped."""
+    rows = references(pages).where("kind = 'link'")
+    return rows.select("page_id", F.col("n").alias("link_no"), ux.canonical_url(ux.resolve(F.trim(F.regexp_replace("value", r"[\t\r\n]", "")), F.col("base"))).alias("link")).where("link is not null")
 
 
 def extract_images(pages: DataFrame) -> DataFrame:
     """page_id, image, references, rejected (reason or null): distinct absolute image URLs of each page."""
-    rows = pages.select("page_id", "url", "html").mapInPandas(_images, "page_id long, base string, n int, src string, width int")
-    refs = rows.select("page_id", "n", "width", F.regexp_replace(ux.resolve(F.col("src"), F.col("base")), "#.*$", "").alias("image")).where("image is not null")
+    rows = references(pages).where("kind = 'image'")
+    refs = rows.select("page_id", "n", "width", F.regexp_replace(ux.resolve(F.col("value"), F.col("base")), "#.*$", "").alias("image")).where("image is not null")
     one = refs.groupBy("page_id", "image").agg(F.count("*").alias("references"), F.max("width").alias("width"), F.min("n").alias("n"))
     path = F.lower(F.regexp_extract("image", r"^https?://[^/?#]*([^?#]*)", 1))
     host = F.lower(F.regexp_extract("image", r"^https?://([^/?#:]*)", 1))
