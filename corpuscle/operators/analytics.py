@@ -45,20 +45,34 @@ def assign_by_overlap(figures: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 def merge_novel(texts: DataFrame, least: float = 0.4) -> DataFrame:
-    """document_id, text, kept: texts in order, each appended if enough of its token set is new; the seen set grows.
+    """document_id, text, kept: texts in order (position, text), each appended if enough of its token set is new; the seen set grows.
 
-    An ordered fold over a document's array of texts.
+    A fold over the sorted rows of a document as they stream by: what is held is its seen tokens and the result. A text
+    without tokens, such as null, is never appended.
     """
-    rows = texts.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("position", "text", token_set(F.col("text")).alias("t")))).alias("xs"))
-    state = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<string>").alias("out"))
+    kind = texts.schema["document_id"].dataType.simpleString()
 
-    def step(a: Column, x: Column) -> Column:
-        new = F.array_except(x["t"], a["seen"])
-        take = (F.size(x["t"]) > 0) & (F.size(new) / F.size(x["t"]) >= least)
-        return F.struct(F.when(take, F.concat(a["seen"], new)).otherwise(a["seen"]).alias("seen"), F.when(take, F.concat(a["out"], F.array(x["text"]))).otherwise(a["out"]).alias("out"))
-
-    folded = rows.select("document_id", F.aggregate("xs", state, step, lambda a: a["out"]).alias("out"))
-    return folded.select("document_id", F.array_join("out", "\n\n").alias("text"), F.size("out").alias("kept"))
+    def fold(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, seen, kept = None, set(), []
+        row = lambda: pd.DataFrame({"document_id": [at], "text": ["\n\n".join(kept)], "kept": [len(kept)]})
+        begun = False
+        for pdf in it:
+            for doc, text, tokens in zip(pdf["document_id"], pdf["text"], pdf["t"], strict=True):
+                doc = None if pd.isna(doc) else doc
+                if not begun or doc != at:
+                    if begun:
+                        yield row()
+                    at, seen, kept, begun = doc, set(), [], True
+                new = [t for t in tokens if t not in seen]
+                if len(tokens) and len(new) / len(tokens) >= least:
+                    seen.update(new)
+                    kept.append(text)
+        if begun:
+            yield row()
+
+    rows = texts.select("document_id", "position", "text", token_set(F.col("text")).alias("t"))
+    dealt = rows.repartition("document_id").sortWithinPartitions("document_id", "position", "text")
+    return dealt.drop("position").mapInPandas(fold, f"document_id {kind}, text string, kept int")
 
 
 def character_errors(pairs: DataFrame) -> DataFrame:

@@ -23,13 +23,18 @@ def replay(events: DataFrame, cursors: DataFrame, terminal: list[str], reopen: l
     return n.join(cursors, "job_id", "left").where(F.col("sequence") > F.coalesce("cursor", F.lit(0))).select("job_id", "sequence", "event_id", "type")
 
 
-def backoff(attempts: DataFrame, base: float = 5.0, most: float = 300.0) -> DataFrame:
+def backoff(attempts: DataFrame, base: float = 5.0, most: float = 300.0, forget_s: int | None = None) -> DataFrame:
     """host, attempt_id, strikes, wait_s: consecutive throttles since the last success, and the wait they ask for.
 
-    A Retry-After wins; else base * 2**(strikes - 1), at most ``most``; a success resets. attempts: host, attempt_id, ts, throttled, retry_after.
+    A Retry-After wins; else base * 2**(strikes - 1), at most ``most``; a success resets, and so does a pause of ``forget_s``
+    since the host's last attempt. attempts: host, attempt_id, ts, throttled, retry_after.
     """
     order = Window.partitionBy("host").orderBy("ts", "attempt_id")
-    island = F.sum(F.when(F.col("throttled"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    new = ~F.col("throttled")
+    if forget_s is not None:
+        new = new | F.coalesce(F.col("ts") >= F.lag("ts").over(order) + F.make_dt_interval(secs=F.lit(forget_s)), F.lit(False))
+    attempts = attempts.withColumn("new", new)
+    island = F.sum(F.col("new").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
     a = attempts.withColumn("island", island)
     strikes = F.sum(F.col("throttled").cast("int")).over(Window.partitionBy("host", "island").orderBy("ts", "attempt_id").rowsBetween(Window.unboundedPreceding, 0))
     a = a.withColumn("strikes", F.when(F.col("throttled"), strikes).otherwise(0).cast("int"))

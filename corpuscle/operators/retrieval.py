@@ -162,10 +162,18 @@ def page_results(ranked: DataFrame, chunks: DataFrame, n: int) -> DataFrame:
     return out.select("query_id", "rank", "url", F.substring(F.coalesce("c.title", "url"), 1, 512).alias("title"), F.substring("c.text", 1, 10_000).alias("snippet"), F.substring("c.text", 1, 51_200).alias("content"))
 
 
-def keyset_page(df: DataFrame, keys: list[str], cursor: list | None, n: int) -> DataFrame:
-    """The page of n rows after a cursor, in key order, with next_cursor on its last row only if more rows follow."""
+def keyset_page(df: DataFrame, keys: list[str], cursor: list | None, n: int, equal: dict | None = None, scope: tuple[str, list] | None = None) -> DataFrame:
+    """The page of n rows after a cursor, in key order, with next_cursor on its last row only if more rows follow.
+
+    equal: values that columns must have (a value of None asks nothing); scope: an array column and ids of which it must hold one.
+    """
     if not 1 <= n <= 1000:
         raise ValueError("a page has from 1 to 1000 rows")
+    for column, value in (equal or {}).items():
+        df = df if value is None else df.where(F.col(column) == value)
+    if scope is not None:
+        kind = df.schema[scope[0]].dataType
+        df = df.where(F.arrays_overlap(F.col(scope[0]), F.array(*map(F.lit, scope[1])).cast(kind)))
     if cursor is not None:
         df = df.where(F.struct(*keys) > F.struct(*[F.lit(c).cast(df.schema[k].dataType).alias(k) for k, c in zip(keys, cursor, strict=True)]))
     page = df.orderBy(*keys).limit(n + 1)

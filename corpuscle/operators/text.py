@@ -255,29 +255,32 @@ def with_chunk_ids(chunks: DataFrame, stage: str = "sync") -> DataFrame:
 def segment_conversations(rows: DataFrame, messages: int = 100, chars: int = 7800) -> DataFrame:
     """conv_id, segment_no, first_turn, last_turn, text: ``role: content`` lines packed greedily up to the limits.
 
-    The fold carries state inside one conversation only; it runs over the conversation's sorted array of messages.
+    A fold over the sorted rows of a conversation as they stream by: what is held is the open segment. A message without text
+    gives its role alone.
     """
+    kind = rows.schema["conv_id"].dataType.simpleString()
     line = F.substring(F.concat_ws(": ", "role", "text"), 1, chars)
-    grouped = rows.select("conv_id", F.struct("turn", line.alias("line")).alias("m")).groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("ms"))
 
-    @F.pandas_udf("array<struct<segment_no:int,first_turn:long,last_turn:long,text:string>>")
-    def fold(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for p in parts:
+    def fold(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, no, held, used, begun = None, 0, [], 0, False
+        for pdf in it:
             out = []
-            for ms in p:
-                segs, held, used = [], [], 0
-                for m in ms:
-                    extra = len(m["line"]) + (1 if held else 0)
-                    if held and (len(held) >= messages or used + extra > chars):
-                        segs.append(held)
-                        held, used, extra = [], 0, len(m["line"])
-                    held.append(m)
-                    used += extra
-                segs += [held] if held else []
-                out.append([{"segment_no": i, "first_turn": s[0]["turn"], "last_turn": s[-1]["turn"], "text": "\n".join(m["line"] for m in s)} for i, s in enumerate(segs)])
-            yield pd.Series(out)
-
-    return grouped.select("conv_id", F.inline(fold("ms")))
+            for conv, turn, text in zip(pdf["conv_id"], pdf["turn"], pdf["line"], strict=True):
+                conv = None if pd.isna(conv) else conv
+                other = begun and conv != at
+                extra = len(text) + (1 if held else 0)
+                if held and (other or len(held) >= messages or used + extra > chars):
+                    out.append((at, no, held[0][0], held[-1][0], "\n".join(x for _, x in held)))
+                    no, held, used, extra = no + 1, [], 0, len(text)
+                at, no, begun = conv, 0 if other else no, True
+                held.append((turn, text))
+                used += extra
+            yield pd.DataFrame(out, columns=["conv_id", "segment_no", "first_turn", "last_turn", "text"])
+        if held:
+            yield pd.DataFrame([(at, no, held[0][0], held[-1][0], "\n".join(x for _, x in held))], columns=["conv_id", "segment_no", "first_turn", "last_turn", "text"])
+
+    dealt = rows.select("conv_id", "turn", line.alias("line")).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "line")
+    return dealt.mapInPandas(fold, f"conv_id {kind}, segment_no int, first_turn long, last_turn long, text string")
 
 
 def topics(docs: DataFrame, key: str = "doc_id", most: int = 20) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import col as C
 
 from corpuscle.operators import storage as st
 from corpuscle.operators import text as tx
@@ -67,18 +68,12 @@ def _sessions(s, d):
 
 
 def _backoff(s, d):
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = s.conf.get(provider)
-    s.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    a = mt._attempts(s, d)
+    a = mt._attempts(s, d).withColumn("ts", C("ts").cast("timestamp"))
     path = st.shared_folder(s)
     a.write.parquet(path)
     out, check = st.shared_folder(s), st.shared_folder(s)
-    found = jobs.stream_backoff(s.readStream.schema(a.schema).parquet(path))
-    try:
-        found.writeStream.format("parquet").option("checkpointLocation", check).trigger(availableNow=True).start(out).awaitTermination()
-    finally:
-        s.conf.set(provider, before)
+    found = jobs.stream_backoff(s.readStream.schema(a.schema).parquet(path), forget_s=2 * 86_400)
+    found.writeStream.format("parquet").option("checkpointLocation", check).trigger(availableNow=True).start(out).awaitTermination()
     return s.read.parquet(out)
 
 
@@ -145,6 +140,6 @@ ORACLES = {
     "r3_stream_chunks": wb.ORACLES["j10_chunk_merge"].replace("SELECT chunk_id, url, window_no, token_count, state FROM r", "SELECT chunk_id, url, window_no, token_count FROM r WHERE state <> 'deleted'"),
     "r2_stream_sync": f"WITH {mt._SNAP} SELECT r.i AS document_id, CASE WHEN p.i IS NULL THEN 'added' ELSE 'changed' END AS action FROM re r LEFT JOIN pr p ON p.i = r.i WHERE (r.title, r.h, r.path) IS DISTINCT FROM (p.title, p.h, p.path)",
     "r3_stream_corpus": "SELECT url, sha256 FROM (" + wb.ORACLES["j10_page_merge"] + ") WHERE action IN ('kept', 'updated', 'untouched')",
-    "r4_stream_backoff": mt.ORACLES["w4_backoff"],
+    "r4_stream_backoff": mt.ORACLES["w4_backoff_forget"],
     "r5_stream_progress": f"WITH {mt._ITEMS} SELECT batch_id, count(*) AS total, count(*) FILTER (state = 'COMPLETED') AS completed, count(*) FILTER (state = 'FAILED') AS failed, count(*) FILTER (state = 'SKIPPED') AS skipped, count(*) FILTER (state = 'CANCELLED') AS cancelled FROM it GROUP BY 1",
 }

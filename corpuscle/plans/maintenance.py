@@ -185,6 +185,7 @@ QUERIES = {
     "w2_ordinals": lambda s, d: op.append_ordinals(_items(s, d).where("item_id <= 2").select("batch_id", C("item_id").alias("ordinal")), _items(s, d).where("item_id > 2").select("batch_id", "item_id")),
     "w3_replay": _replay,
     "w4_backoff": lambda s, d: logs.backoff(_attempts(s, d)),
+    "w4_backoff_forget": lambda s, d: logs.backoff(_attempts(s, d), forget_s=2 * 86_400),
     "w5_transitions": _transitions,
     "w6_recent": lambda s, d: logs.recent_messages(table(s, d, "conversations").select("conv_id", "turn", "role"), 3),
     "j9_asof": _probes,
@@ -276,3 +277,9 @@ b AS (SELECT p, level, regexp_replace(r, '\s+', '', 'g') AS r, regexp_replace(h,
 d AS (SELECT e.level, e.cer, e.cer - x.cer AS d FROM e JOIN e x ON x.p = e.p AND x.level = 200)
 SELECT level, count(*) AS pages, round(avg(cer), 6) AS mean, round(list_sort(list(cer))[count(*) // 2 + 1], 6) AS median, count(*) FILTER (d < 0) AS better, count(*) FILTER (d > 0) AS worse, count(*) FILTER (d = 0) AS equal FROM d GROUP BY 1""",
 }
+ORACLES["w4_backoff_forget"] = ORACLES["w4_backoff"].replace("sum(CASE WHEN t THEN 0 ELSE 1 END) OVER (PARTITION BY host ORDER BY ts, attempt_id) AS isl FROM a", "sum(CASE WHEN t AND NOT coalesce(ts >= before + INTERVAL 2 DAY, false) THEN 0 ELSE 1 END) OVER (PARTITION BY host ORDER BY ts, attempt_id) AS isl FROM (SELECT *, lag(ts) OVER (PARTITION BY host ORDER BY ts, attempt_id) AS before FROM a)")
+ORACLES["j14_novel"] = f"""WITH RECURSIVE x AS (SELECT conv_id AS document_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n, text, list_distinct(regexp_extract_all(lower(coalesce(text, '')), {_OTOK})) AS t FROM conversations),
+f(document_id, n, seen, outs) AS (SELECT DISTINCT document_id, 0::BIGINT, []::VARCHAR[], []::VARCHAR[] FROM x UNION ALL
+SELECT document_id, n, CASE WHEN take THEN list_concat(seen, fresh) ELSE seen END, CASE WHEN take THEN list_append(outs, text) ELSE outs END FROM
+(SELECT f.document_id, x.n, seen, outs, x.text, list_filter(t, lambda k: NOT list_contains(seen, k)) AS fresh, len(t) > 0 AND len(list_filter(t, lambda k: NOT list_contains(seen, k))) / len(t) >= 0.4 AS take FROM f JOIN x ON x.document_id = f.document_id AND x.n = f.n + 1))
+SELECT document_id, array_to_string(outs, chr(10) || chr(10)) AS text, len(outs)::INTEGER AS kept FROM f QUALIFY n = max(n) OVER (PARTITION BY document_id)"""

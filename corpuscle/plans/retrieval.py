@@ -105,6 +105,12 @@ def _hit_rate(s, d):
     return op.hit_rate(ranks, gold)
 
 
+def _filtered_page(s, d):
+    """Line items as the items of a batch: state, selected, and a scope of suppliers and parts."""
+    li = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("state"), (F.col("l_quantity") % 2 == 0).alias("selected"), F.array(F.col("l_suppkey") % 10, F.col("l_partkey") % 10).cast("array<long>").alias("repository_ids"))
+    return op.keyset_page(li, ["l_orderkey", "l_linenumber"], [5, 0], 50, {"state": "N", "selected": True}, ("repository_ids", [3, 7])).drop("repository_ids")
+
+
 def _separability(s, d):
     scores = op.vector_topk(_asked(s, d).drop("label"), _vectors(s, d).drop("label"), 50).join(table(s, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("class")), "id")
     return op.score_separability(scores.select("query_id", "class", "score"))
@@ -127,6 +133,7 @@ QUERIES = {
     "k6_memory": _memory,
     "k7_page_results": lambda s, d: op.page_results(_bm25(s, d), _web(s, d), 5).drop("content"),
     "k8_keyset_page": lambda s, d: op.keyset_page(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity").where("l_returnflag = 'R'"), ["l_orderkey", "l_linenumber"], [20, 1], 100),
+    "k8_filtered_page": _filtered_page,
     "u1_rrf": lambda s, d: op.rrf(_semantic(s, d), _bm25(s, d)),
     "u2_fuse_or_rescue": lambda s, d: op.fuse_or_rescue(_bm25(s, d).where("query_id % 3 <> 0"), _semantic(s, d).where("query_id % 4 <> 0")),
     "u3_merge_results": lambda s, d: op.merge_results(_lists(s, d), 5),
@@ -209,3 +216,6 @@ SELECT *, NOT EXISTS (SELECT 1 FROM a b WHERE b.statistic = a.statistic AND b.cl
     "a11_freshness": """WITH p AS (SELECT embedding::DOUBLE[] AS a, list_transform(embedding, lambda x, i: x::DOUBLE + CASE WHEN i - 1 = vec_id % 64 THEN 0.01 ELSE 0.0 END) AS b FROM embeddings), c AS (SELECT list_cosine_similarity(a, b) AS c FROM p)
 SELECT count(*) AS n, round(avg(c), 6) AS mean, round(min(c), 6) AS least, min(c) >= 0.999 AS same_source FROM c""",
 }
+ORACLES["k8_filtered_page"] = """WITH r AS (SELECT l_orderkey, l_linenumber, l_returnflag AS state, true AS selected, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS r, count(*) OVER () AS n FROM lineitem
+WHERE l_returnflag = 'N' AND l_quantity % 2 = 0 AND (l_suppkey % 10 IN (3, 7) OR l_partkey % 10 IN (3, 7)) AND (l_orderkey, l_linenumber) > (5, 0))
+SELECT l_orderkey, l_linenumber, state, selected, CASE WHEN r = 50 AND n > 50 THEN concat_ws(',', l_orderkey, l_linenumber) END AS next_cursor FROM r WHERE r <= 50"""

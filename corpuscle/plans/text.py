@@ -82,3 +82,8 @@ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY sec) - 1)::INTEG
 ORACLES["t8_chunk_ids"] = f"""WITH w AS ({ORACLES["t5_token_windows"]}),
 h AS (SELECT *, sha1(unhex('{op.NAMESPACE_URL}') || encode(concat_ws(':', doc_id, 'sync', window_no, sha256(text)))) AS h FROM w)
 SELECT doc_id AS document_id, window_no AS chunk_index, token_count, concat_ws('-', h[1:8], h[9:12], '5' || h[14:16], substr('89ab', ((instr('0123456789abcdef', h[17:17]) - 1) & 3)::INTEGER + 1, 1) || h[18:20], h[21:32]) AS chunk_id FROM h"""
+ORACLES["t9_segments"] = """WITH RECURSIVE x AS (SELECT conv_id, turn, substr(concat_ws(': ', role, text), 1, 7800) AS line, row_number() OVER (PARTITION BY conv_id ORDER BY turn, line) AS n FROM conversations),
+f(conv_id, n, seg, held, used) AS (SELECT DISTINCT conv_id, 0::BIGINT, 0, 0, 0::BIGINT FROM x UNION ALL
+SELECT conv_id, n, CASE WHEN cut THEN seg + 1 ELSE seg END, CASE WHEN cut THEN 1 ELSE held + 1 END, CASE WHEN cut THEN length(line) ELSE used + length(line) + (held > 0)::INTEGER END FROM
+(SELECT f.conv_id, x.n, seg, held, used, line, held > 0 AND (held >= 100 OR used + length(line) + 1 > 7800) AS cut FROM f JOIN x ON x.conv_id = f.conv_id AND x.n = f.n + 1))
+SELECT conv_id, seg::INTEGER AS segment_no, min(turn) AS first_turn, max(turn) AS last_turn, string_agg(line, chr(10) ORDER BY n) AS text FROM f JOIN x USING (conv_id, n) GROUP BY 1, 2"""

@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -81,36 +80,35 @@ def stream_summaries(events: DataFrame, late: str = "10 minutes", gap_s: int = 1
 _FIELDS = [c.split()[0] for c in _HELD.split(", ")]
 
 
-class BackoffProcessor(StatefulProcessor):
-    """Strikes of a host: an integer of state, dropped when a success resets it, so only throttled hosts hold any."""
+def stream_backoff(attempts: DataFrame, base: float = 5.0, most: float = 300.0, forget_s: int = 7 * 86_400, late: str = "1 hour") -> DataFrame:
+    """host, attempt_id, strikes, wait_s, as ``logs.backoff``; attempts of a host arrive in order from batch to batch.
 
-    def __init__(self, base: float = 5.0, most: float = 300.0):
-        self.base, self.most = base, most
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("strikes", "strikes int")
+    State is held for throttled hosts only: a success drops it, and so does the watermark when it is ``forget_s`` past a host's last
+    attempt, as a later attempt starts anew. So hosts that never succeed don't stay either.
+    """
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        old = self.state.get()
-        strikes, out = (old[0] if old is not None else 0), []
-        for r in pd.concat(list(rows)).sort_values(["ts", "attempt_id"]).itertuples():
-            strikes = strikes + 1 if r.throttled else 0
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        strikes, last = state.get if state.exists else (0, None)
+        out = []
+        for r in pd.concat(list(parts)).sort_values(["at", "attempt_id"]).itertuples():
+            strikes = 0 if last is not None and r.at >= last + forget_s * 1_000_000 else strikes
+            strikes, last = strikes + 1 if r.throttled else 0, int(r.at)
             asked = None if pd.isna(r.retry_after) else float(r.retry_after)
-            wait = 0.0 if not r.throttled else asked if asked is not None else min(self.most, self.base * 2.0 ** min(strikes - 1, 30))
+            wait = 0.0 if not r.throttled else asked if asked is not None else min(most, base * 2.0 ** min(strikes - 1, 30))
             out.append((key[0], int(r.attempt_id), strikes, wait))
-        if strikes:
-            self.state.update((strikes,))
-        else:
-            self.state.clear()
+        end = last // 1000 + forget_s * 1000
+        if strikes and end > state.getCurrentWatermarkMs():
+            state.update((strikes, last))
+            state.setTimeoutTimestamp(end)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["host", "attempt_id", "strikes", "wait_s"])
 
-    def close(self) -> None:
-        pass
-
-
-def stream_backoff(attempts: DataFrame) -> DataFrame:
-    """host, attempt_id, strikes, wait_s; attempts of a host arrive in order from batch to batch. Needs the RocksDB state store."""
-    return attempts.groupBy("host").transformWithStateInPandas(BackoffProcessor(), "host long, attempt_id long, strikes int, wait_s double", "Append", "None")
+    rows = attempts.select("host", "attempt_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "throttled", "retry_after").withWatermark("ts", late)
+    return rows.groupBy("host").applyInPandasWithState(step, "host long, attempt_id long, strikes int, wait_s double", "strikes int, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_progress(items: DataFrame) -> DataFrame:
