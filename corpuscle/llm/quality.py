@@ -8,11 +8,11 @@ Features of a text, all read from the whole text: presence of each hashed word (
 A-Z folded), the share of each hashed word *shape* (runs of lower, upper, digit, punctuation), the
 share of words that equal the one before, and the share of distinct words. They are computed block by
 block with numpy inside the tasks. The model is fitted on at most ``sample`` labelled rows, those
-of smallest hash of doc_id, by L-BFGS on the driver; the bound fixes what the driver holds (about 2 KB
-a row) and the broadcast weights (2 MB). Scoring is one pass without a shuffle.
+of smallest hash of doc_id, and on ``sample_bytes`` of their features, by L-BFGS on the driver; the second bound fixes what the driver
+holds, however long the texts are, beside the broadcast weights (2 MB). Scoring is one pass without a shuffle.
 
 Defined results: null text is empty text and has only the constant part of the score; labels with a
-null in a rating are not used; repeated rows are scored alike; an empty table gives an empty
+null in a rating are not used; repeated rows are scored alike, and of texts with one labelled doc_id the least is fitted; an empty table gives an empty
 result; without any usable label there is no model, scores are null and every row is kept. Ties at
 the tail threshold are kept.
 """
@@ -25,12 +25,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from corpuscle.llm.common import TextBlock, blocks, mix
+from corpuscle.llm.common import TextBlock, blocks, materialise, mix
 
 BITS = 18
 #: Most labelled rows that a fit uses.
 SAMPLE = 12_000
+#: Bytes of features (6 for each) that a fit fetches, but for the last row's, which has 3 MB at most.
+SAMPLE_BYTES = 64 << 20
 #: Least P(grade = 2) of a row that is kept.
 TAIL = 0.5
 RIDGE = 0.15
@@ -151,16 +154,16 @@ def _lbfgs(f, x: np.ndarray, steps: int = 60, keep: int = 8) -> np.ndarray:
     return x
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray | None:
-    """Weights and thresholds from at most ``sample`` labelled rows; None without any.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> np.ndarray | None:
+    """Weights and thresholds from at most ``sample`` labelled rows with about ``sample_bytes`` of features; None without any.
 
     The labelled rows of smallest hash are chosen by a top-k (no sort of all labels), so the broadcast
-    join that fetches their texts has a proven bound.
+    join that fetches their texts has a proven bound. Their features are written, and fetched in the order of the hash up to the bound.
     """
     graded = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
     grade = F.when(F.col("toxic") > 0, 0).when(F.col("quality") > 0, 2).otherwise(1)
     chosen = graded.select("doc_id", grade.alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
 
     def featurize(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -168,7 +171,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray
             cut = lambda a: [a[off[i] : off[i + 1]].tobytes() for i in range(len(pdf))]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "grade": pdf["grade"], "cols": cut(cols), "vals": cut(vals.astype(np.float16))})
 
-    got = rows.mapInPandas(featurize, "doc_id long, grade int, cols binary, vals binary").toPandas().sort_values("doc_id")
+    made = materialise(rows.mapInPandas(featurize, "doc_id long, grade int, cols binary, vals binary"))
+    size = F.length("cols") + F.length("vals")
+    before = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")) - F.col("size")
+    inside = made.select("doc_id", size.alias("size")).select("doc_id", before.alias("before")).where(F.col("before") < sample_bytes)  # ``sample`` rows at most
+    got = made.join(F.broadcast(inside), "doc_id", "left_semi").toPandas().sort_values("doc_id")
     if not len(got):
         return None
     cols = np.frombuffer(b"".join(got["cols"]), dtype=np.int32)

@@ -59,9 +59,11 @@ def place(df: DataFrame, key: str, shards: int = SHARDS, size: int = SIZE) -> Da
 
 def write_shards(df: DataFrame, key: str, path: str, shards: int = SHARDS, files: int = 8, size: int = SIZE) -> None:
     """Write df partitioned by shard; each shard is salted over ``files`` tasks, so that none gathers one whole."""
-    own = [F.col(f"`{c}`") for c in df.columns]
+    own, free = [F.col(f"`{c}`") for c in df.columns], "_salt"
+    while free in {c.lower() for c in df.columns}:
+        free += "_"
     salt = F.pmod(F.xxhash64(*own), F.lit(files)).cast("int")  # by content, so that a task that is run again deals its rows alike
-    place(df.withColumn("_salt", salt), key, shards, size).repartition(shards * files, "shard", "_salt").drop("_salt").write.partitionBy("shard").parquet(path)
+    place(df.withColumn(free, salt), key, shards, size).repartition(shards * files, "shard", free).drop(free).write.partitionBy("shard").parquet(path)
 
 
 def op5_shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
