@@ -30,11 +30,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def upsert(target: DataFrame, updates: DataFrame, key: str, vector: str | None = None, dim: int | None = None) -> DataFrame:
-    """Rows of the updated keys are replaced. With ``vector``, a wrong dimension raises when the result is read."""
+    """Rows of the updated keys are replaced; of updates with one key the greatest by the other columns, in their order, counts.
+
+    With ``vector``, a wrong dimension raises when the result is read.
+    """
     if vector is not None and dim is not None:
         ok = F.assert_true(F.size(vector) == dim, F.lit(f"vectors must have dimension {dim}"))
         updates = updates.where(ok.isNull())
-    return target.join(updates.select(key).distinct(), key, "left_anti").unionByName(updates.dropDuplicates([key]))
+    rest = [c for c in updates.columns if c != key]
+    newest = updates.groupBy(key).agg(F.max(F.struct(*rest)).alias("_r")).select(key, *(F.col(f"_r.{c}").alias(c) for c in rest)) if rest else updates.distinct()
+    return target.join(updates.select(key).distinct(), key, "left_anti").unionByName(newest)
 
 
 TEXT_LIMIT, BINARY_LIMIT = 20 << 20, 100 << 20

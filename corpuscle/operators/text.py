@@ -40,13 +40,17 @@ def token_counts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def token_windows(docs: DataFrame, key: str, size: int = MAX_TOKENS, overlap: int = OVERLAP) -> DataFrame:
-    """Overlapping windows of a text read as one unit: ``size`` tokens, stride size - overlap, the last reaches the end."""
+    """Overlapping windows of a text read as one unit: ``size`` tokens, stride size - overlap, the last reaches the end; null text has none."""
     stride = size - overlap
-    rows = docs.select(key, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(fx.UNIT_TOKEN), F.lit(0)).alias("t")).where(F.size("t") > 0)
-    last = F.greatest(F.lit(0), F.ceil((F.size("t") - size) / stride)).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("t", i * stride + 1, size))
-    rows = rows.select(key, F.posexplode(parts).alias("window_no", "part"))
-    return rows.select(key, "window_no", F.array_join("part", " ").alias("text"), F.size("part").alias("token_count"))
+
+    def windows(t: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.size(t) - size) / stride)).cast("int")
+        cut = lambda i: F.struct(F.array_join(F.slice(t, i * stride + 1, size), " ").alias("text"), F.least(F.lit(size), F.size(t) - i * stride).alias("token_count"))
+        return F.when(F.size(t) > 0, F.transform(F.sequence(F.lit(0), last), cut))
+
+    tokens = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(fx.UNIT_TOKEN), F.lit(0))
+    made = F.get(F.transform(F.array(tokens), windows), F.lit(0))  # bound in a lambda, so that a text is matched once
+    return docs.select(key, F.posexplode(made).alias("window_no", "w")).select(key, "window_no", "w.text", "w.token_count")
 
 
 def sentences(docs: DataFrame, key: str) -> DataFrame:
@@ -59,12 +63,6 @@ def detect_language(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.select(key, lang.alias("lang_detected"), fx.language_threshold(lang).alias("threshold"))
 
 
-def as_markdown(docs: DataFrame) -> DataFrame:
-    """Plain documents as Markdown: the source is the title, each line of upper-case shouting or of one short sentence a heading."""
-    lines = F.transform(F.split("text", "\n"), lambda s, i: F.when((F.length(s) <= 60) & s.endswith("."), F.concat(F.when(i % 2 == 0, F.lit("## ")).otherwise(F.lit("### ")), s)).otherwise(s))
-    return docs.select("doc_id", F.concat(F.lit("# "), "source", F.lit("\n\n"), F.array_join(lines, "\n\n")).alias("markdown"))
-
-
 _LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
 
@@ -219,11 +217,6 @@ def chunk_documents(docs: DataFrame, most: int = MAX_TOKENS, overlap: int = OVER
     return docs.select(key, "markdown").mapInPandas(run, f"{key} {kind}, chunk_index int, section_path string, text string, token_count long")
 
 
-def whole_sections(docs: DataFrame) -> DataFrame:
-    """Documents without headings as one section each; the source is the title."""
-    return docs.select("doc_id", F.col("source").alias("title"), F.lit(0).alias("section_no"), F.array().cast("array<string>").alias("heading_path"), F.col("text").alias("markdown"))
-
-
 def overview_chunks(rows: DataFrame, key: str = "doc_id", least: int = 400, most: int = 1200) -> DataFrame:
     """One overview of each document with over ``least`` characters: title line, then the abstract section (else the first), collapsed and cut."""
     strip = F.regexp_replace("markdown", r"^\s+|\s+$", "")
@@ -290,24 +283,12 @@ def topics(docs: DataFrame, key: str = "doc_id", most: int = 20) -> DataFrame:
     return docs.select(key, F.posexplode(F.slice(names, 1, most)).alias("topic_no", "topic"))
 
 
-def as_answers(docs: DataFrame) -> DataFrame:
-    """Documents as answers that cite: each line ends with the mark of its number, some doubled or repeated."""
-    mark = lambda i: F.when(i % 7 == 6, F.concat(F.lit("[[S"), i + 1, F.lit("]]"))).otherwise(F.concat(F.lit("["), F.element_at(F.array(F.lit("S"), F.lit("M"), F.lit("W")), (i % 3 + 1).cast("int")), F.floor(i / 2).cast("int") + 1, F.lit("]")))
-    lines = F.transform(F.split("text", "\n"), lambda s, i: F.concat(s, F.lit(" "), mark(i)))
-    known = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: F.concat(F.lit("S"), i))
-    return docs.select(F.col("doc_id").alias("answer_id"), F.array_join(lines, "\n").alias("text"), known.alias("source_ids"))
-
-
 def citations(answers: DataFrame) -> DataFrame:
     """answer_id, position, source_id: known marks [S1] [M2] [W3], not doubled, distinct, in order of first occurrence."""
     found = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?<!\[)\[([SMW][1-9]\p{Nd}*)\](?!\])"), F.lit(1)))
     return answers.select("answer_id", F.posexplode(F.array_intersect(found, "source_ids")).alias("position", "source_id"))
 
 
-def page_urls_as_text(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", F.concat(F.lit("see "), "url", F.lit(", or ("), F.upper("url"), F.lit(") and "), "url", F.lit("。 end.")).alias("text"))
-
-
 #: A URL ends at white space or one of these; a dot or colon ends it unless what follows can go on.
 _STOP = r"\s，。！？、；;）)\]}>,'\"‘’“”"
 

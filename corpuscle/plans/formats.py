@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import col as C
 
 from corpuscle.operators import storage as st
-from corpuscle.operators import text as tx
 from corpuscle.plans import maintenance as mt
 from corpuscle.plans import web as wb
+from corpuscle.plans.text import as_markdown
 from corpuscle.sources import formats as fm
-from corpuscle.sources.tables import table
+from corpuscle.sources.tables import spread, table
 from corpuscle.streaming import jobs
 from corpuscle.streaming.state import KeyedState
 
 
 def _files(s, d):
     """Documents as Markdown files, some with a BOM or broken bytes, and pages as HTML files, with a few unknown types."""
-    m = tx.as_markdown(table(s, d, "documents").select("doc_id", "text", "source"))
+    m = as_markdown(spread(table(s, d, "documents").select("doc_id", "text", "source")))
     bom, bad = F.unhex(F.lit("EFBBBF")), F.unhex(F.lit("FF"))
     head = F.when(F.col("doc_id") % 5 == 0, bom).when(F.col("doc_id") % 17 == 3, bad).otherwise(F.unhex(F.lit("")))
     md = m.select(F.concat(F.lit("/docs/"), "doc_id", F.lit(".md")).alias("path"), F.when(F.col("doc_id") % 29 == 1, "image/gif").otherwise("text/markdown").alias("media_type"), F.concat(head, F.encode("markdown", "UTF-8")).alias("content"))

@@ -10,8 +10,8 @@ from corpuscle.operators import logs
 from corpuscle.operators import storage as st
 from corpuscle.operators import sync as op
 from corpuscle.operators import text as tx
-from corpuscle.plans.text import MARKDOWN
-from corpuscle.sources.tables import table
+from corpuscle.plans.text import MARKDOWN, as_markdown
+from corpuscle.sources.tables import spread, table
 
 C = F.col
 
@@ -92,13 +92,13 @@ def _cascade(s, d):
 
 def _rasters(s, d):
     """Lines of documents as rasters of figures; a line's share of its document is the area ratio."""
-    docs = table(s, d, "documents").select("doc_id", "text", "n_chars")
+    docs = spread(table(s, d, "documents").select("doc_id", "text", "n_chars"))
     return docs.select(C("doc_id").alias("figure_id"), F.explode(F.split("text", "\n")).alias("line"), "n_chars").select("figure_id", F.when(F.length("line") > 0, F.md5("line")).alias("digest"), (F.length("line") / C("n_chars")).alias("area_ratio"))
 
 
 def _overlap(s, d):
     items = table(s, d, "benchmark").select(C("item_id").alias("figure_id"), F.lit(1).alias("document_id"), "text")
-    return an.assign_by_overlap(items, table(s, d, "documents").select(F.lit(1).alias("document_id"), C("doc_id").alias("section_no"), "text"))
+    return an.assign_by_overlap(items, spread(table(s, d, "documents")).select(F.lit(1).alias("document_id"), C("doc_id").alias("section_no"), "text"))
 
 
 def _novel(s, d):
@@ -114,7 +114,7 @@ def _cer(s, d):
 
 
 def _graph_docs(s, d):
-    m = tx.as_markdown(table(s, d, "documents").select("doc_id", "text", "source"))
+    m = as_markdown(spread(table(s, d, "documents").select("doc_id", "text", "source")))
     tag = F.concat(F.lit("\n[S"), C("doc_id") % 9 + 1, F.lit("] and #tag-"), C("doc_id") % 7, F.lit(" end"))
     return m.select(C("doc_id").alias("document_id"), F.concat(F.lit("doc "), "doc_id").alias("title"), F.concat("markdown", tag).alias("content"))
 

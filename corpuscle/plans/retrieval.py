@@ -91,14 +91,10 @@ def _labels(s, d):
     return op.label_sources(docs.unionByName(mem).unionByName(web), offset=2)
 
 
-def _gold(s, d):
-    """Texts in which the items of ranked documents are looked for."""
-    return table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
-
-
 def _hit_rate(s, d):
+    """A document that holds an item's text is gold. Only ranked documents are looked at: a gold one that isn't ranked is a miss either way."""
     ranks = _bm25(s, d, 3).select("query_id", "id", "rank", F.lit("bm25").alias("channel")).unionByName(_semantic(s, d, 3).select("query_id", "id", "rank", F.lit("vector").alias("channel")))
-    texts = ranks.select("query_id", "id").distinct().join(_queries(s, d).withColumnRenamed("text", "q"), "query_id").join(_gold(s, d), "id")
+    texts = ranks.select("query_id", "id").distinct().join(_queries(s, d).withColumnRenamed("text", "q"), "query_id").join(table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
     held = texts.where(F.contains("text", F.col("q"))).select("query_id", "id")
     kind = fx.language(F.col("q"))
     gold = _queries(s, d).withColumnRenamed("text", "q").join(held, "query_id", "left").select("query_id", kind.alias("kind"), "id")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from corpuscle.functions import text as fx
 from corpuscle.operators import text as op
 from corpuscle.sources.tables import spread, table
@@ -25,19 +28,42 @@ def _docs(spark, d, *cols):
     return spread(table(spark, d, "documents").select(*cols))
 
 
+def as_markdown(docs: DataFrame) -> DataFrame:
+    """Plain documents as Markdown: the source is the title, each line of upper-case shouting or of one short sentence a heading."""
+    lines = F.transform(F.split("text", "\n"), lambda s, i: F.when((F.length(s) <= 60) & s.endswith("."), F.concat(F.when(i % 2 == 0, F.lit("## ")).otherwise(F.lit("### ")), s)).otherwise(s))
+    return docs.select("doc_id", F.concat(F.lit("# "), "source", F.lit("\n\n"), F.array_join(lines, "\n\n")).alias("markdown"))
+
+
+def whole_sections(docs: DataFrame) -> DataFrame:
+    """Documents without headings as one section each; the source is the title."""
+    return docs.select("doc_id", F.col("source").alias("title"), F.lit(0).alias("section_no"), F.array().cast("array<string>").alias("heading_path"), F.col("text").alias("markdown"))
+
+
+def as_answers(docs: DataFrame) -> DataFrame:
+    """Documents as answers that cite: each line ends with the mark of its number, some doubled or repeated."""
+    mark = lambda i: F.when(i % 7 == 6, F.concat(F.lit("[[S"), i + 1, F.lit("]]"))).otherwise(F.concat(F.lit("["), F.element_at(F.array(F.lit("S"), F.lit("M"), F.lit("W")), (i % 3 + 1).cast("int")), F.floor(i / 2).cast("int") + 1, F.lit("]")))
+    lines = F.transform(F.split("text", "\n"), lambda s, i: F.concat(s, F.lit(" "), mark(i)))
+    known = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: F.concat(F.lit("S"), i))
+    return docs.select(F.col("doc_id").alias("answer_id"), F.array_join(lines, "\n").alias("text"), known.alias("source_ids"))
+
+
+def page_urls_as_text(pages: DataFrame) -> DataFrame:
+    return pages.select("page_id", F.concat(F.lit("see "), "url", F.lit(", or ("), F.upper("url"), F.lit(") and "), "url", F.lit("。 end.")).alias("text"))
+
+
 QUERIES = {
     "t1_postings": lambda s, d: op.postings(_docs(s, d, "doc_id", "text"), "doc_id"),
     "t2_token_counts": lambda s, d: op.token_counts(_docs(s, d, "doc_id", "text")),
-    "t3_sections": lambda s, d: op.sections(op.as_markdown(_docs(s, d, "doc_id", "text", "source"))),
-    "t4_chunks": lambda s, d: op.chunk_documents(op.as_markdown(_docs(s, d, "doc_id", "text", "source"))),
+    "t3_sections": lambda s, d: op.sections(as_markdown(_docs(s, d, "doc_id", "text", "source"))),
+    "t4_chunks": lambda s, d: op.chunk_documents(as_markdown(_docs(s, d, "doc_id", "text", "source"))),
     "t5_token_windows": lambda s, d: op.token_windows(_docs(s, d, "doc_id", "text"), "doc_id"),
-    "t6_overview_chunks": lambda s, d: op.overview_chunks(op.whole_sections(_docs(s, d, "doc_id", "text", "source"))),
+    "t6_overview_chunks": lambda s, d: op.overview_chunks(whole_sections(_docs(s, d, "doc_id", "text", "source"))),
     "t7_sentences": lambda s, d: op.sentences(_docs(s, d, "doc_id", "text"), "doc_id"),
     "t8_chunk_ids": lambda s, d: op.with_chunk_ids(op.token_windows(_docs(s, d, "doc_id", "text"), "doc_id").withColumnRenamed("doc_id", "document_id").withColumnRenamed("window_no", "chunk_index")).drop("text"),
     "t9_segments": lambda s, d: op.segment_conversations(table(s, d, "conversations").select("conv_id", "turn", "role", "text")),
-    "t10_topics": lambda s, d: op.topics(op.as_markdown(_docs(s, d, "doc_id", "text", "source"))),
-    "t11_citations": lambda s, d: op.citations(op.as_answers(_docs(s, d, "doc_id", "text"))),
-    "t12_redact_urls": lambda s, d: op.redact_urls(op.page_urls_as_text(table(s, d, "pages").select("page_id", "url"))),
+    "t10_topics": lambda s, d: op.topics(as_markdown(_docs(s, d, "doc_id", "text", "source"))),
+    "t11_citations": lambda s, d: op.citations(as_answers(_docs(s, d, "doc_id", "text"))),
+    "t12_redact_urls": lambda s, d: op.redact_urls(page_urls_as_text(table(s, d, "pages").select("page_id", "url"))),
     "t13_embed_hash": lambda s, d: op.embed_hash(_docs(s, d, "doc_id", "text")).drop("text"),
     "p6_language": lambda s, d: op.detect_language(_docs(s, d, "doc_id", "text")),
     "p7_intent": lambda s, d: table(s, d, "conversations").select("conv_id", "turn", fx.intent(fx.F.col("text")).alias("intent")),

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuscle.operators import analytics as an
-from corpuscle.operators import linediff
+from corpuscle.operators import linediff, storage
 from corpuscle.operators import text as tx
 from corpuscle.sources import formats as fm
 
@@ -111,3 +111,15 @@ def test_line_diff_of_long_versions(spark):
     versions = [(1, 1, None), (1, 2, "a\nb"), (1, 3, None), (1, 4, ""), (2, 1, "x"), (2, 2, "x")]
     df = spark.createDataFrame(versions, "document_id long, version_no int, content string").withColumn("before", F.lit(1))
     assert rows(an.version_diff(df), "document_id", "version_no", "line_no") == [(1, 2, 0, "added", "a"), (1, 2, 1, "added", "b"), (1, 3, 0, "removed", "a"), (1, 3, 1, "removed", "b"), (2, 2, 0, "context", "x")]
+
+
+def test_updates_of_one_key_are_defined(spark):
+    a = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k long, v string, n long")
+    new = spark.createDataFrame([(2, "c", 5), (2, "d", 1), (2, None, 9), (3, "x", 1), (3, "x", 1)], "k long, v string, n long").repartition(3)
+    assert rows(storage.upsert(a, new, "k"), "k") == [(1, "a", 1), (2, "d", 1), (3, "x", 1)]
+    assert rows(storage.upsert(a.select("k"), new.select("k"), "k"), "k") == [(1,), (2,), (3,)]
+
+
+def test_token_windows_of_odd_texts(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "a b c"), (4, "a b c d e f"), (5, "中文, x")], "doc_id long, text string")
+    assert rows(tx.token_windows(docs, "doc_id", 3, 1), "doc_id", "window_no") == [(3, 0, "a b c", 3), (4, 0, "a b c", 3), (4, 1, "c d e", 3), (4, 2, "e f", 2), (5, 0, "中 文 ,", 3), (5, 1, ", x", 2)]
