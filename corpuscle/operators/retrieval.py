@@ -113,12 +113,14 @@ def rrf(*rankings: DataFrame, k: int = RRF_K) -> DataFrame:
 
 
 def fuse_or_rescue(lexical: DataFrame, semantic: DataFrame) -> DataFrame:
-    """Both lists: fused (semantic first); one list: that one as it stands."""
-    has = lexical.select("query_id", F.lit(1).alias("l"), F.lit(0).alias("s")).unionByName(semantic.select("query_id", F.lit(0).alias("l"), F.lit(1).alias("s"))).groupBy("query_id").agg(F.max("l").alias("l"), F.max("s").alias("s"))
-    both = has.where("l = 1 and s = 1").select("query_id")
-    fused = rrf(semantic.join(both, "query_id", "left_semi"), lexical.join(both, "query_id", "left_semi")).select("query_id", "id", "rank")
-    single = semantic.select("query_id", "id", "rank").unionByName(lexical.select("query_id", "id", "rank")).join(both, "query_id", "left_anti")
-    return fused.unionByName(single)
+    """query_id, id, rank: of queries with both lists the fused ranking (semantic first), of the others their one list as it stands."""
+    part = lambda r, i: r.select("query_id", "id", "rank", F.lit(i).alias("list"))
+    rows = part(semantic, 0).unionByName(part(lexical, 1)).groupBy("query_id", "id")
+    fused = rows.agg(F.round(F.sum(1 / (RRF_K + F.col("rank"))), 9).alias("score"), F.min(F.struct("list", "rank")).alias("seen"), F.max("list").alias("last"))
+    own = Window.partitionBy("query_id")
+    both = (F.min("seen.list").over(own) == 0) & (F.max("last").over(own) == 1)
+    order = F.row_number().over(own.orderBy(F.desc("score"), F.col("seen")))
+    return fused.select("query_id", "id", F.when(both, order).otherwise(F.col("seen.rank")).alias("rank"))
 
 
 def hybrid_search(vector: DataFrame, keyword: DataFrame, visible: DataFrame, top_k: int = SOURCES, sources: int = SOURCES) -> DataFrame:

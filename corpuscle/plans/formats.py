@@ -9,7 +9,7 @@ from pyspark.sql.functions import col as C
 from corpuscle.operators import storage as st
 from corpuscle.plans import maintenance as mt
 from corpuscle.plans import web as wb
-from corpuscle.plans.text import as_markdown
+from corpuscle.plans.text import MARKDOWN, as_markdown
 from corpuscle.sources import formats as fm
 from corpuscle.sources.tables import spread, table
 from corpuscle.streaming import jobs
@@ -134,6 +134,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "s1_markdown": f"""WITH {MARKDOWN}, f AS (SELECT doc_id, source, markdown, doc_id % 5 <> 0 AND doc_id % 17 = 3 AS bad FROM md JOIN documents USING (doc_id))
+SELECT '/docs/' || doc_id || '.md' AS path, CASE WHEN NOT bad THEN source END AS title, CASE WHEN bad THEN 'undecodable' END AS reject, CASE WHEN NOT bad THEN md5(markdown) END AS text_md5 FROM f""",
     "f2_embedder": "SELECT doc_id, list_transform(['a', 'e', 'i', 'o', 'u'], lambda c: (length(text) - length(replace(text, c, '')))::FLOAT) AS embedding FROM documents",
     "r1_stream_sessions": mt.ORACLES["r1_sessions"],
     "r1_stream_summaries": mt.ORACLES["r1_summaries"],

@@ -194,3 +194,6 @@ w AS ({_WINDOWS}), n AS (SELECT chunk_id FROM w WHERE side = 'new'),
 r AS (SELECT w.*, CASE WHEN side = 'new' THEN 'added' WHEN action IN ('updated', 'removed') THEN 'deleted' ELSE 'kept' END AS state FROM w JOIN m ON m.url = w.url
 WHERE side = 'new' OR action NOT IN ('updated', 'removed') OR chunk_id NOT IN (SELECT chunk_id FROM n))
 SELECT chunk_id, url, window_no, token_count, state FROM r"""
+ORACLES["j6_robots"] = f"""WITH {_P}, {_LINK}, parts AS (SELECT regexp_extract(link, '^([a-z]+://[^/]*)', 1) AS origin, regexp_extract(link, '^[a-z]+://[^/]*([^?#]*)', 1) AS path FROM links WHERE link_no < 2),
+rules AS (SELECT origin, list(DISTINCT path) AS disallow FROM parts GROUP BY 1), u AS (SELECT url, regexp_extract(url, '^([a-z]+://[^/]*)', 1) AS origin, regexp_extract(url, '^[a-z]+://[^/]*([^?#]*)', 1) AS path FROM c WHERE url IS NOT NULL)
+SELECT url, disallow IS NOT NULL AND len(list_filter(disallow, lambda p: starts_with(u.path, p))) = 0 AS allowed, CASE WHEN disallow IS NOT NULL THEN 2.0::DOUBLE END AS crawl_delay FROM u LEFT JOIN rules ON rules.origin = u.origin"""
