@@ -45,6 +45,8 @@ MISS = 1e-6
 BATCH = 26
 #: Members of a bucket compared at a time, and bucket size from which full sets travel with the members.
 BLOCK, LARGE = 1024, 64
+#: Most nodes whose bitmap, 2 MB then, is fetched in one job instead of one for each partition.
+AT_ONCE = 1 << 19
 
 
 @cache
@@ -186,7 +188,8 @@ def _sets(wanted: KeyFilter):
 def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, shingles: full sets of the given distinct nodes, written out; texts are not shuffled (a bitmap picks them)."""
     nodes = materialise(nodes)
-    wanted = key_filter(nodes, 1)  # ids are not mixed: one bit tells dense ones apart, further probes would hit their neighbours
+    # ids are not mixed: one bit tells dense ones apart, further probes would hit their neighbours
+    wanted = key_filter(nodes, 1, at_once=nodes.count() <= AT_ONCE)
     picked = docs.where("doc_id is not null").mapInPandas(_sets(wanted), "node long, shingles binary")
     sets = materialise(picked.join(nodes, "node", "left_semi").distinct())
     wanted.release()

@@ -9,7 +9,8 @@ A-Z folded), the share of each hashed word *shape* (runs of lower, upper, digit,
 share of words that equal the one before, and the share of distinct words. They are computed block by
 block with numpy inside the tasks. The model is fitted on at most ``sample`` labelled rows, those
 of smallest hash of doc_id, and on ``sample_bytes`` of their features, by L-BFGS on the driver; the second bound fixes what the driver
-holds, however long the texts are, beside the broadcast weights (2 MB). Scoring is one pass without a shuffle.
+holds, however long the texts are, beside the broadcast weights (2 MB): the features come as Arrow batches, are kept as 8 bytes each, and the loss
+and its gradient are summed over runs of FIT_BLOCK of them. Scoring is one pass without a shuffle.
 
 Defined results: null text is empty text and has only the constant part of the score; labels with a
 null in a rating are not used; repeated rows are scored alike, and of texts with one labelled doc_id the least is fitted; an empty table gives an empty
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,6 +36,8 @@ BITS = 18
 SAMPLE = 12_000
 #: Bytes of features (6 for each) that a fit fetches, but for the last row's, which has 3 MB at most.
 SAMPLE_BYTES = 64 << 20
+#: Features, and those of one more row, that the loss widens to double precision at a time.
+FIT_BLOCK = 1 << 18
 #: Least P(grade = 2) of a row that is kept.
 TAIL = 0.5
 RIDGE = 0.15
@@ -104,18 +108,22 @@ def _dot(off: np.ndarray, cols: np.ndarray, vals: np.ndarray, w: np.ndarray) ->
 def _loss(theta: np.ndarray, off, cols, vals, row, grade) -> tuple[float, np.ndarray]:
     """Negative log-likelihood of the cumulative-link model with a ridge, and its gradient.
 
-    theta: weights, then the first threshold, then the log of the gap to the second.
+    theta: weights, then the first threshold, then the log of the gap to the second. The result doesn't depend on FIT_BLOCK.
     """
     w, a, gap = theta[:-2], theta[-2], np.exp(theta[-1])
-    s = _dot(off, cols, vals, w)
+    edges = np.unique(np.append(np.searchsorted(off, np.arange(0, off[-1], FIT_BLOCK)), len(off) - 1)).tolist()
+    runs = list(zip(edges, edges[1:], off[edges[:-1]].tolist(), off[edges[1:]].tolist(), strict=False))
+    s = np.concatenate([_dot(off[i : j + 1] - x, cols[x:y], vals[x:y], w) for i, j, x, y in runs])
     lo, hi = np.array([-np.inf, a, a + gap])[grade], np.array([a, a + gap, np.inf])[grade]
     sig = lambda z: np.where(z >= 0, 1 / (1 + np.exp(-np.abs(z))), np.exp(-np.abs(z)) / (1 + np.exp(-np.abs(z))))
     ph, pl = sig(hi - s), sig(lo - s)
     p = np.maximum(ph - pl, 1e-12)
     dh, dl = ph * (1 - ph), pl * (1 - pl)
     gs = (dh - dl) / p  # d loss / d score
-    grad = np.empty_like(theta)
-    grad[:-2] = np.bincount(cols, weights=gs[row] * vals, minlength=len(w)) + RIDGE * w
+    grad = np.zeros_like(theta)
+    for _, _, x, y in runs:
+        np.add.at(grad, cols[x:y].astype(np.intp), gs[row[x:y]] * vals[x:y])
+    grad[:-2] += RIDGE * w
     d1 = np.where(grade == 0, -dh / p, np.where(grade == 1, dl / p, 0.0))
     d2 = np.where(grade == 1, -dh / p, np.where(grade == 2, dl / p, 0.0))
     grad[-2] = (d1 + d2).sum()
@@ -175,15 +183,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes:
     size = F.length("cols") + F.length("vals")
     before = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")) - F.col("size")
     inside = made.select("doc_id", size.alias("size")).select("doc_id", before.alias("before")).where(F.col("before") < sample_bytes)  # ``sample`` rows at most
-    got = made.join(F.broadcast(inside), "doc_id", "left_semi").toPandas().sort_values("doc_id")
-    if not len(got):
+    got = made.join(F.broadcast(inside), "doc_id", "left_semi").toArrow()
+    if not got.num_rows:
         return None
-    cols = np.frombuffer(b"".join(got["cols"]), dtype=np.int32)
-    vals = np.frombuffer(b"".join(got["vals"]), dtype=np.float16).astype(np.float32)
-    size, grades = np.array([len(c) // 4 for c in got["cols"]]), got["grade"].to_numpy().astype(np.int64)
-    del got
-    off = np.concatenate([[0], np.cumsum(size)])
-    row = np.repeat(np.arange(len(size)), size)
+    order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
+    grades = got["grade"].to_numpy()[order].astype(np.int64)
+    raw_cols, raw_vals = got["cols"], got["vals"]
+    size = pc.binary_length(raw_cols).to_numpy()[order] // 4
+    off = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    cols, vals = np.empty(off[-1], dtype=np.int32), np.empty(off[-1], dtype=np.float16)
+    for k, i in enumerate(order.tolist()):
+        cols[off[k] : off[k + 1]] = np.frombuffer(raw_cols[i].as_buffer(), dtype=np.int32)
+        vals[off[k] : off[k + 1]] = np.frombuffer(raw_vals[i].as_buffer(), dtype=np.float16)
+    del got, raw_cols, raw_vals
+    row = np.repeat(np.arange(len(size), dtype=np.min_scalar_type(len(size))), size)
     theta = np.zeros((1 << BITS) + _DENSE + 2)
     theta[-2] = -1.0
     return _lbfgs(lambda t: _loss(t, off, cols, vals, row, grades), theta)

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -209,6 +210,50 @@ def test_quality_loss_and_gradient_equal_a_slow_reference():
         assert abs((slow(theta + step) - slow(theta - step)) / 2e-5 - grad[j]) < 1e-3
 
 
+def test_quality_loss_widens_a_run_of_features_at_a_time(monkeypatch):
+    rng = np.random.default_rng(6)
+    size = rng.integers(2, 1_000, 3_000)
+    off, row, grade = np.concatenate([[0], np.cumsum(size)]), np.repeat(np.arange(3_000, dtype=np.uint16), size), rng.integers(0, 3, 3_000)
+    cols, vals = rng.integers(0, (1 << quality.BITS) + 2, off[-1]).astype(np.int32), rng.random(off[-1]).astype(np.float16)
+    theta = np.append(rng.normal(size=(1 << quality.BITS) + 2) * 0.01, [-0.3, 0.2])
+    tracemalloc.start()
+    value, grad = quality._loss(theta, off, cols, vals, row, grade)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert off[-1] > 1_400_000 and peak < 12_000_000
+    for block in (1, 5_000, 1 << 30):
+        monkeypatch.setattr(quality, "FIT_BLOCK", block)
+        again, other = quality._loss(theta, off, cols, vals, row, grade)
+        assert again == value and (other == grad).all()
+
+
+def test_fit_fetches_features_without_rows_of_python_objects(spark, monkeypatch):
+    docs = table(spark, [(i, f"{'good' if i % 2 else 'bad'} w{i} w{i + 1}") for i in range(60)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(type(docs), "toPandas", lambda self: 1 / 0)
+    monkeypatch.setattr(type(docs), "collect", lambda self: 1 / 0)
+    model = quality.fit(docs.repartition(5), labels)
+    monkeypatch.undo()
+    assert model is not None and [r["kept"] for r in quality.score(docs, model).orderBy("doc_id").collect()] == [bool(i % 2) for i in range(60)]
+
+
+def test_bitmap_of_few_nodes_takes_a_few_jobs(spark):
+    docs = table(spark, [(i, f"a b c d e f{i}") for i in range(300)])
+    nodes = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("node"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "50")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.sparkContext.setJobGroup("bitmap", "bitmap")
+        sets = minhash.full_sets(docs, nodes)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("bitmap")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert len(jobs) < 25 and sorted(r["node"] for r in sets.select("node").collect()) == list(range(0, 300, 3))
+
+
 def test_shards_are_written_alike_each_time(spark, tmp_path):
     docs = table(spark, [(i % 40, f"t{i}") for i in range(400)] + [(None, None)])
     sharding.write_shards(docs.drop("shard"), "doc_id", str(tmp_path / "a"), 4, 3)
